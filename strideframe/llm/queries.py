@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, token_files
+from . import common, mixing, mpeg_audio, packing, sharding, token_files
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(common.documents(spark, sf_dir))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +21,21 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(token_files.write_shards(common.documents(spark, sf_dir)))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.documents(spark, sf_dir)).drop("source")
+
+
+def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = common.written(mpeg_audio.with_media(common.documents(spark, sf_dir)), "media")
+    return mpeg_audio.properties(stored)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sharding": op2_sharding,
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
+    "op6_mixing": op6_mixing,
+    "op9_mpeg_audio": op9_mpeg_audio,
 }
 
 ORACLE: dict[str, str] = {}
