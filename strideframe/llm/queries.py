@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, mixing, mpeg_audio, ngram_join, packing, sharding, token_files
+from . import common, lm_scoring, mixing, mpeg_audio, ngram_join, packing, sharding, token_files
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.properties(stored)
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir).select("doc_id", "text", (common.crc_bucket("doc_id", 10) == 0).alias("held_out"))
+    return lm_scoring.score(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_sharding": op2_sharding,
@@ -41,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op9_mpeg_audio": op9_mpeg_audio,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 #: Brute force: all pairs of distinct sets that share a shingle, and the closure of their links.
