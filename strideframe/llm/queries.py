@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, lm_scoring, mixing, mpeg_audio, ngram_join, packing, sharding, token_files
+from . import common, language_id, lm_scoring, mixing, mpeg_audio, ngram_join, packing, sharding, token_files
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.documents(spark, sf_dir)).drop("source")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    held_out = common.crc_bucket("doc_id", 3) == 1
+    contents = language_id.dictionaries(docs.where(~held_out))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
+    return language_id.predicted(rows, contents, "doc_id", "held_out", "text").select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = common.written(mpeg_audio.with_media(common.documents(spark, sf_dir)), "media")
     return mpeg_audio.properties(stored)
@@ -45,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
+    "op7_language_id": op7_language_id,
     "op9_mpeg_audio": op9_mpeg_audio,
     "op10_lm_scoring": op10_lm_scoring,
 }
