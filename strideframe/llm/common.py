@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one numpy step of an operator works on; batches are cut to it, texts never are.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash; forgets all when it is full, so its memory is bounded."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 200_000):
         import xxhash
 
         super().__init__()

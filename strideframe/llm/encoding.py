@@ -9,13 +9,14 @@ tokenizers library once. The tests hold this against encoding whole texts.
 from __future__ import annotations
 
 import os
+from itertools import islice
 
 import numpy as np
 
 
 class _Index(dict):
-    def __init__(self):
-        super().__init__()
+    def __init__(self, *items):
+        super().__init__(*items)
         self.fresh: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
@@ -27,10 +28,11 @@ class _Index(dict):
 class WordEncoder:
     """``encode(texts)`` gives all ids end to end (uint32) and each text's count.
 
-    most: distinct words remembered; when there are more, all are forgotten (memory, never results).
+    most: distinct words remembered; when there are more, only the first third, where frequent words
+    are, is kept (memory, never results).
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 260_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,6 +47,11 @@ class WordEncoder:
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def _shrink(self) -> None:
+        keep = self.most // 3
+        self.index = _Index(zip(islice(self.index, keep), range(keep)))
+        self.used = int(self.starts[keep - 1] + self.lengths[keep - 1])
+
     def _learn(self) -> None:
         words, self.index.fresh = self.index.fresh, []
         first = len(self.index) - len(words)
@@ -74,7 +81,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > self.most:
-            self._forget()
+            self._shrink()
         # only a literal marker of the vocabulary could read otherwise in lower case
         parts = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         words = np.fromiter(map(len, parts), np.int64, len(parts))
