@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language_id, lm_scoring, mixing, mpeg_audio, ngram_join, packing, sharding, token_files
+from . import common, language_id, lm_scoring, mixing, mpeg_audio, ngram_join, packing, pii, sharding, token_files
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predicted(rows, contents, "doc_id", "held_out", "text").select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(common.documents(spark, sf_dir), lambda df: common.written(df, "pii")))
+
+
 def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = common.written(mpeg_audio.with_media(common.documents(spark, sf_dir)), "media")
     return mpeg_audio.properties(stored)
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
     "op7_language_id": op7_language_id,
+    "op8_pii": op8_pii,
     "op9_mpeg_audio": op9_mpeg_audio,
     "op10_lm_scoring": op10_lm_scoring,
 }
