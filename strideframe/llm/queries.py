@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language_id, lm_scoring, mixing, mpeg_audio, ngram_join, packing, pii, sharding, token_files
+from . import common, language_id, lm_scoring, mixing, mpeg_audio, neighbours, ngram_join, packing, pii, sharding, token_files
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(common.documents(spark, sf_dir))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_sharding": op2_sharding,
+    "op3_neighbours": op3_neighbours,
     "op4_packing": op4_packing,
     "op5_token_files": op5_token_files,
     "op6_mixing": op6_mixing,
