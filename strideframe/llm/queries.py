@@ -11,7 +11,7 @@ from . import common, language_id, lm_scoring, mixing, mpeg_audio, neighbours, n
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join_classes(common.documents(spark, sf_dir))
+    return ngram_join.join_classes(common.documents(spark, sf_dir)).drop("text_key")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
