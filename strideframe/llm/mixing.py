@@ -146,7 +146,8 @@ def mix(docs: DataFrame, block: int = BLOCK, most: int = MOST, shards: int = 64,
     parts = placed.withColumn("block", F.explode_outer(F.when(F.col("_size") > 0, F.sequence(F.floor(F.col("_at") / block), last))))
     begin, end = F.greatest(F.col("_at"), F.col("block") * block), F.least(F.col("_at") + F.col("_size"), (F.col("block") + 1) * block)
     parts = parts.withColumn("_first", begin - F.col("_at")).withColumn("_words", end - begin)
-    met = parts.join(uses, ["source_no", "block"], "left").withColumn("_times", F.coalesce("_times", F.lit(0)))
+    # the planner can't see that slots multiply the few cells; without the hint it would broadcast their counts
+    met = parts.join(uses.hint("merge"), ["source_no", "block"], "left").withColumn("_times", F.coalesce("_times", F.lit(0)))
     key = ["source_no", "_bucket", "_row", "doc_id", "source", "_size", "source_size", "target"]
     sums = [F.coalesce(F.sum(F.col("_words") * F.col("_times")), F.lit(0)).cast("long").alias("taken")]
     if keep_uses:
