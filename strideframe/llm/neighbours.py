@@ -27,6 +27,7 @@ from . import common
 SAMPLE, BRANCH, LEAF = 16_384, 8, 16
 TARGET, CALIBRATION = 0.95, 256
 BLOCK = 2048
+FLUSH_BYTES = 16 << 20
 
 
 def usable(rows: list) -> list[int]:
@@ -169,6 +170,17 @@ def _nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, querie
         row, col = np.nonzero((rough >= edge[:, None] - 1e-9) & (rough > -np.inf))
         found.append((query_ids[a + row], ids[col], cosines(queries[a + row], vectors[col])))
     q, c, s = (np.concatenate(x) for x in zip(*found))
+    return _best([pa.table({"query_id": q, "vec_id": c, "score": s})], k)
+
+
+def _no_rows() -> pa.Table:
+    return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+
+def _best(found: list[pa.Table], k: int) -> pa.Table:
+    """The k nearest of each query in several tables, ties to the smaller id."""
+    table = pa.concat_tables(found)
+    q, c, s = (table.column(n).to_numpy() for n in ("query_id", "vec_id", "score"))
     order = np.lexsort((c, -s, q))
     q, c, s = q[order], c[order], s[order]
     rank = np.arange(len(q)) - np.maximum.accumulate(np.where(np.append(True, q[1:] != q[:-1]), np.arange(len(q)), 0)) if len(q) else np.zeros(0, int)
@@ -211,21 +223,46 @@ def search(table: DataFrame, is_query, k: int = 5, sample: int = SAMPLE, target:
     salts = spark.createDataFrame([(leaf, max(1, -(-c // BLOCK))) for leaf, c in sizes.items()] or [], "leaf long, salts long")
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries by leaf: one row for each leaf and some megabytes of queries."""
+        held: dict[int, list[tuple[int, bytes]]] = {}
+        size = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            if held:
+                leaves = sorted(held)
+                ids = [np.array([i for i, _ in held[c]], np.int64).tobytes() for c in leaves]
+                yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array(ids, pa.binary()), pa.array([b"".join(r for _, r in held[c]) for c in leaves], pa.binary())], names=["leaf", "ids", "raw"])
+            held.clear()
+
         for batch in batches:
-            ids, raws = common.columns_of(batch, "vec_id", "raw")
-            for i, r in zip(ids, raws):
-                leaves = tree.visits(unit(np.frombuffer(r, np.float64)[None, :])[0], many)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(leaves), pa.int64()), pa.array([r] * len(leaves), pa.binary()), pa.array(leaves, pa.int64())], names=["vec_id", "raw", "leaf"])
+            for i, r in zip(*common.columns_of(batch, "vec_id", "raw")):
+                for c in tree.visits(unit(np.frombuffer(r, np.float64)[None, :])[0], many):
+                    held.setdefault(c, []).append((i, r))
+                    size += len(r) + 8
+                if size > FLUSH_BYTES:
+                    yield from flushed()
+                    size = 0
+        yield from flushed()
 
     def met(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        (a, x), (b, y) = ((t.column("vec_id").to_numpy(), np.frombuffer(b"".join(t.column("raw").to_pylist()), np.float64).reshape(t.num_rows, dim)) for t in (left, right))
-        return _nearest(a, x, b, y, k)
+        """The nearest of each query over all leaves of a bucket."""
+        joined = lambda t, c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
+        found = [_no_rows()]
+        if left.num_rows and right.num_rows:
+            left, right = left.sort_by([("leaf", "ascending"), ("salt", "ascending")]), right.sort_by([("leaf", "ascending"), ("salt", "ascending")])
+            place = lambda t: t.column("leaf").to_numpy() * (1 << 20) + t.column("salt").to_numpy()
+            at, there = place(left), place(right)
+            for p in np.intersect1d(at, there):
+                x, y = (t.slice(lo, hi - lo) for t, (lo, hi) in ((left, np.searchsorted(at, [p, p + 1])), (right, np.searchsorted(there, [p, p + 1]))))
+                found.append(_nearest(x.column("vec_id").to_numpy(), joined(x, "raw", np.float64).reshape(-1, dim), joined(y, "ids", np.int64), joined(y, "raw", np.float64).reshape(-1, dim), k))
+                if len(found) > 64:
+                    found = [_best(found, k)]
+        return _best(found, k)
 
     vectors = index.join(F.broadcast(salts), "leaf").withColumn("salt", F.pmod(F.xxhash64("vec_id"), "salts")).select("leaf", "salt", "vec_id", "raw")
-    queries = index.where("is_query").select("vec_id", "raw").repartition(common.width(spark)).mapInArrow(walked, "vec_id long, raw binary, leaf long")
-    queries = queries.join(F.broadcast(salts), "leaf").withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)"))).select("leaf", "salt", "vec_id", "raw")
-    near = vectors.groupBy("leaf", "salt").cogroup(queries.groupBy("leaf", "salt")).applyInArrow(met, "query_id long, vec_id long, score double")
+    queries = index.where("is_query").select("vec_id", "raw").repartition(common.width(spark)).mapInArrow(walked, "leaf long, ids binary, raw binary")
+    queries = queries.join(F.broadcast(salts), "leaf").withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)"))).select("leaf", "salt", "ids", "raw")
+    bucket = F.pmod(F.xxhash64("leaf", "salt"), F.lit(2 * common.width(spark)))
+    near = vectors.withColumn("bucket", bucket).groupBy("bucket").cogroup(queries.withColumn("bucket", bucket).groupBy("bucket")).applyInArrow(met, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
