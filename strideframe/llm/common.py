@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one numpy step of an operator works on; batches are cut to it, texts never are.
 SLICE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +26,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows: documents can be long, so the row count alone must not decide memory."""
+    """Arrow batches of few rows and megabytes: documents can be long, so the row count alone must not decide memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
@@ -96,7 +98,16 @@ class WordHashes(dict):
         return got
 
 
-_hashes: WordHashes | None = None
+#: What a worker process keeps from task to task, by operator; a worker that changes to another one forgets the first's.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make):
+    """``make()`` once in this process, as long as no other name is asked for."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
 
 
 def word_hashes(texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,12 +115,10 @@ def word_hashes(texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
     ``bytes.split`` splits at exactly the bytes 20 and 09-0D, ``bytes.lower`` maps exactly A-Z.
     """
-    global _hashes
-    if _hashes is None:
-        _hashes = WordHashes()
+    hashes = kept("words", WordHashes)
     parts = [(t or b"").lower().split() for t in texts]
     counts = np.fromiter(map(len, parts), np.int64, len(parts))
-    get = _hashes.__getitem__
+    get = hashes.__getitem__
     flat = np.fromiter((get(w) for p in parts for w in p), np.uint64, int(counts.sum()))
     return flat, counts
 

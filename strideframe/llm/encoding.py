@@ -13,6 +13,8 @@ from itertools import islice
 
 import numpy as np
 
+from . import common
+
 
 class _Index(dict):
     def __init__(self, *items):
@@ -97,15 +99,9 @@ class WordEncoder:
         return ids, np.diff(edges)
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder for each worker process, kept from task to task."""
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return common.kept(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -81,7 +81,7 @@ def predictor(contents: dict[str, bytes]):
     """A function of Arrow text batches for ``predicted``; it holds the dictionaries only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressors = Compressors(contents)
+        compressors = common.kept(f"languages {hash(tuple(contents.items()))}", lambda: Compressors(contents))
         for batch in batches:
             (texts,) = common.columns_of(batch, "text")
             found = []
