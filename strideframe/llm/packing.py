@@ -68,8 +68,9 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) ->
                     heapq.heappush(room, (-free, first + left, count - left))
                     count = left
             else:
-                free, first, count = capacity, sequences, left
-                sequences += left
+                # no more new packs than all that is left of the length needs
+                free, first, count = capacity, sequences, -(-left // (capacity // length))
+                sequences += count
             places.append((length, rank, first, capacity - free))
             if free > length:
                 heapq.heappush(room, (length - free, first, count))
