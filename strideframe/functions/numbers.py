@@ -54,7 +54,7 @@ def close_to(a: Column, b: Column, eps: float = 1e-6) -> Column:
 
 def six_decimals(x: Column) -> Column:
     """Text with six decimals; '' for missing."""
-    return F.coalesce(F.when(~F.isnan(x), F.format_string("%.6f", x)), F.lit(""))
+    return F.when(x.isNotNull() & ~F.isnan(x), F.format_string("%.6f", x)).otherwise("")
 
 
 def muscle(degrees: Column, low: float, high: float) -> Column:

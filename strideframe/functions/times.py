@@ -34,7 +34,8 @@ def track_time(x: Column | str) -> Column:
 
 
 def iso_millis(t: Column | str) -> Column:
-    return F.date_format(_c(t), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    s = _c(t).cast("string")  # formatting functions would go through the session's zone
+    return F.concat(F.left(s, F.lit(10)), F.lit("T"), F.substring(s, 12, 8), F.lit("."), F.rpad(F.substring(s, 21, 3), 3, "0"))
 
 
 def shifted(t: Column | str, seconds: Column | float) -> Column:

@@ -10,6 +10,21 @@ from pyspark.sql import functions as F
 EPS = 1e-8
 
 
+def let(*values: Column):
+    """``let(a, b)(f)`` is ``f(a, b)`` with each value computed once.
+
+    Columns are expressions, not values: what is used twice is written twice, and nested formulas would
+    grow beyond all bounds. A lambda's argument is computed once.
+    """
+
+    def bound(f) -> Column:
+        names = [f"_{i}" for i in range(len(values))]
+        held = F.struct(*(v.alias(n) for v, n in zip(values, names)))
+        return F.get(F.transform(F.array(held), lambda h: f(*(h[n] for n in names))), F.lit(0))
+
+    return bound
+
+
 def vec(x, y, z) -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(float(v))
     return F.struct(lit(x).alias("x"), lit(y).alias("y"), lit(z).alias("z"))
@@ -52,7 +67,7 @@ def norm(a: Column) -> Column:
 
 
 def normalised(a: Column, eps: float = EPS) -> Column:
-    return scale(a, 1 / (norm(a) + eps))
+    return let(a)(lambda v: scale(v, 1 / (norm(v) + eps)))
 
 
 def lerp(a: Column, b: Column, t: Column) -> Column:
@@ -97,12 +112,18 @@ def q_norm(q: Column) -> Column:
 
 def q_unit(q: Column) -> Column:
     """Unit quaternion with w >= 0; the identity where the norm is 0."""
-    n = q_norm(q)
-    s = F.when(q["w"] < 0, -1.0).otherwise(1.0) / n
-    return F.when(n > 0, quat(q["x"] * s, q["y"] * s, q["z"] * s, q["w"] * s)).otherwise(quat(*IDENTITY))
+
+    def unit(q: Column, n: Column) -> Column:
+        return let(F.try_divide(F.when(q["w"] < 0, -1.0).otherwise(1.0), n))(lambda s: F.when(n > 0, quat(q["x"] * s, q["y"] * s, q["z"] * s, q["w"] * s)).otherwise(quat(*IDENTITY)))
+
+    return let(q)(lambda q: let(q_norm(q))(lambda n: unit(q, n)))
 
 
 def q_mul(a: Column, b: Column) -> Column:
+    return let(a, b)(_product)
+
+
+def _product(a: Column, b: Column) -> Column:
     return quat(
         a["w"] * b["x"] + a["x"] * b["w"] + a["y"] * b["z"] - a["z"] * b["y"],
         a["w"] * b["y"] - a["x"] * b["z"] + a["y"] * b["w"] + a["z"] * b["x"],
@@ -127,29 +148,37 @@ def q_flip_y(q: Column) -> Column:
 
 def between(a: Column, b: Column) -> Column:
     """Shortest rotation from direction ``a`` to direction ``b``; half a turn about X (or Y) for opposite ones."""
-    u, v = normalised(a), normalised(b)
-    d = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(u, v)))
-    c = cross(u, v)
-    plain = q_unit(quat(c["x"], c["y"], c["z"], 1 + d))
-    turned = F.when(F.abs(u["x"]) > 0.9, quat(0, 1, 0, 0)).otherwise(quat(1, 0, 0, 0))
-    return F.when((norm(c) < EPS) & (d > 0.9999), quat(*IDENTITY)).when((norm(c) < EPS) & (d < -0.9999), turned).otherwise(plain)
+
+    def turn(u: Column, c: Column, d: Column) -> Column:
+        turned = F.when(F.abs(u["x"]) > 0.9, quat(0, 1, 0, 0)).otherwise(quat(1, 0, 0, 0))
+        straight = norm(c) < EPS
+        return F.when(straight & (d > 0.9999), quat(*IDENTITY)).when(straight & (d < -0.9999), turned).otherwise(q_unit(quat(c["x"], c["y"], c["z"], 1 + d)))
+
+    return let(normalised(a), normalised(b))(lambda u, v: let(cross(u, v), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(u, v))))(lambda c, d: turn(u, c, d)))
 
 
 def slerp(a: Column, b: Column, t: Column) -> Column:
     """Along the shorter arc; straight and normalised where the ends nearly agree."""
-    d = a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"] + a["w"] * b["w"]
-    sign = F.when(d < 0, -1.0).otherwise(1.0)
-    angle = F.acos(F.least(F.lit(1.0), F.abs(d)))
-    near = F.abs(d) > 0.9995
-    p = F.when(near, 1 - t).otherwise(F.sin((1 - t) * angle) / F.sin(angle))
-    q = F.when(near, t).otherwise(F.sin(t * angle) / F.sin(angle)) * sign
-    mixed = quat(*(a[k] * p + b[k] * q for k in "xyzw"))
-    n = q_norm(mixed)
-    return quat(*(mixed[k] / n for k in "xyzw"))
+
+    def arc(a: Column, b: Column, d: Column, t: Column) -> Column:
+        sign = F.when(d < 0, -1.0).otherwise(1.0)
+        near = F.abs(d) > 0.9995
+        angle = F.acos(F.least(F.lit(1.0), F.abs(d)))
+        p = F.when(near, 1 - t).otherwise(F.sin((1 - t) * angle) / F.sin(angle))
+        q = F.when(near, t).otherwise(F.sin(t * angle) / F.sin(angle)) * sign
+        mixed = let(p, q)(lambda p, q: quat(*(a[k] * p + b[k] * q for k in "xyzw")))
+        return let(mixed)(lambda m: let(q_norm(m))(lambda n: quat(*(m[k] / n for k in "xyzw"))))
+
+    inner = lambda a, b: a["x"] * b["x"] + a["y"] * b["y"] + a["z"] * b["z"] + a["w"] * b["w"]
+    return let(a, b, t)(lambda a, b, t: let(inner(a, b))(lambda d: arc(a, b, d, t)))
 
 
 def euler_zxy(q: Column) -> Column:
     """Intrinsic Z, X, Y angles in degrees of a unit quaternion."""
+    return let(q)(_euler_zxy)
+
+
+def _euler_zxy(q: Column) -> Column:
     x, y, z, w = (q[k] for k in "xyzw")
     s = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * (y * z + w * x)))
     locked = F.abs(s) > 1 - 1e-12
@@ -161,6 +190,10 @@ def euler_zxy(q: Column) -> Column:
 
 def from_axes(right: Column, up: Column, forward: Column) -> Column:
     """Quaternion of the rotation whose columns are three orthonormal axes."""
+    return let(right, up, forward)(_from_axes)
+
+
+def _from_axes(right: Column, up: Column, forward: Column) -> Column:
     m00, m10, m20 = right["x"], right["y"], right["z"]
     m01, m11, m21 = up["x"], up["y"], up["z"]
     m02, m12, m22 = forward["x"], forward["y"], forward["z"]
@@ -176,20 +209,22 @@ def from_axes(right: Column, up: Column, forward: Column) -> Column:
 
 def basis_of(first: Column, second: Column) -> Column:
     """Frame of two directions: forward along the first, up at right angles towards the second."""
-    forward = scale(first, 1 / F.greatest(norm(first), F.lit(EPS)))
-    side = cross(second, forward)
-    right = scale(side, 1 / F.greatest(norm(side), F.lit(EPS)))
-    return from_axes(right, cross(forward, right), forward)
+    one = lambda v: let(v)(lambda v: scale(v, 1 / F.greatest(norm(v), F.lit(EPS))))
+    return let(one(first), second)(lambda forward, second: let(one(cross(second, forward)))(lambda right: from_axes(right, cross(forward, right), forward)))
 
 
 def two_vector_fit(rest_a: Column, rest_b: Column, pose_a: Column, pose_b: Column) -> Column:
     """Rotation that takes the frame of two rest directions to that of two pose directions."""
-    parallel = lambda a, b: norm(cross(normalised(a), normalised(b))) < 1e-6
-    fitted = q_unit(q_mul(basis_of(pose_a, pose_b), q_inverse(basis_of(rest_a, rest_b))))
-    return F.when(parallel(rest_a, rest_b) | parallel(pose_a, pose_b), between(rest_a, pose_a)).otherwise(fitted)
+    parallel = lambda a, b: let(normalised(a), normalised(b))(lambda u, v: let(cross(u, v))(lambda c: norm(c) < 1e-6))
+    turned = lambda ra, rb, pa, pb: q_unit(q_mul(basis_of(pa, pb), let(basis_of(ra, rb))(q_inverse)))
+    return let(rest_a, rest_b, pose_a, pose_b)(lambda ra, rb, pa, pb: F.when(parallel(ra, rb) | parallel(pa, pb), between(ra, pa)).otherwise(turned(ra, rb, pa, pb)))
 
 
 def rotate(q: Column, v: Column) -> Column:
+    return let(q, v)(_rotate)
+
+
+def _rotate(q: Column, v: Column) -> Column:
     u = vec(q["x"], q["y"], q["z"])
     t = scale(cross(u, v), 2.0)
     return add(add(v, scale(t, q["w"])), cross(u, t))

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import vector as v
 from . import series
@@ -226,7 +227,7 @@ def rest_offsets(frames: DataFrame, parents: tuple[int, ...] = PARENTS, first: i
     return rest.select("clip_id", F.array(*(v.sub(at(i), at(p)) if p >= 0 else v.vec(0, 0, 0) for i, p in enumerate(parents))).alias("offsets"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def best_fit(rest: pd.Series, pose: pd.Series) -> pd.Series:
     """Quaternion (xyzw, w >= 0) of the rotation that takes rest directions to pose directions best (by SVD)."""
 

@@ -91,7 +91,7 @@ def above_lowest(x: str, keys: list[str]) -> Column:
 
 def frame_seconds(time: Column) -> Column:
     """Seconds a frame, of a whole series."""
-    return (F.max(time) - F.min(time)) / (F.count(time) - 1)
+    return F.try_divide(F.max(time) - F.min(time), F.count(time) - 1)
 
 
 def clamped_frame(i: Column, n: Column) -> Column:

@@ -7,6 +7,8 @@ Rejected events carry a reason and end in the issues table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,7 +100,7 @@ def select_release(points: Column) -> Column:
     """The release point of an array of points, and its flag: strongest acceleration 6.5 to 7.5 m before the
     goal on the first point's side, else anywhere, else highest speed, else the first point; first of equals.
     """
-    side = F.element_at(points, 1)["x"]
+    side = F.get(points, F.lit(0))["x"]
 
     def ranked(p: Column) -> Column:
         zone = goal_distance(p["x"], p["y"], side).between(6.5, 7.5)
@@ -114,15 +116,15 @@ def select_release(points: Column) -> Column:
 def _released(df: DataFrame) -> DataFrame:
     """Release point, and the window's start moved back where the release is already too near the goal."""
     inside = lambda lo: F.filter("wide", lambda p: p["idx"].between(F.col(lo), F.col("ext_end")))
-    own = F.element_at(F.filter("wide", lambda p: p["idx"] == F.col("start_idx")), 1)
+    own = F.get(F.filter("wide", lambda p: p["idx"] == F.col("start_idx")), F.lit(0))
     df = df.withColumn("_sel", select_release(inside("ext_start"))).withColumn("_own", own)
     p = F.col("_sel.p")
     d = goal_distance(p["x"], p["y"], p["x"])
-    need = (7.5 - d) / p["speed"]
+    need = F.try_divide(7.5 - d, p["speed"])
     target = p["t"] - F.round((need + 0.1) * 1e6).cast("long")
     wants = ~F.col("is_plausible") & (d < 6.5) & (p["speed"] > 0) & (need > 0) & (need < 5.0)
-    first = F.element_at(F.filter("wide", lambda q: q["t"] >= target), 1)["idx"]
-    begin = F.element_at(F.filter("wide", lambda q: q["idx"] == F.col("ext_start")), 1)["t"]
+    first = F.get(F.filter("wide", lambda q: q["t"] >= target), F.lit(0))["idx"]
+    begin = F.get(F.filter("wide", lambda q: q["idx"] == F.col("ext_start")), F.lit(0))["t"]
     df = df.withColumn("_new", F.when(F.coalesce(wants & (target < begin) & (first < F.col("ext_start")), F.lit(False)), first))
     df = df.withColumn("ext_start", F.coalesce("_new", "ext_start")).withColumn("_again", F.when(F.col("_new").isNotNull(), select_release(inside("ext_start"))))
     release = F.when(F.col("is_plausible"), F.col("_own")).otherwise(F.coalesce(F.col("_again.p"), F.col("_sel.p")))
@@ -136,7 +138,7 @@ def align_keeper(segment: Column, traj: Column) -> Column:
 
     def pick(b: Column) -> Column:
         nearer = lambda best, s: F.when((s["t"] <= b["t"]) | (F.abs(s["t"] - b["t"]) < F.abs(best["t"] - b["t"])), s).otherwise(best)
-        s = F.aggregate(segment, F.element_at(segment, 1), nearer)
+        s = F.aggregate(segment, F.get(segment, F.lit(0)), nearer)
         return F.struct(b["local_dt"].alias("local_dt"), b["ts_ms"].alias("ts_ms"), s["x"].alias("x"), s["y"].alias("y"), s["z"].alias("z"))
 
     return F.transform(traj, pick)
@@ -147,7 +149,7 @@ def with_keeper(shots: DataFrame, keepers: DataFrame) -> DataFrame:
     the window, then nearest to the line, then to the middle, then of lowest id.
     """
     mean_x = F.aggregate("traj", F.lit(0.0), lambda s, p: s + p["x"]) / F.size("traj")
-    shots = shots.withColumn("_side", F.when(mean_x < 0, -1).otherwise(1)).withColumn("_t0", F.element_at("traj", 1)["t"]).withColumn("_t1", F.element_at("traj", -1)["t"])
+    shots = shots.withColumn("_side", F.when(mean_x < 0, -1).otherwise(1)).withColumn("_t0", F.get("traj", F.lit(0))["t"]).withColumn("_t1", F.try_element_at("traj", F.lit(-1))["t"])
     bucket = 10_000_000
     one = shots.select("event_no", *KEY, "_side", "_t0", "_t1", F.explode(F.sequence(F.floor(F.col("_t0") / bucket), F.floor(F.col("_t1") / bucket))).alias("_bucket"))
     two = keepers.withColumn("t", micros("local_dt")).withColumn("_bucket", F.floor(F.col("t") / bucket))
@@ -163,17 +165,21 @@ def with_keeper(shots: DataFrame, keepers: DataFrame) -> DataFrame:
     return out.withColumn("keeper", keeper).withColumn("goalkeeper_sensor_id", F.coalesce("sensor_id", F.lit(""))).drop("segment", "sensor_id")
 
 
-def match_shots(events: DataFrame, points: DataFrame, keepers: DataFrame, include_unsuccessful: bool = False, extend_start_ms: int = 0, load_issues: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def match_shots(events: DataFrame, points: DataFrame, keepers: DataFrame, include_unsuccessful: bool = False, extend_start_ms: int = 0, load_issues: DataFrame | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(results, issues, skipped) of events that have ``fixture_file`` (see ``resolve``) and ``row_idx``.
 
     points and keepers are the typed rows of the recordings. skipped: events with too many points, which
     are counted and neither results nor issues.
+
+    keep: materialises a table (``DataFrame.cache``, a checkpoint, a written table); used where several
+    results branch off, so that asking for all three doesn't compute the common part three times.
     """
+    keep = keep or (lambda df: df)
     ev = events.withColumn("event_no", F.col("row_idx").cast("long")).withColumn("dist", to_double("distance")).withColumn("shot_t", micros(event_time("timestamp_local_timezone")))
     ev = ev.withColumn("is_success", strip(F.coalesce("success", F.lit(""))) == "1")
     # only recordings that events ask for are looked at
     asked = ev.select(*KEY).distinct()
-    pts = annotated(points.join(asked, KEY, "left_semi"))
+    pts = keep(annotated(points.join(asked, KEY, "left_semi")))
     have = points.select(*KEY).distinct().withColumn("_has", F.lit(True))
     ev = ev.join(have, KEY, "left")
     if load_issues is not None:
@@ -182,12 +188,13 @@ def match_shots(events: DataFrame, points: DataFrame, keepers: DataFrame, includ
         ev = ev.withColumn("_load", F.lit(None).cast("string"))
     started = asof.asof(ev, pts, KEY, "shot_t", "t", ["idx", "t", "next_gate"], True, "idx", "s_")
     issue = F.when(F.col("_load").isNotNull(), F.col("_load")).when(F.col("_has").isNull(), "no_ball_points").when(F.col("shot_t").isNull(), "invalid_shot_local_time").when(F.col("s_idx").isNull(), "shot_start_after_last_ball_point")
-    started = started.withColumn("issue", issue)
+    started = keep(started.withColumn("issue", issue))
     early, ev = started.where("issue is not null"), started.where("issue is null").drop("issue", "_has", "_load")
     ev = corrected_start(ev.withColumnRenamed("s_idx", "start0").withColumnRenamed("s_t", "start0_t").withColumnRenamed("s_next_gate", "start0_gate"), pts)
     ev = _at(ev, pts, "start_idx", {"t": "start_t", "next_cross": "_cross", "reversal": "_reversal", "last_idx": "_last"})
     use_last = F.col("_cross").isNull() & ~F.col("is_success") & F.lit(include_unsuccessful)
     ev = ev.withColumn("end_idx", F.when(use_last, F.col("_last")).otherwise(F.col("_cross"))).withColumn("last_flag", F.when(use_last, F.lit("unsuccessful:using_last_point")))
+    ev = keep(ev)
     late, ev = ev.where("end_idx is null").withColumn("issue", F.lit("no_goalline_crossing_found")), ev.where("end_idx is not null")
     ev = _at(ev, pts, "end_idx", {"t": "end_t"})
     ev = ev.withColumn("is_plausible", plausible(F.col("dist"), F.col("_reversal"))).drop("_cross", "_reversal", "_last")
@@ -201,6 +208,7 @@ def match_shots(events: DataFrame, points: DataFrame, keepers: DataFrame, includ
     cut = _released(cut)
     before = F.least(F.col("ext_start"), F.lit(PREPEND))
     cut = cut.withColumn("traj", F.filter("wide", lambda p: p["idx"].between(F.col("ext_start") - before, F.col("ext_end")))).withColumn("_n", F.size("traj")).withColumn("_before", before).drop("wide")
+    cut = keep(cut)
     skipped, cut = cut.where(F.col("_n") >= MOST_POINTS), cut.where(F.col("_n") < MOST_POINTS)
     out = with_keeper(cut, keepers)
     n = F.col("_n")
@@ -215,8 +223,8 @@ def match_shots(events: DataFrame, points: DataFrame, keepers: DataFrame, includ
     values = {
         **{c: text(c) for c in ("id", "home_team", "away_team", "fixture_file", "player_id", "success", "distance", "timestamp_local_timezone", "goalkeeper_sensor_id")},
         "player_name": F.coalesce(blank_to_null("player_name"), text("name")),
-        "start_time_local": iso_millis(F.element_at("traj", 1)["local_dt"]),
-        "end_time_local": iso_millis(F.element_at("traj", -1)["local_dt"]),
+        "start_time_local": iso_millis(F.get("traj", F.lit(0))["local_dt"]),
+        "end_time_local": iso_millis(F.try_element_at("traj", F.lit(-1))["local_dt"]),
         "release_point_json": json_text(ball_point(F.col("release"))),
         "release_time_local": iso_millis(F.col("release")["local_dt"]),
         "max_v": best("speed"),
