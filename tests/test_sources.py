@@ -78,6 +78,27 @@ def test_markers(spark, tmp_path):
     assert tables.column_times(spark, str(tmp_path / "b.tsv"), "\t").first().time == "2"
 
 
+def test_arrays(spark, tmp_path):
+    import numpy as np
+
+    from strideframe.sources.arrays import array_points
+
+    a = np.arange(24, dtype=np.float32).reshape(2, 4, 3)
+    np.save(tmp_path / "a.npy", a)
+    np.save(tmp_path / "flat.npy", a.ravel())
+    np.save(tmp_path / "objects.npy", np.array([{"x": 1}], dtype=object))
+    rows = array_points(spark, str(tmp_path)).collect()
+    assert {r.clip_id for r in rows} == {"a.npy"} and all(r.value == a[r.frame, r.joint, r.axis] for r in rows) and len(rows) == 24
+
+
+def test_court(spark):
+    from strideframe.functions import court
+
+    row = spark.range(1).select(court.arc(F.lit(0.0), F.lit(1.0), F.lit(2.0), F.lit(0.0), F.lit(90.0), 2).alias("a"), court.dashes(F.lit(1.0), 0.15, 0.2).alias("d")).first()
+    assert [(round(p.x, 6), round(p.y, 6)) for p in row.a] == [(2.0, 1.0), (1.414214, 2.414214), (0.0, 3.0)]
+    assert [(round(d.begin, 2), round(d.end, 2)) for d in row.d] == [(0.0, 0.15), (0.35, 0.5), (0.7, 0.85)]
+
+
 def test_streams(spark, tmp_path, sf_dir):
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     src = str(tmp_path / "src")
