@@ -9,6 +9,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -119,7 +120,7 @@ def word_hashes(texts: Iterable[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     parts = [(t or b"").lower().split() for t in texts]
     counts = np.fromiter(map(len, parts), np.int64, len(parts))
     get = hashes.__getitem__
-    flat = np.fromiter((get(w) for p in parts for w in p), np.uint64, int(counts.sum()))
+    flat = np.fromiter(map(get, chain.from_iterable(parts)), np.uint64, int(counts.sum()))
     return flat, counts
 
 

@@ -9,7 +9,7 @@ tokenizers library once. The tests hold this against encoding whole texts.
 from __future__ import annotations
 
 import os
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 
@@ -34,7 +34,7 @@ class WordEncoder:
     are, is kept (memory, never results).
     """
 
-    def __init__(self, path: str, most: int = 260_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -75,7 +75,7 @@ class WordEncoder:
         lines = words if odd else [f" {self.mark} ".join([*words[i : i + 64], ""]) for i in range(0, len(words), 64)]
         got = [e.ids for e in self.library.encode_batch_fast(lines, add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(n.sum()))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))
         if odd:
             return flat, n
         marks = np.flatnonzero(flat == self.mark_id)
@@ -88,7 +88,7 @@ class WordEncoder:
         parts = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         words = np.fromiter(map(len, parts), np.int64, len(parts))
         get = self.index.__getitem__
-        at = np.fromiter((get(w) for p in parts for w in p), np.int64, int(words.sum()))
+        at = np.fromiter(map(get, chain.from_iterable(parts)), np.int64, int(words.sum()))
         if self.index.fresh:
             self._learn()
         n = self.lengths[at]
