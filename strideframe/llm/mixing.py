@@ -26,6 +26,7 @@ from . import common
 
 BLOCK = 64
 MOST = 3
+FEW_SOURCES = 50_000
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
@@ -121,7 +122,9 @@ def positions(rows: DataFrame, sources: list[dict]) -> DataFrame:
     """
     spark = rows.sparkSession
     numbers = spark.createDataFrame([(s["source"], s["source_no"], s["source_size"], s["target"]) for s in sources], "_source string, source_no int, source_size long, target double")
-    keyed = rows.join(F.broadcast(numbers), F.col("source").cast("string").eqNullSafe(F.col("_source"))).drop("_source")  # one row for each source
+    # one row for each source: sent to all workers while they are few, else joined like any table
+    numbers = F.broadcast(numbers) if len(sources) <= FEW_SOURCES else numbers.hint("merge")
+    keyed = rows.join(numbers, F.col("source").cast("string").eqNullSafe(F.col("_source"))).drop("_source")
     keyed = keyed.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "_size"), F.lit(common.width(spark))))
     sums = keyed.groupBy("source_no", "_bucket").agg(F.sum("_size").alias("_sum"))
     before = sums.select("source_no", "_bucket", (F.sum("_sum").over(Window.partitionBy("source_no").orderBy("_bucket")) - F.col("_sum")).alias("_before"))
