@@ -4,8 +4,9 @@ Training documents' tokens (words and one end each) are counted as hashed unigra
 key in hash partitions. A count c is stored as its level 1 + floor(log_b c): the items (n-gram, 1) to
 (n-gram, level) go into the filter segment of the key's partition. A reader probes level after level until
 one is missing and takes the level's least count; a false answer is as unlikely for each further level as
-the filter's error rate. The filter is broadcast; its size has a bound (``FILTER_BYTES``): where the items
-of all bigrams need more, the levels of bigrams begin at a higher count. Unigrams always have all levels.
+the filter's error rate. All levels of all unigrams and bigrams are held, however many there are: a filter
+of up to ``FILTER_BYTES`` is broadcast, a larger one stays in its segments and the n-grams of each slice of
+texts are sent to them, with the same results.
 
 Probabilities: P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), P(w | v) = (c(v, w) + M P(w)) / (C(v) + M) where
 C(v) is the most that v's level allows, so the masses never add up to more than 1 (false answers aside).
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,7 +98,7 @@ def segment(keys: np.ndarray, levels: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 class Filter:
-    """The broadcast filter: segments by key modulo their number."""
+    """A filter in memory: segments by key modulo their number."""
 
     def __init__(self, sizes: np.ndarray, raw: bytes, first: int):
         self.sizes, self.first = np.asarray(sizes, np.int64), first
@@ -222,6 +224,30 @@ def filter_of(counts: DataFrame, most_bytes: int = FILTER_BYTES) -> Filter:
     return Filter(np.array(bits), b"".join(raw.get(p, bytes(8)) for p in range(parts)), fitting)
 
 
+def filter_bits(counts: DataFrame) -> int:
+    """Bits of the filter that holds all levels."""
+    return common.scalar(counts.where("kind = 1 and first = 1").agg(F.sum("total").alias("bits")).first()["bits"])
+
+
+class Answers:
+    """Levels that the filter's segments gave for the n-grams of one slice."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray, first_texts: float):
+        self.keys, self.found, self.first, self.first_texts = keys, levels, 1, first_texts
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return self.found[np.searchsorted(self.keys, keys)]
+
+
+def slice_keys(texts: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of a slice, sorted; their order by segment; where each segment begins in it, and the end."""
+    tokens, edges = tokens_of(texts)
+    keys = np.unique(np.concatenate([[BEGIN], tokens, bigram_keys(tokens, edges[:-1])]))
+    pid = (keys % U(parts)).astype(np.int64)
+    order = np.argsort(pid, kind="stable")
+    return keys, order, np.searchsorted(pid[order], np.arange(parts + 1))
+
+
 class WordTable:
     """Exact counts by word hash: sorted keys, 2 bytes a count and the few larger ones apart."""
 
@@ -242,7 +268,7 @@ class WordTable:
         return np.where(self.keys[at] == keys, out, 0)
 
 
-def model_log10(tokens: np.ndarray, firsts: np.ndarray, known: Filter, n: int, v: int) -> np.ndarray:
+def model_log10(tokens: np.ndarray, firsts: np.ndarray, known: Filter | Answers, n: int, v: int) -> np.ndarray:
     """log10 of each token's probability after the one before it."""
     distinct, back = np.unique(np.concatenate([[BEGIN], tokens]), return_inverse=True)
     levels = known.levels(distinct)[back]
@@ -265,8 +291,11 @@ def score(docs: DataFrame, held_out: str = "held_out", table_words: int = TABLE_
     counts = common.written(counted(train), "lm-counts")
     sums = counts.where("kind = 0").agg(F.sum("n").alias("v"), F.sum("total").alias("n")).first()
     v, n = common.scalar(sums["v"]), common.scalar(sums["n"])
-    known = filter_of(counts, filter_bytes)
-    known.first_texts = float(_end_count(counts))
+    first_texts = float(_end_count(counts))
+    known = None
+    if filter_bits(counts) <= 8 * filter_bytes:
+        known = filter_of(counts, filter_bytes)
+        known.first_texts = first_texts
     as_table = v <= table_words
     words = None
     if as_table:
@@ -276,41 +305,103 @@ def score(docs: DataFrame, held_out: str = "held_out", table_words: int = TABLE_
         del rows
     shared = spark.sparkContext.broadcast((known, words))
 
+    def of_slice(doc_ids: list, texts: list[bytes], out_flags: list, text_keys: list, model: Filter | Answers) -> pa.RecordBatch:
+        table = shared.value[1]
+        tokens, edges = tokens_of(texts)
+        each = np.add.reduceat(model_log10(tokens, edges[:-1], model, n, v), edges[:-1])
+        base, n_known = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        if table is not None:
+            distinct, back = np.unique(tokens, return_inverse=True)
+            c = table.counts(distinct)
+            base = np.add.reduceat(np.log10((c + ADD) / (n + ADD * (v + 1)))[back], edges[:-1])
+            n_known = np.add.reduceat((c > 0).astype(np.int64)[back], edges[:-1])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc_ids, pa.int64()), pa.array(out_flags, pa.bool_()), pa.array(np.diff(edges)), pa.array(n_known), pa.array(np.full(len(texts), n, np.int64)), pa.array(base), pa.array(each), pa.array(text_keys, pa.int64())],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "_text"],
+        )
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table = shared.value
         for batch in batches:
-            doc_ids, texts, out_flags = common.columns_of(batch, "doc_id", "text", "held_out")
+            doc_ids, texts, out_flags, text_keys = common.columns_of(batch, "doc_id", "text", "held_out", "_text")
             for a, z in common.slices(texts):
-                tokens, edges = tokens_of(texts[a:z])
-                each = np.add.reduceat(model_log10(tokens, edges[:-1], model, n, v), edges[:-1])
-                base, n_known = np.zeros(z - a), np.zeros(z - a, np.int64)
-                if table is not None:
-                    distinct, back = np.unique(tokens, return_inverse=True)
-                    c = table.counts(distinct)
-                    base = np.add.reduceat(np.log10((c + ADD) / (n + ADD * (v + 1)))[back], edges[:-1])
-                    n_known = np.add.reduceat((c > 0).astype(np.int64)[back], edges[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids[a:z], pa.int64()), pa.array(out_flags[a:z], pa.bool_()), pa.array(np.diff(edges)), pa.array(n_known), pa.array(np.full(z - a, n, np.int64)), pa.array(base), pa.array(each)],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.col(held_out).alias("held_out"))
-    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = rows.mapInArrow(scored, kind)
+                yield of_slice(doc_ids[a:z], texts[a:z], out_flags[a:z], text_keys[a:z], shared.value[0])
+
+    text_key = F.lit(0).cast("long") if as_table else F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.col(held_out).alias("held_out"), text_key.alias("_text"))
+    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, _text long"
+    keyed = rows.mapInArrow(scored, kind) if known is not None else _scored_by_segments(rows, counts, of_slice, first_texts, kind)
     if as_table:
-        return out
+        return keyed.drop("_text")
     exact = _joined_base(rows, counts, n, v)
-    keyed = rows.select("doc_id", F.xxhash64("text").alias("_text"), "text", "held_out").mapInArrow(_with_text_key(scored), kind + ", _text long")
     return keyed.drop("n_known", "base_score").join(exact, keyed["doc_id"].eqNullSafe(exact["_id"]) & (keyed["_text"] == exact["_key"])).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def _with_text_key(scored):
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = pa.Table.from_batches(list(scored(iter([batch]))))
-            yield from done.append_column("_text", batch.column(batch.schema.get_field_index("_text"))).combine_chunks().to_batches()
+def _scored_by_segments(rows: DataFrame, counts: DataFrame, of_slice, first_texts: float, kind: str) -> DataFrame:
+    """``of_slice`` of each slice of ``rows``, its n-grams looked up where their filter segments are.
+
+    Texts are written in slices. Each sends its distinct n-grams to their segments and the levels come
+    back to it; both ways the rows are sorted, so that a task holds one segment or one slice at a time.
+    """
+    parts = common.width(rows.sparkSession)
 
-    return both
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            names = ["doc_id", "text", "held_out", "_text"]
+            columns = common.columns_of(batch, *names)
+            for a, z in common.slices(columns[1]):
+                lists = [pa.array([c[a:z]], pa.list_(t)) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.bool_(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *lists], names=["slice", *names])
+                at += 1
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, texts in zip(*common.columns_of(batch, "slice", "text")):
+                keys, order, edges = slice_keys(texts, parts)
+                here = [p for p in range(parts) if edges[p] < edges[p + 1]]
+                blobs = [keys[order[edges[p] : edges[p + 1]]].tobytes() for p in here]
+                yield pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), pa.array([number] * len(here), pa.int64()), pa.array([0] * len(here), pa.int64()), pa.array(blobs, pa.binary())], names=["pid", "slice", "total", "blob"])
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = -1, None
+        for batch in batches:
+            numbers, pids, found = [], [], []
+            for pid, number, total, blob in zip(*common.columns_of(batch, "pid", "slice", "total", "blob")):
+                if number < 0:
+                    held, known = pid, Filter(np.array([total]), blob, 1)
+                    continue
+                keys = np.frombuffer(blob, U)
+                levels = known.levels(keys) if held == pid else np.zeros(len(keys), np.int64)
+                numbers.append(number), pids.append(pid), found.append(levels.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(pids, pa.int32()), pa.array(found, pa.binary())], names=["slice", "pid", "levels"])
+
+    def finished(texts: tuple, found: dict[int, bytes]) -> pa.RecordBatch:
+        keys, order, edges = slice_keys(texts[1], parts)
+        levels = np.zeros(len(keys), np.int64)
+        for p, raw in found.items():
+            levels[order[edges[p] : edges[p + 1]]] = np.frombuffer(raw, np.uint8)
+        return of_slice(*texts, Answers(keys, levels, first_texts))
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, found = None, {}
+        for batch in batches:
+            for pid, levels, *own in zip(*common.columns_of(batch, "pid", "levels", "doc_id", "text", "held_out", "_text")):
+                if pid < 0:
+                    if texts is not None:
+                        yield finished(texts, found)
+                    texts, found = tuple(own), {}
+                else:
+                    found[pid] = levels
+        if texts is not None:
+            yield finished(texts, found)
+
+    stored = common.written(rows.mapInArrow(sliced, "slice long, doc_id array<long>, text array<binary>, held_out array<boolean>, _text array<long>"), "lm-slices")
+    segments = counts.where("kind = 1 and first = 1").select("pid", F.lit(-1).cast("long").alias("slice"), "total", F.col("a").alias("blob"))
+    asks = stored.select("slice", "text").mapInArrow(asked, "pid int, slice long, total long, blob binary")
+    answers = segments.union(asks).repartition(parts, "pid").sortWithinPartitions("pid", "slice").mapInArrow(answered, "slice long, pid int, levels binary")
+    own = stored.withColumn("pid", F.lit(-1)).withColumn("levels", F.lit(None).cast("binary"))
+    both = own.unionByName(answers, allowMissingColumns=True)
+    return both.repartition(parts, "slice").sortWithinPartitions("slice", "pid").mapInArrow(gathered, kind)
 
 
 def _end_count(counts: DataFrame) -> int:
@@ -339,7 +430,7 @@ def _joined_base(rows: DataFrame, counts: DataFrame, n: int, v: int) -> DataFram
             for a, b in zip(*common.columns_of(batch, "a", "b")):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64))], names=["h", "c"])
 
-    texts = rows.select("doc_id", "text", F.xxhash64("text").alias("_key")).dropDuplicates(["doc_id", "_key"])
+    texts = rows.select("doc_id", "text", F.col("_text").alias("_key")).dropDuplicates(["doc_id", "_key"])
     words = texts.mapInArrow(listed, "_id long, _key long, h long, times long")
     table = counts.where("kind = 0").select("a", "b").mapInArrow(spread, "h long, c long")
     met = words.join(table, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))

@@ -281,6 +281,15 @@ def test_a_small_filter_begins_at_higher_counts(spark):
     assert lm_scoring.filter_of(counts, 1000).first > 1
 
 
+@pytest.mark.parametrize("table_words", [10, 10_000_000])
+def test_a_filter_too_large_to_broadcast_scores_alike(spark, table_words):
+    texts = [words(300, i, 80) for i in range(60)] + ODD
+    near = lambda rows: sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in rows)
+    _, whole = _scored(spark, texts, table_words=table_words)
+    _, parted = _scored(spark, texts, table_words=table_words, filter_bytes=100)
+    assert len(parted) == len(texts) and near(parted) == near(whole)
+
+
 def _vectors(spark, n=600, dim=16, seed=2):
     r = np.random.default_rng(seed)
     centres = r.normal(size=(12, dim))
