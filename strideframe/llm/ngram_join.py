@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -432,25 +432,30 @@ def cross_pairs(lists: DataFrame, parts: int, trees: bool = False) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose sketches leave a link possible, with their representative documents."""
-    side = lambda x: sets.select(F.col("fp").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    """Pairs whose sketches leave a link possible, with their representative texts."""
+    side = lambda x: sets.select(F.col("fp").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("text_key").alias(f"key_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, n_b, s_a, s_b = common.columns_of(batch, "n_a", "n_b", "sketch_a", "sketch_b")
             keep = [sketch_distance(x, y) <= (m + n) // 7 and 4 * min(m, n) >= 3 * max(m, n) for m, n, x, y in zip(n_a, n_b, s_a, s_b)]
-            yield batch.select(["a", "b", "doc_a", "doc_b"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["a", "b", "doc_a", "doc_b", "key_a", "key_b"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.mapInArrow(kept, "a long, b long, doc_a long, doc_b long")
+    return both.mapInArrow(kept, "a long, b long, doc_a long, doc_b long, key_a long, key_b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b, doc_a, doc_b) that are links, by their texts' sets."""
+    """Those of ``pairs`` (a, b, doc_a, doc_b, key_a, key_b) that are links, by their texts' sets.
+
+    Ids may be null or stand on several texts, so texts are known by their keys; the ids only spread copies.
+    """
     pairs = common.written(pairs, "join-pairs")
-    ids = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
-    texts = common.written(_rows(docs).join(ids, "doc_id", "left_semi"), "join-texts")
-    side = lambda x: texts.select(F.col("doc_id").alias(f"doc_{x}"), F.col("text").alias(f"text_{x}"))
+    ids = pairs.select("doc_a", "key_a").union(pairs.select("doc_b", "key_b")).toDF("_id", "_key").distinct()
+    mine = _rows(docs).withColumn("text_key", F.xxhash64("text"))
+    mine = mine.join(ids, mine["doc_id"].eqNullSafe(ids["_id"]) & (mine["text_key"] == ids["_key"]), "left_semi")
+    texts = common.written(mine.select("text_key", "text").distinct(), "join-texts")
+    side = lambda x: texts.select(F.col("text_key").alias(f"key_{x}"), F.col("text").alias(f"text_{x}"))
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[np.ndarray, int]] = {}
@@ -471,7 +476,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(fx == a and fy == b and 100 * both >= 75 * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "doc_a").join(side("b"), "doc_b").mapInArrow(checked, "a long, b long").distinct()
+    return pairs.join(side("a"), "key_a").join(side("b"), "key_b").mapInArrow(checked, "a long, b long").distinct()
 
 
 def _with_root(df: DataFrame, roots: DataFrame, column: str, out: str) -> DataFrame:
@@ -485,14 +490,24 @@ def _apart(lists: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     return rooted.where("_lo <> _hi").drop("_lo", "_hi").join(sets.select(F.col("fp").alias("a"), "sketch"), "a")
 
 
+def _least() -> Column:
+    """The row of smallest doc_id (null last) and text_key."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+
+
 def join_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and text_key of each document."""
+    return _rooted_classes(docs).drop("root")
+
+
+def _rooted_classes(docs: DataFrame) -> DataFrame:
+    """``join_classes`` with the root of each class, null where there are no shingles."""
     spark = docs.sparkSession
     common.bounded_batches(spark, 128)
     all_docs = common.written(measured(docs), "join-sets")
     n_docs = all_docs.count()
     full = all_docs.where("n_shingles > 0")
-    sets = common.written(full.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "join-reps")
+    sets = common.written(full.groupBy("fp").agg(_least().alias("_l"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")).select("fp", "_l.doc_id", "_l.text_key", "n_shingles", "sketch"), "join-reps")
     hot = frequent_shingles(docs, n_docs)
     found = common.written(candidates(keyed_blobs(docs, hot, common.width(spark))), "join-candidates")
     hubs = common.written(found.where("kind = 0").groupBy("a", "b").agg(F.sum("flags").alias("shared")), "join-hubs")
@@ -518,16 +533,16 @@ def join_classes(docs: DataFrame) -> DataFrame:
     final = components(links.union(verified(plausible(rest, sets), docs)))
     labelled = sets.select("fp", "doc_id").join(final.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = labelled.join(least, "root").select("fp", "component_id")
-    out = full.join(classes, "fp", "left").select("doc_id", "n_shingles", "component_id", "text_key")
-    alone = all_docs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key")
+    classes = labelled.join(least, "root").select("fp", "component_id", "root")
+    out = full.join(classes, "fp", "left").select("doc_id", "n_shingles", "component_id", "text_key", "root")
+    alone = all_docs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key", F.lit(None).cast("long").alias("root"))
     return out.union(alone)
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: the one of smallest doc_id. Rows without words all stay."""
-    classes = join_classes(docs).where("n_shingles > 0 and doc_id <=> component_id")
-    chosen = classes.groupBy("doc_id").agg(F.min("text_key").alias("_key")).withColumnRenamed("doc_id", "_id")
+    classes = _rooted_classes(docs).where("n_shingles > 0 and doc_id <=> component_id")
+    chosen = classes.groupBy("root").agg(_least().alias("_l")).select(F.col("_l.doc_id").alias("_id"), F.col("_l.text_key").alias("_key"))
     text = F.col("text").cast("string")
     wordless = ~F.regexp_like(F.coalesce(text, F.lit("")), F.lit(common.WORD))
     keyed = docs.where(~wordless).withColumn("_key", F.xxhash64(text.cast("binary"))).withColumn("_doc", F.col("doc_id").cast("long"))

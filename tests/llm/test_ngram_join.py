@@ -109,6 +109,16 @@ def test_representatives(spark):
     assert J.representatives(docs).where("text is null or text = ''").count() == 4
 
 
+def test_null_and_repeated_ids_on_different_texts(spark):
+    near = words(50, 1)
+    rows = [(None, words(50, 2)), (None, words(50, 3)), (None, near), (None, near + " more"), (None, near), (7, words(50, 4)), (7, words(50, 5)), (7, words(50, 5) + " end"), (8, words(50, 4) + " end"), (9, words(50, 6)), (9, words(50, 6))]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in J.representatives(docs).collect()]
+    start = lambda t: " ".join(t.split()[:50])
+    assert sorted(start(t) for _, t in kept) == sorted(words(50, s) for s in range(1, 7))
+    assert {start(t): d for d, t in kept} == {words(50, s): d for s, d in [(1, None), (2, None), (3, None), (4, 7), (5, 7), (6, 9)]}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 102), (200, 150), (5, 3), (7, 7)]
     got = dict((r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
