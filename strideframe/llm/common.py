@@ -33,15 +33,35 @@ def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Where tests and single machines keep tables if spark.checkpoint.dir is unset.
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """The folder of spark.checkpoint.dir. Where it is unset a temporary one does, but on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strideframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="strideframe-"))
+        found = _own[0]
     return found.rstrip("/")
 
 
+def free(columns: list[str], *names: str) -> list[str]:
+    """Names that no column has, whatever its case: each with as many underscores before it as needed."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+        taken.add(n.lower())
+    return out
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession

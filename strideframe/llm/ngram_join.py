@@ -15,9 +15,11 @@ are always enough units and no pair can be missed.
 Candidates are joined by content key in hash partitions. A parity sketch, whose distance never exceeds the
 true difference, discards most wrong candidates; the rest is verified on the texts' shingle sets. Each
 set first meets the candidate with which it shares most keys, then lists of candidates that are still
-apart are spanned by trees of small sketch distance, and at last all candidate pairs between the
-components that remain are verified. Links inside one component
-add nothing to the classes and aren't counted.
+apart are spanned by trees of small sketch distance. In the lists that remain, the members that some
+partner in another component is left for by the sketches (a pair counts in one list only) bring their
+shingle sets, and the links that join components are found where the list is: no step gives more rows
+than the lists have members, and a list of more than ``LIST_BLOCK`` members is dealt out by pairs of
+blocks. Links inside one component add nothing to the classes and aren't counted.
 
 Edge cases: null, empty and wordless texts have no shingles and link with nothing; up to four words make
 one shingle; equal sets are one class whatever their number; repeated rows keep a row each; an empty
@@ -44,6 +46,8 @@ LEVELS = 14  # frequencies are powers of two below the sample's size
 SAMPLE_DOCS, HOT_SHINGLES, HOT_COUNT = 8192, 1 << 18, 2
 FLUSH_DOCS, FLUSH_BYTES = 50_000, 12 << 20
 
+LIST_BLOCK = 4096  # members of a list that one task compares with each other
+
 RANGES = 4  # of keys (a power of two up to 4: the two top bits of an entry), unpacked one after the other
 
 U = np.uint64
@@ -211,15 +215,13 @@ def texts_or_empty(texts: list[bytes | None]) -> list[bytes]:
 
 def frequent_shingles(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that several documents of a bounded sample hold, and the logarithms of their numbers; cost estimates only."""
-    every = max(1, n_docs // SAMPLE_DOCS)
-
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (texts,) = common.columns_of(batch, "text")
             for a, z in common.slices(texts_or_empty(texts)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, U), *shingle_sets(texts[a:z])]).view(np.int64))], names=["h"])
 
-    sample = _rows(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    sample = _rows(docs).sample(min(1.0, SAMPLE_DOCS / max(1, n_docs)), seed=1)
     counts = sample.mapInArrow(listed, "h long").groupBy("h").count().where(F.col("count") >= HOT_COUNT)
     top = counts.orderBy(F.desc("count"), "h").limit(HOT_SHINGLES).toArrow()  # bounded by HOT_SHINGLES
     known, count = top.column("h").to_numpy().view(U), top.column("count").to_numpy()
@@ -240,6 +242,7 @@ def keyed_blobs(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int)
         fps: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         docs_held = bytes_held = 0
+        listed: set[int] = set()  # equal sets are indexed once in a flush, however many copies there are
 
         def flushed() -> Iterator[pa.RecordBatch]:
             if not held:
@@ -257,17 +260,19 @@ def keyed_blobs(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], parts: int)
                     present, number = np.unique(owner[lo:hi], return_counts=True)
                     raw = len(present).to_bytes(8, "little") + fp[present].tobytes() + size[present].tobytes() + number.astype(np.uint32).tobytes() + entries[lo:hi].tobytes()
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([raw], pa.binary())], names=["pid", "blob"])
-            held.clear(), fps.clear(), sizes.clear()
+            held.clear(), fps.clear(), sizes.clear(), listed.clear()
 
         for batch in batches:
             (texts,) = common.columns_of(batch, "text")
             for a, z in common.slices(texts_or_empty(texts)):
-                sets = [s for s in shingle_sets(texts[a:z]) if len(s)]
-                if not sets:
+                fresh = {f: s for s in shingle_sets(texts[a:z]) if len(s) for f in [set_fingerprint(s)] if f not in listed}
+                if not fresh:
                     continue
+                listed.update(fresh)
+                sets = list(fresh.values())
                 keys, flags, owner = signatures(sets, hot)
                 held.append((keys, flags, owner + np.int32(docs_held)))
-                fps.append(np.array([set_fingerprint(s) for s in sets], np.int64))
+                fps.append(np.array(list(fresh), np.int64))
                 sizes.append(np.array([len(s) for s in sets], np.int32))
                 docs_held, bytes_held = docs_held + len(sets), bytes_held + 8 * len(keys)
                 if docs_held > FLUSH_DOCS or bytes_held > FLUSH_BYTES:
@@ -402,33 +407,117 @@ def _spanning(fp: np.ndarray, size: np.ndarray, root: np.ndarray, sketch: list[b
     return np.array(found, np.int64).reshape(-1, 2)
 
 
-def cross_pairs(lists: DataFrame, parts: int, trees: bool = False) -> DataFrame:
-    """Pairs (a, b) of different roots in lists (key, a, n_a, flags, root, sketch) that a probing member vouches for
-    and that the sketches leave possible. trees: only pairs that span each list.
-    """
+def _tiled(lists: DataFrame, parts: int) -> DataFrame:
+    """``lists`` (key, n, a, ...) with ``tile`` and ``_bucket``: a list of more than ``LIST_BLOCK`` members stands once for each pair of its blocks."""
+    blocks = F.ceil(F.col("n") / LIST_BLOCK)
+    block = F.pmod(F.xxhash64("a"), blocks)
+    other = lists.withColumn("_block", block).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    tiled = other.withColumn("tile", F.xxhash64("key", F.least("_block", "_other"), F.greatest("_block", "_other"))).drop("_block", "_other")
+    return tiled.withColumn("_bucket", F.pmod("tile", F.lit(4 * parts)))
+
+
+def _members(table: pa.Table, *columns: str) -> Iterator[tuple]:
+    """The columns of each tile, as arrays or lists."""
+    table = table.sort_by("tile")
+    tiles = table.column("tile").to_numpy()
+    held = [table.column(c).to_numpy() if pa.types.is_integer(table.schema.field(c).type) else table.column(c).to_pylist() for c in columns]
+    edges = np.flatnonzero(np.concatenate([[True], tiles[1:] != tiles[:-1], [True]]))
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield tuple(x[lo:hi] for x in held)
+
+
+def spanning_pairs(lists: DataFrame, parts: int) -> DataFrame:
+    """Pairs (a, b) of different roots that span each list of (key, n, a, n_a, flags, root, sketch) by trees."""
 
     def paired(bucket: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("key")
-        keys, all_fp, all_size, all_flags, all_root = (table.column(c).to_numpy() for c in ("key", "a", "n_a", "flags", "root"))
-        all_sketch = table.column("sketch").to_pylist()
-        found: list[np.ndarray] = []
-        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            fp, size, flags, root, sketch = (x[lo:hi] for x in (all_fp, all_size, all_flags, all_root, all_sketch))
-            if trees:
-                found.append(_spanning(fp, size, root, sketch))
-                continue
-            folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for i in np.flatnonzero(flags & 1):
-                ok = (root != root[i]) & ((flags | flags[i]) & 2 > 0) & (np.minimum(size, size[i]) * 4 >= np.maximum(size, size[i]) * 3)
-                other = fp[_close(size, sketch, i, np.flatnonzero(ok), folded)]
-                if len(other):
-                    found.append(np.stack([np.minimum(other, fp[i]), np.maximum(other, fp[i])], axis=1))
-        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        found = [np.zeros((0, 2), np.int64), *(_spanning(*x) for x in _members(table, "a", "n_a", "root", "sketch"))]
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    dealt = lists.withColumn("_bucket", F.pmod(F.xxhash64("key"), F.lit(4 * parts)))
-    return dealt.groupBy("_bucket").applyInArrow(paired, "a long, b long")
+    return _tiled(lists, parts).groupBy("_bucket").applyInArrow(paired, "a long, b long")
+
+
+def _possible(size: np.ndarray, flags: np.ndarray, root: np.ndarray, sketch: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """Members that probe, each with the partners of other roots that flags, sizes and sketches leave possible."""
+    folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for i in np.flatnonzero(flags & 1).tolist():
+        ok = (root != root[i]) & ((flags | flags[i]) & 2 > 0) & (np.minimum(size, size[i]) * 4 >= np.maximum(size, size[i]) * 3)
+        others = np.flatnonzero(ok)
+        if len(others):
+            others = _close(size, sketch, i, others, folded)
+        if len(others):
+            yield i, others
+
+
+def open_members(lists: DataFrame, parts: int) -> DataFrame:
+    """key, n, a, n_a, flags and root of the members that some partner of another root is possible for.
+
+    ``keys`` names all lists of a member, with its flags there in the two low bits: a pair that meets in
+    several lists counts in the one of smallest name in which one side vouches for it.
+    """
+
+    def opened(bucket: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        for key, n, fp, size, flags, root, sketch, keys in _members(table, "key", "n", "a", "n_a", "flags", "root", "sketch", "keys"):
+            own = [np.frombuffer(k, np.int64) for k in keys]
+            here = int(key[0]) & ~3
+            chosen = np.zeros(len(fp), bool)
+            for i, others in _possible(size, flags, root, sketch):
+                for j in others.tolist():
+                    if chosen[i] and chosen[j]:
+                        continue
+                    names, x, y = np.intersect1d(own[i] & ~3, own[j] & ~3, assume_unique=True, return_indices=True)
+                    both = own[i][x] | own[j][y]
+                    if names[both & 3 == 3].min(initial=here) == here:
+                        chosen[i] = chosen[j] = True
+            out.append(tuple(x[chosen] for x in (key, n, fp, size, flags, root)))
+        cols = [np.concatenate(x) for x in zip(*out)]
+        return pa.table(dict(zip(("key", "n", "a", "n_a", "flags", "root"), cols)))
+
+    return _tiled(lists, parts).groupBy("_bucket").applyInArrow(opened, "key long, n long, a long, n_a int, flags int, root long")
+
+
+def joining_links(members: DataFrame, parts: int) -> DataFrame:
+    """Links (a, b) between roots in lists (key, n, a, n_a, flags, root, elements), at most one less than a list has roots."""
+
+    def joined(bucket: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        for fp, size, flags, root, raw in _members(table, "a", "n_a", "flags", "root", "elements"):
+            sets = [np.frombuffer(x, U) for x in raw]
+            above = {int(r): int(r) for r in root}
+
+            def top(r: int, above: dict[int, int] = above) -> int:
+                while above[r] != r:
+                    above[r] = r = above[above[r]]
+                return r
+
+            for i, others in _possible(size, flags, root, [parity_sketch(x) for x in sets]):
+                for j in others.tolist():
+                    x, y = top(int(root[i])), top(int(root[j]))
+                    if x == y:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                        above[max(x, y)] = min(x, y)
+                        found.append((min(int(fp[i]), int(fp[j])), max(int(fp[i]), int(fp[j]))))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return _tiled(members, parts).groupBy("_bucket").applyInArrow(joined, "a long, b long").distinct()
+
+
+def with_elements(members: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """``members`` with the shingle hashes of each, from its representative text."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (texts,) = common.columns_of(batch, "text")
+            for a, z in common.slices(texts_or_empty(texts)):
+                found = shingle_sets(texts[a:z])
+                yield pa.RecordBatch.from_arrays([pa.array([set_fingerprint(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["a", "elements"])
+
+    wanted = members.select(F.col("a").alias("fp")).distinct().join(sets, "fp").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    elements = common.written(_texts_of(wanted, docs).select("text").mapInArrow(made, "a long, elements binary").dropDuplicates(["a"]), "join-elements")
+    return members.join(elements, "a")
 
 
 def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -445,6 +534,13 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(kept, "a long, b long, doc_a long, doc_b long, key_a long, key_b long")
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """text_key and text, once each, of the documents that ``ids`` (_id, _key) names."""
+    mine = _rows(docs).withColumn("text_key", F.xxhash64("text"))
+    mine = mine.join(ids, mine["doc_id"].eqNullSafe(ids["_id"]) & (mine["text_key"] == ids["_key"]), "left_semi")
+    return mine.select("text_key", "text").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b, doc_a, doc_b, key_a, key_b) that are links, by their texts' sets.
 
@@ -452,9 +548,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """
     pairs = common.written(pairs, "join-pairs")
     ids = pairs.select("doc_a", "key_a").union(pairs.select("doc_b", "key_b")).toDF("_id", "_key").distinct()
-    mine = _rows(docs).withColumn("text_key", F.xxhash64("text"))
-    mine = mine.join(ids, mine["doc_id"].eqNullSafe(ids["_id"]) & (mine["text_key"] == ids["_key"]), "left_semi")
-    texts = common.written(mine.select("text_key", "text").distinct(), "join-texts")
+    texts = common.written(_texts_of(ids, docs), "join-texts")
     side = lambda x: texts.select(F.col("text_key").alias(f"key_{x}"), F.col("text").alias(f"text_{x}"))
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -483,11 +577,26 @@ def _with_root(df: DataFrame, roots: DataFrame, column: str, out: str) -> DataFr
     return df.join(roots.select(F.col("node").alias(column), F.col("root").alias(out)), column, "left").withColumn(out, F.coalesce(out, column))
 
 
-def _apart(lists: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Lists with members of several roots, with root and sketch of each member."""
-    w = Window.partitionBy("key")
-    rooted = _with_root(lists, roots, "a", "root").withColumn("_lo", F.min("root").over(w)).withColumn("_hi", F.max("root").over(w))
-    return rooted.where("_lo <> _hi").drop("_lo", "_hi").join(sets.select(F.col("fp").alias("a"), "sketch"), "a")
+def _apart(lists: DataFrame, roots: DataFrame, what: str) -> DataFrame:
+    """Lists with members of several roots: key, number n of members, and root of each member.
+
+    A long list is summed map-side; its rows then meet the one row of its key in a join that can be split.
+    """
+    rooted = common.written(_with_root(lists.select("key", "a", "n_a", "flags"), roots, "a", "root"), what)
+    several = rooted.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("n")).where("_lo <> _hi")
+    return rooted.join(several.select("key", "n"), "key")
+
+
+def _packed(keys: DataFrame) -> DataFrame:
+    """``_keys`` (longs) of each member as bytes."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("_keys"))
+            raw = [x.values.to_numpy().tobytes() for x in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("a")), pa.array(raw, pa.binary())], names=["a", "keys"])
+
+    return keys.mapInArrow(made, "a long, keys binary")
 
 
 def _least() -> Column:
@@ -519,18 +628,21 @@ def _rooted_classes(docs: DataFrame) -> DataFrame:
     roots = components(links)
     twos = found.where("kind = 2").select("a", "b").distinct()
     lists = found.where("kind = 1").select("key", "a", "n_a", "flags").dropDuplicates(["key", "a"])
+    sketches = sets.select(F.col("fp").alias("a"), "sketch")
+    parts = common.width(spark)
     # then along trees that span what is still apart in a list
-    apart = common.written(_apart(lists, roots, sets), "join-lists")
-    tested = first
-    spans = common.written(cross_pairs(apart, common.width(spark), trees=True).distinct().join(tested, ["a", "b"], "left_anti"), "join-spans")
+    apart = common.written(_apart(lists, roots, "join-rooted"), "join-lists")
+    spans = common.written(spanning_pairs(apart.join(sketches, "a"), parts).distinct().join(first, ["a", "b"], "left_anti"), "join-spans")
     links = common.written(links.union(verified(plausible(spans, sets), docs)), "join-links")
     roots = components(links)
-    # then every candidate pair between different components
-    tested = tested.union(spans)
-    open_twos = _with_root(_with_root(twos, roots, "a", "_ra"), roots, "b", "_rb").where("_ra <> _rb").select("a", "b")
-    still = _apart(apart.select("key", "a", "n_a", "flags"), roots, sets)
-    rest = open_twos.union(cross_pairs(still, common.width(spark))).distinct().join(tested, ["a", "b"], "left_anti")
-    final = components(links.union(verified(plausible(rest, sets), docs)))
+    # then what may still join components: pairs from lists of two, and the open members of longer lists with their sets
+    rest = _with_root(_with_root(twos, roots, "a", "_ra"), roots, "b", "_rb").where("_ra <> _rb").select("a", "b").join(first.union(spans), ["a", "b"], "left_anti")
+    still = common.written(_apart(apart, roots, "join-rooted"), "join-lists")
+    keys = still.groupBy("a").agg(F.array_sort(F.collect_list(F.col("key").bitwiseAND(-4).bitwiseOR(F.col("flags")))).alias("_keys"))
+    known = _packed(keys).join(sketches, "a")
+    members = common.written(open_members(still.join(known, "a"), parts).distinct(), "join-open")
+    joining = joining_links(with_elements(members, sets, docs), parts)
+    final = components(links.union(verified(plausible(rest, sets), docs)).union(joining))
     labelled = sets.select("fp", "doc_id").join(final.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = labelled.join(least, "root").select("fp", "component_id", "root")
@@ -542,10 +654,12 @@ def _rooted_classes(docs: DataFrame) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: the one of smallest doc_id. Rows without words all stay."""
     classes = _rooted_classes(docs).where("n_shingles > 0 and doc_id <=> component_id")
+    key, doc, row = common.free(docs.columns, "key", "doc", "row")
     chosen = classes.groupBy("root").agg(_least().alias("_l")).select(F.col("_l.doc_id").alias("_id"), F.col("_l.text_key").alias("_key"))
     text = F.col("text").cast("string")
     wordless = ~F.regexp_like(F.coalesce(text, F.lit("")), F.lit(common.WORD))
-    keyed = docs.where(~wordless).withColumn("_key", F.xxhash64(text.cast("binary"))).withColumn("_doc", F.col("doc_id").cast("long"))
-    kept = keyed.alias("d").join(chosen.alias("c"), F.col("d._doc").eqNullSafe(F.col("c._id")) & (F.col("d._key") == F.col("c._key")), "left_semi")
-    first = kept.withColumn("_row", F.row_number().over(Window.partitionBy("_doc", "_key").orderBy("_key"))).where("_row = 1")
+    keyed = docs.where(~wordless).withColumn(key, F.xxhash64(text.cast("binary"))).withColumn(doc, F.col("doc_id").cast("long"))
+    kept = keyed.alias("d").join(chosen.alias("c"), F.col(f"d.{doc}").eqNullSafe(F.col("c._id")) & (F.col(f"d.{key}") == F.col("c._key")), "left_semi")
+    # of equal rows only one leaves each task: the window's limit of one is taken before the exchange
+    first = kept.withColumn(row, F.row_number().over(Window.partitionBy(doc, key).orderBy(key))).where(F.col(row) == 1)
     return first.select(*docs.columns).union(docs.where(wordless).select(*docs.columns))

@@ -61,6 +61,42 @@ def test_classes_equal_brute_force(spark, seed):
     assert got == brute(texts)
 
 
+def group(n, seed):
+    """Near copies of one text with 0 to 14 changed words, many of them unlinked, and two exact copies of each tenth."""
+    r = random.Random(seed)
+    base = words(130, seed).split()
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(r.randrange(15)):
+            w[r.randrange(len(w))] = f"n{r.random()}"
+        out += [" ".join(w)] * (3 if i % 10 == 0 else 1)
+    return out
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_a_large_group_of_near_copies_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(J, "LIST_BLOCK", block)
+    texts = group(160, 3) + corpus(9, 20)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.join_classes(documents(spark, texts)).collect())
+    assert got == brute(texts)
+
+
+def test_list_stages_give_no_more_rows_than_lists_have_members(spark):
+    """All members possible for all others: the open members and the joining links stay linear."""
+    r = np.random.default_rng(1)
+    base = r.integers(0, 1 << 63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base, r.integers(0, 1 << 63, 12).astype(np.uint64)])) for _ in range(70)]
+    rows = [(k, 70, i, len(s), 3, i, bytearray(J.parity_sketch(s)), bytearray(np.array([4 << 2 | 3, 9 << 2 | 3], np.int64).tobytes()), bytearray(s.tobytes())) for k in (4 << 2, 9 << 2) for i, s in enumerate(sets)]
+    lists = spark.createDataFrame(rows, "key long, n long, a long, n_a int, flags int, root long, sketch binary, keys binary, elements binary")
+    opened = J.open_members(lists, 2)
+    assert {x.key for x in opened.collect()} == {4 << 2} and opened.count() == 70
+    assert J.spanning_pairs(lists, 2).distinct().count() <= 69
+    assert J.joining_links(lists, 2).count() == 0  # 60 of 84 shared: below 75 %
+    linked = lists.withColumn("elements", lists["elements"]).where("a < 2").union(lists.where("a = 0").replace(0, 90, ["a", "root"]))
+    assert [tuple(x) for x in J.joining_links(linked, 2).collect()] == [(0, 90)]
+
+
 def test_every_pair_has_a_common_key_that_one_vouches_for():
     """The pigeonhole itself: for linked sets of any sizes, without any shortcut."""
     r = np.random.default_rng(5)
@@ -109,6 +145,15 @@ def test_representatives(spark):
     assert J.representatives(docs).where("text is null or text = ''").count() == 4
 
 
+def test_representatives_with_clashing_names(spark):
+    docs = documents(spark, [words(50, 1), words(50, 1) + " more", None, words(50, 2)])
+    for c in ("_key", "_doc", "_row", "root", "fp", "text_key", "_id", "_l"):
+        docs = docs.withColumn(c, docs["lang"])
+    kept = J.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r["_key"], r["_row"]) for r in kept.collect()) == [(0, "en", "en"), (2, "en", "en"), (3, "en", "en")]
+
+
 def test_null_and_repeated_ids_on_different_texts(spark):
     near = words(50, 1)
     rows = [(None, words(50, 2)), (None, words(50, 3)), (None, near), (None, near + " more"), (None, near), (7, words(50, 4)), (7, words(50, 5)), (7, words(50, 5) + " end"), (8, words(50, 4) + " end"), (9, words(50, 6)), (9, words(50, 6))]
