@@ -16,8 +16,7 @@ Candidates are joined by content key in hash partitions. A parity sketch, whose
 true difference, discards most wrong candidates; the rest is verified on the texts' shingle sets. Each
 set first meets the candidate with which it shares most keys, then lists of candidates that are still
 apart are spanned by trees of small sketch distance. In the lists that remain, the members that some
-partner in another component is left for by the sketches (a pair counts in one list only) bring their
-shingle sets, and the links that join components are found where the list is: no step gives more rows
+partner in another component is left for by the sketches bring their shingle sets, and the links that join components are found where the list is: no step gives more rows
 than the lists have members, and a list of more than ``LIST_BLOCK`` members is dealt out by pairs of
 blocks. Links inside one component add nothing to the classes and aren't counted.
 
@@ -450,26 +449,15 @@ def _possible(size: np.ndarray, flags: np.ndarray, root: np.ndarray, sketch: lis
 
 
 def open_members(lists: DataFrame, parts: int) -> DataFrame:
-    """key, n, a, n_a, flags and root of the members that some partner of another root is possible for.
-
-    ``keys`` names all lists of a member, with its flags there in the two low bits: a pair that meets in
-    several lists counts in the one of smallest name in which one side vouches for it.
-    """
+    """key, n, a, n_a, flags and root of the members of (key, n, a, n_a, flags, root, sketch) that some partner of another root is possible for."""
 
     def opened(bucket: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        for key, n, fp, size, flags, root, sketch, keys in _members(table, "key", "n", "a", "n_a", "flags", "root", "sketch", "keys"):
-            own = [np.frombuffer(k, np.int64) for k in keys]
-            here = int(key[0]) & ~3
+        for key, n, fp, size, flags, root, sketch in _members(table, "key", "n", "a", "n_a", "flags", "root", "sketch"):
             chosen = np.zeros(len(fp), bool)
             for i, others in _possible(size, flags, root, sketch):
-                for j in others.tolist():
-                    if chosen[i] and chosen[j]:
-                        continue
-                    names, x, y = np.intersect1d(own[i] & ~3, own[j] & ~3, assume_unique=True, return_indices=True)
-                    both = own[i][x] | own[j][y]
-                    if names[both & 3 == 3].min(initial=here) == here:
-                        chosen[i] = chosen[j] = True
+                chosen[i] = True
+                chosen[others] = True
             out.append(tuple(x[chosen] for x in (key, n, fp, size, flags, root)))
         cols = [np.concatenate(x) for x in zip(*out)]
         return pa.table(dict(zip(("key", "n", "a", "n_a", "flags", "root"), cols)))
@@ -587,18 +575,6 @@ def _apart(lists: DataFrame, roots: DataFrame, what: str) -> DataFrame:
     return rooted.join(several.select("key", "n"), "key")
 
 
-def _packed(keys: DataFrame) -> DataFrame:
-    """``_keys`` (longs) of each member as bytes."""
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("_keys"))
-            raw = [x.values.to_numpy().tobytes() for x in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("a")), pa.array(raw, pa.binary())], names=["a", "keys"])
-
-    return keys.mapInArrow(made, "a long, keys binary")
-
-
 def _least() -> Column:
     """The row of smallest doc_id (null last) and text_key."""
     return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
@@ -638,9 +614,7 @@ def _rooted_classes(docs: DataFrame) -> DataFrame:
     # then what may still join components: pairs from lists of two, and the open members of longer lists with their sets
     rest = _with_root(_with_root(twos, roots, "a", "_ra"), roots, "b", "_rb").where("_ra <> _rb").select("a", "b").join(first.union(spans), ["a", "b"], "left_anti")
     still = common.written(_apart(apart, roots, "join-rooted"), "join-lists")
-    keys = still.groupBy("a").agg(F.array_sort(F.collect_list(F.col("key").bitwiseAND(-4).bitwiseOR(F.col("flags")))).alias("_keys"))
-    known = _packed(keys).join(sketches, "a")
-    members = common.written(open_members(still.join(known, "a"), parts).distinct(), "join-open")
+    members = common.written(open_members(still.join(sketches, "a"), parts).distinct(), "join-open")
     joining = joining_links(with_elements(members, sets, docs), parts)
     final = components(links.union(verified(plausible(rest, sets), docs)).union(joining))
     labelled = sets.select("fp", "doc_id").join(final.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -87,13 +87,12 @@ def test_list_stages_give_no_more_rows_than_lists_have_members(spark):
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 63, 60).astype(np.uint64)
     sets = [np.unique(np.concatenate([base, r.integers(0, 1 << 63, 12).astype(np.uint64)])) for _ in range(70)]
-    rows = [(k, 70, i, len(s), 3, i, bytearray(J.parity_sketch(s)), bytearray(np.array([4 << 2 | 3, 9 << 2 | 3], np.int64).tobytes()), bytearray(s.tobytes())) for k in (4 << 2, 9 << 2) for i, s in enumerate(sets)]
-    lists = spark.createDataFrame(rows, "key long, n long, a long, n_a int, flags int, root long, sketch binary, keys binary, elements binary")
-    opened = J.open_members(lists, 2)
-    assert {x.key for x in opened.collect()} == {4 << 2} and opened.count() == 70
+    rows = [(k, 70, i, len(s), 3, i, bytearray(J.parity_sketch(s)), bytearray(s.tobytes())) for k in (4, 9) for i, s in enumerate(sets)]
+    lists = spark.createDataFrame(rows, "key long, n long, a long, n_a int, flags int, root long, sketch binary, elements binary")
+    assert J.open_members(lists, 2).count() == 140
     assert J.spanning_pairs(lists, 2).distinct().count() <= 69
     assert J.joining_links(lists, 2).count() == 0  # 60 of 84 shared: below 75 %
-    linked = lists.withColumn("elements", lists["elements"]).where("a < 2").union(lists.where("a = 0").replace(0, 90, ["a", "root"]))
+    linked = lists.where("a < 2").union(lists.where("a = 0").replace(0, 90, ["a", "root"]))
     assert [tuple(x) for x in J.joining_links(linked, 2).collect()] == [(0, 90)]
 
 
