@@ -1,21 +1,26 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts.
 
 Training documents' tokens (words and one end each) are counted as hashed unigrams and bigrams, merged by
-key in hash partitions. A count c is stored as its level 1 + floor(log_b c): the items (n-gram, 1) to
-(n-gram, level) go into the filter segment of the key's partition. A reader probes level after level until
-one is missing and takes the level's least count; a false answer is as unlikely for each further level as
-the filter's error rate. All levels of all unigrams and bigrams are held, however many there are: a filter
-of up to ``FILTER_BYTES`` is broadcast, a larger one stays in its segments and the n-grams of each slice of
-texts are sent to them, with the same results.
+key in hash partitions. A count is stored as its level, the number of ``STEPS`` (1, 2, 3, 4, 6, 8, 12, ...)
+that it reaches: the items (n-gram, 1) to (n-gram, level) go into the filter segment of the key's
+partition. A reader probes level after level until one is missing and takes the level's least count; a
+false answer is as unlikely for each further level as the filter's error rate. All levels of all unigrams
+and bigrams are held, however many there are.
+
+Where the texts' bytes prove that the filter can't exceed ``FILTER_BYTES`` (a token needs two bytes and
+adds two items at most) and there are at most ``TABLE_WORDS`` words, filter and exact word counts are
+broadcast and texts are scored where they are. A larger filter isn't: texts are written in slices, each
+sends its distinct n-grams to the partitions of their keys, once; there they are counted, the segment is
+built and probed for them, and levels and word counts come back to the slice. Both ways give the same
+results (the tests hold them against each other and against exact counts).
 
 Probabilities: P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), P(w | v) = (c(v, w) + M P(w)) / (C(v) + M) where
 C(v) is the most that v's level allows, so the masses never add up to more than 1 (false answers aside).
+The base score takes the exact word counts.
 
-The base score needs exact counts. A vocabulary of up to ``TABLE_WORDS`` goes out as a table (10 bytes a
-word); a larger one is joined word by word instead, with the same results.
-
-Edge cases: null text is empty and has only the end; no training documents give N = V = 0; repeated rows
-are separate documents; an empty table gives no rows; other columns are ignored.
+Edge cases: null text is empty and has only the end; no training documents give N = V = 0; a null
+``held_out`` counts as held out; repeated rows are separate documents; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,15 +36,16 @@ from pyspark.sql import functions as F
 from . import common
 
 U = np.uint64
-BASE = 1.5
 BITS_PER_ITEM, PROBES = 10, 3
-FILTER_BYTES = 48 << 20
+FILTER_BYTES = 128 << 20
 TABLE_WORDS = 8_000_000
 PRIOR = 16.0
 ADD = 0.1
 END, BEGIN = U(0x6C7967D3A5F10E47), U(0xB1A0C93E5D27F681)
-FLUSH_TOKENS = 1_500_000
-FIRST_COUNTS = [1 << i for i in range(24)]
+SLICE_BYTES = 8 << 20  # of texts that send their n-grams together
+PART_BYTES = 128 << 20  # of texts for each partition of keys, if the session has fewer partitions
+DROPPED = U(24)  # bits of a key that a partition's number stands for
+STEPS = np.array(sorted({1, *(1 << k for k in range(1, 62)), *(3 << k for k in range(61))}), np.int64)
 
 
 def bigram_keys(tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
@@ -61,15 +67,16 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, edges
 
 
-def level(counts: np.ndarray, first: int) -> np.ndarray:
-    """Levels of counts; 0 below ``first``."""
-    with np.errstate(divide="ignore"):
-        found = 1 + np.floor(np.log(np.maximum(counts, 1) / first) / np.log(BASE) + 1e-9).astype(np.int64)
-    return np.where(counts >= first, found, 0)
+def level(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(STEPS, counts, "right")
+
+
+def least_count(levels: np.ndarray) -> np.ndarray:
+    return np.where(levels > 0, STEPS[np.maximum(levels, 1) - 1], 0).astype(np.float64)
 
 
-def least_count(levels: np.ndarray, first: int) -> np.ndarray:
-    return np.where(levels > 0, first * BASE ** (levels - 1.0), 0.0)
+def most_count(levels: np.ndarray) -> np.ndarray:
+    return np.where(levels > 0, STEPS[levels] - 1, 0).astype(np.float64)
 
 
 def item_hash(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,24 +91,22 @@ def probe(begin: np.ndarray, step: np.ndarray, i: int, bits: np.ndarray | np.uin
     return (begin + U(i) * step & U(0xFFFFFFFF)) * bits >> U(32)
 
 
-def segment(keys: np.ndarray, levels: np.ndarray) -> tuple[int, np.ndarray]:
-    """Number of items, and the packed bits of a filter segment that holds them."""
-    n = int(levels.sum())
-    size = max(64, BITS_PER_ITEM * n)
+def segment(keys: np.ndarray, levels: np.ndarray, per_item: int = BITS_PER_ITEM) -> tuple[int, np.ndarray]:
+    """Number of bits, and the packed bits of a filter segment that holds the items of ``keys``."""
+    size = max(64, per_item * int(levels.sum()))
     bits = np.zeros(size, bool)
     for j in range(1, int(levels.max(initial=0)) + 1):
-        here = keys[levels >= j]
-        begin, step = item_hash(here, j)
+        begin, step = item_hash(keys[levels >= j] >> DROPPED, j)
         for i in range(PROBES):
             bits[probe(begin, step, i, U(size)).astype(np.int64)] = True
-    return n, np.packbits(bits)
+    return size, np.packbits(bits)
 
 
 class Filter:
-    """A filter in memory: segments by key modulo their number."""
+    """A filter in memory: segments by key modulo their number; ``sizes`` in bits."""
 
-    def __init__(self, sizes: np.ndarray, raw: bytes, first: int):
-        self.sizes, self.first = np.asarray(sizes, np.int64), first
+    def __init__(self, sizes: np.ndarray, raw: bytes):
+        self.sizes = np.asarray(sizes, np.int64)
         self.offsets = np.concatenate([[0], np.cumsum((self.sizes + 7) // 8 * 8)])[:-1]
         self.bits = np.frombuffer(raw, np.uint8)
 
@@ -111,7 +116,7 @@ class Filter:
         if not len(self.sizes):
             return out
         part = (keys % U(len(self.sizes))).astype(np.int64)
-        sizes, offsets = self.sizes.astype(U)[part], self.offsets[part]
+        keys, sizes, offsets = keys >> DROPPED, self.sizes.astype(U)[part], self.offsets[part]
         j = 1
         while len(open_):
             begin, step = item_hash(keys[open_] if j > 1 else keys, j)
@@ -125,127 +130,136 @@ class Filter:
         return out
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+def _rows(docs: DataFrame, held_out: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.coalesce(F.col(held_out).cast("boolean"), F.lit(True)).alias("held_out"))
 
 
-def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is None:
-        return np.unique(keys, return_counts=True)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
+class Grams:
+    """Distinct n-grams of some texts: unigrams (0) and bigrams (1), sorted by partition, then key."""
 
+    def __init__(self, texts: list[bytes], parts: int):
+        self.tokens, self.edges = tokens_of(texts)
+        self.keys, self.place, self.bounds = [], [], []
+        for found in (self.tokens, bigram_keys(self.tokens, self.edges[:-1])):
+            keys, place = np.unique(found, return_inverse=True)
+            pid = (keys % U(parts)).astype(np.int64)
+            order = np.argsort(pid, kind="stable")
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            self.keys.append(keys[order])
+            self.place.append(back[place])
+            self.bounds.append(np.searchsorted(pid[order], np.arange(parts + 1)))
 
-def counted(train: DataFrame) -> DataFrame:
-    """kind, pid, first, n, total, a, b.
+    def counts(self, kind: int, learnt: np.ndarray) -> np.ndarray:
+        """Occurrences of each n-gram in the texts that are ``learnt``."""
+        mine = np.repeat(learnt, np.diff(self.edges))
+        return np.bincount(self.place[kind][mine], minlength=len(self.keys[kind]))
+
+
+def small(counts: np.ndarray) -> bytes:
+    """Counts as one byte each; those that don't fit follow with their places."""
+    wide = np.flatnonzero(counts > 254)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + wide.astype(np.int64).tobytes() + counts[wide].astype(np.int64).tobytes()
 
-    kind 0: one partition's exact unigrams, n distinct, total tokens, a keys, b counts. kind 1: one
-    partition's filter segment for bigram levels from count ``first``, n items, total bits, a bits.
-    """
-    parts = common.width(train.sparkSession)
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    wide = np.frombuffer(raw[n:], np.int64)
+    out[wide[: len(wide) // 2]] = wide[len(wide) // 2 :]
+    return out
+
+
+def sliced(rows: DataFrame, most: int = SLICE_BYTES) -> DataFrame:
+    """slice, and arrays doc_id, text and held_out: about ``most`` bytes of whole texts in a row."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        n = 0
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            for kind in (0, 1):
-                keys, counts = summed(np.concatenate([x[kind] for x in held]))
-                pid = (keys % U(parts)).astype(np.int64)
-                order = np.argsort(pid, kind="stable")
-                edges = np.searchsorted(pid[order], np.arange(parts + 1))
-                for p in range(parts):
-                    here = order[edges[p] : edges[p + 1]]
-                    if len(here):
-                        c = counts[here]
-                        # most counts fit in one byte; the others follow with their places
-                        wide = np.flatnonzero(c > 255)
-                        raw = len(here).to_bytes(8, "little") + keys[here].tobytes() + np.minimum(c, 255).astype(np.uint8).tobytes() + wide.astype(np.int64).tobytes() + c[wide].astype(np.int64).tobytes()
-                        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([kind], pa.int32()), pa.array([raw], pa.binary())], names=["pid", "kind", "blob"])
-            held.clear()
+        at, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def closed() -> pa.RecordBatch:
+            lists = [pa.array([list(x)], pa.list_(t)) for x, t in zip(zip(*held), (pa.int64(), pa.binary(), pa.bool_()))]
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *lists], names=["slice", "doc_id", "text", "held_out"])
 
         for batch in batches:
-            (texts,) = common.columns_of(batch, "text")
-            for a, z in common.slices(texts):
-                tokens, edges = tokens_of(texts[a:z])
-                held.append((tokens, bigram_keys(tokens, edges[:-1])))
-                n += len(tokens)
-                if n > FLUSH_TOKENS:
-                    yield from flushed()
-                    n = 0
-        yield from flushed()
-
-    def read(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-        n = int.from_bytes(raw[:8], "little")
-        keys, counts = np.frombuffer(raw, U, n, 8), np.frombuffer(raw, np.uint8, n, 8 + 8 * n).astype(np.int64)
-        wide = np.frombuffer(raw[8 + 9 * n :], np.int64)
-        counts[wide[: len(wide) // 2]] = wide[len(wide) // 2 :]
-        return keys, counts
+            for row in zip(*common.columns_of(batch, "doc_id", "text", "held_out")):
+                if held and size + len(row[1]) > most:
+                    yield closed()
+                    at, held, size = at + 1, [], 0
+                held.append(row)
+                size += len(row[1])
+        if held:
+            yield closed()
 
-    def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        pid = key[0].as_py()
-        both = []
-        for kind in (0, 1):
-            found = [read(raw) for k, raw in zip(table.column("kind").to_pylist(), table.column("blob")) for raw in [raw.as_py()] if k == kind]
-            keys, counts = ([np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, U), np.zeros(0, np.int64)])
-            both.append(summed(keys, counts))
-        (uni, uni_c), (bi, bi_c) = both
-        rows = [{"kind": 0, "pid": pid, "first": 0, "n": len(uni), "total": int(uni_c.sum()), "a": uni.tobytes(), "b": uni_c.tobytes()}]
-        uni_levels = level(uni_c, 1)
-        most = int(bi_c.max(initial=1))
-        for first in FIRST_COUNTS:  # a segment for each count that levels may begin at; larger ones are ever smaller
-            kept = bi_c >= first
-            n, bits = segment(np.concatenate([uni, bi[kept]]), np.concatenate([uni_levels, level(bi_c[kept], first)]))
-            rows.append({"kind": 1, "pid": pid, "first": first, "n": n, "total": max(64, BITS_PER_ITEM * n), "a": bits.tobytes(), "b": b""})
-            if first > most:
-                break
-        return pa.Table.from_pylist(rows, schema=pa.schema([("kind", pa.int32()), ("pid", pa.int32()), ("first", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("a", pa.binary()), ("b", pa.binary())]))
-
-    blobs = _rows(train).mapInArrow(made, "pid int, kind int, blob binary")
-    return blobs.groupBy("pid").applyInArrow(merged, "kind int, pid int, first int, n long, total long, a binary, b binary")
-
-
-def filter_of(counts: DataFrame, most_bytes: int = FILTER_BYTES) -> Filter:
-    """The filter whose bigram levels begin at the smallest count with which it fits."""
-    parts = common.width(counts.sparkSession)
-    sizes: dict[int, dict[int, int]] = {}
-    for r in counts.where("kind = 1").select("pid", "first", "total").collect():  # partitions times at most 24
-        sizes.setdefault(r["pid"], {})[r["first"]] = r["total"]
-    at = lambda own, first: first if first in own else max(own)  # noqa: E731  partitions without larger counts end earlier
-    fitting = next((f for f in FIRST_COUNTS if sum(own[at(own, f)] for own in sizes.values()) <= 8 * most_bytes), FIRST_COUNTS[-1])
-    chosen = counts.sparkSession.createDataFrame([(p, at(own, fitting)) for p, own in sizes.items()], "pid int, first int")
-    rows = counts.where("kind = 1").join(F.broadcast(chosen), ["pid", "first"]).select("pid", "a").toArrow()  # at most most_bytes
-    raw = dict(zip(rows.column("pid").to_pylist(), rows.column("a").to_pylist()))
-    bits = [sizes[p][at(sizes[p], fitting)] if p in sizes else 64 for p in range(parts)]
-    return Filter(np.array(bits), b"".join(raw.get(p, bytes(8)) for p in range(parts)), fitting)
-
-
-def filter_bits(counts: DataFrame) -> int:
-    """Bits of the filter that holds all levels."""
-    return common.scalar(counts.where("kind = 1 and first = 1").agg(F.sum("total").alias("bits")).first()["bits"])
-
-
-class Answers:
-    """Levels that the filter's segments gave for the n-grams of one slice."""
-
-    def __init__(self, keys: np.ndarray, levels: np.ndarray, first_texts: float):
-        self.keys, self.found, self.first, self.first_texts = keys, levels, 1, first_texts
+    return rows.mapInArrow(made, "slice long, doc_id array<long>, text array<binary>, held_out array<boolean>")
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        return self.found[np.searchsorted(self.keys, keys)]
+
+KEYED = "pid int, slice long, n_words int, n_pairs int, words binary, pairs binary, word_counts binary, pair_counts binary"
+
+
+def keyed(slices: DataFrame, parts: int) -> DataFrame:
+    """Distinct n-grams of each slice and their counts in what is learnt, by partition of their keys: words 8 bytes, pairs 5."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, texts, flags in zip(*common.columns_of(batch, "slice", "text", "held_out")):
+                grams = Grams(texts, parts)
+                counts = [grams.counts(k, ~np.array(flags, bool)) for k in (0, 1)]
+                short = np.ascontiguousarray((grams.keys[1] >> DROPPED).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+                rows = []
+                for p in range(parts):
+                    (a, b), (c, d) = (x[p : p + 2].tolist() for x in grams.bounds)
+                    if a < b or c < d:
+                        rows.append((p, number, b - a, d - c, grams.keys[0][a:b].tobytes(), short[c:d].tobytes(), small(counts[0][a:b]), small(counts[1][c:d])))
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["pid", "slice", "n_words", "n_pairs", "words", "pairs", "word_counts", "pair_counts"])
+
+    return slices.select("slice", "text", "held_out").mapInArrow(made, KEYED)
 
 
-def slice_keys(texts: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams of a slice, sorted; their order by segment; where each segment begins in it, and the end."""
-    tokens, edges = tokens_of(texts)
-    keys = np.unique(np.concatenate([[BEGIN], tokens, bigram_keys(tokens, edges[:-1])]))
-    pid = (keys % U(parts)).astype(np.int64)
-    order = np.argsort(pid, kind="stable")
-    return keys, order, np.searchsorted(pid[order], np.arange(parts + 1))
+COUNTED = "kind int, pid int, slice long, n long, total long, a binary, b binary"
+
+
+def counted(blobs: DataFrame, answers: bool, per_item: int = BITS_PER_ITEM) -> DataFrame:
+    """kind, pid, slice, n, total, a, b: of each partition of keys
+
+    kind 0: n distinct words, total tokens; a keys, b counts (unless ``answers``). kind 1: the filter
+    segment of n bits, a (unless ``answers``). kind 2, with ``answers``: what one slice asked for: a levels
+    of its words and pairs, one byte each, by probes of the segment; b counts of its words.
+    """
+
+    def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        pid = key[0].as_py()
+        n_words, n_pairs, slices = (table.column(c).to_pylist() for c in ("n_words", "n_pairs", "slice"))
+        words = [np.frombuffer(x.as_py(), U) for x in table.column("words")]
+        pairs = []
+        for x in table.column("pairs"):
+            wide = np.zeros((len(x.as_py()) // 5, 8), np.uint8)
+            wide[:, :5] = np.frombuffer(x.as_py(), np.uint8).reshape(-1, 5)
+            pairs.append(wide.view("<u8").ravel())
+        sums, places = [], []
+        for found, n, column in ((words, n_words, "word_counts"), (pairs, n_pairs, "pair_counts")):
+            keys, place = np.unique(np.concatenate(found), return_inverse=True)
+            counts = np.concatenate([unpacked(x.as_py(), m) for x, m in zip(table.column(column), n)])
+            sums.append((keys, np.bincount(place, weights=counts, minlength=len(keys)).astype(np.int64)))
+            places.append(place)
+        (uni, uni_c), (bi, bi_c) = sums
+        every = np.concatenate([uni, bi << DROPPED])
+        size, bits = segment(every, np.concatenate([level(uni_c), level(bi_c)]), per_item)
+        known = uni_c > 0
+        rows = [(0, pid, -1, int(known.sum()), int(uni_c.sum()), b"" if answers else uni[known].tobytes(), b"" if answers else uni_c[known].tobytes())]
+        if not answers:
+            rows.append((1, pid, -1, size, 0, bits.tobytes(), b""))
+        else:
+            levels = Filter(np.array([size]), bits.tobytes()).levels(every).astype(np.uint8)
+            of_words, of_pairs = levels[: len(uni)][places[0]], levels[len(uni) :][places[1]]
+            asked = uni_c[places[0]]
+            i = j = 0
+            for number, m, n in zip(slices, n_words, n_pairs):
+                rows.append((2, pid, number, m, n, of_words[i : i + m].tobytes() + of_pairs[j : j + n].tobytes(), small(asked[i : i + m])))
+                i, j = i + m, j + n
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(("kind", "pid", "slice", "n", "total", "a", "b"), zip(*rows), kinds)})
+
+    return blobs.groupBy("pid").applyInArrow(merged, COUNTED)
 
 
 class WordTable:
@@ -268,171 +282,106 @@ class WordTable:
         return np.where(self.keys[at] == keys, out, 0)
 
 
-def model_log10(tokens: np.ndarray, firsts: np.ndarray, known: Filter | Answers, n: int, v: int) -> np.ndarray:
-    """log10 of each token's probability after the one before it."""
-    distinct, back = np.unique(np.concatenate([[BEGIN], tokens]), return_inverse=True)
-    levels = known.levels(distinct)[back]
-    single = (least_count(levels[1:], 1) + ADD) / (n + ADD * (v + 1))
-    before = levels[:-1].copy()
-    before[firsts] = 0
-    most_before = np.where(before > 0, np.ceil(BASE**before), 0.0)
-    most_before[firsts] = known.first_texts
-    pairs, place = np.unique(bigram_keys(tokens, firsts), return_inverse=True)
-    pair = least_count(known.levels(pairs), known.first)[place]
-    pair = np.minimum(pair, most_before)
-    return np.log10((pair + PRIOR * single) / (most_before + PRIOR))
-
+def log10s(grams: Grams, words: np.ndarray, pairs: np.ndarray, n: int, v: int, texts: int) -> np.ndarray:
+    """log10 of each token's probability after the one before it; ``words`` and ``pairs`` are the levels of distinct n-grams."""
+    single = (least_count(words) + ADD) / (n + ADD * (v + 1))
+    now = grams.place[0]
+    before = np.empty(len(now))
+    before[1:] = most_count(words)[now[:-1]]
+    before[grams.edges[:-1]] = texts
+    pair = np.minimum(least_count(pairs)[grams.place[1]], before)
+    return np.log10((pair + PRIOR * single[now]) / (before + PRIOR))
 
-def score(docs: DataFrame, held_out: str = "held_out", table_words: int = TABLE_WORDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """Scores of ``docs`` (doc_id, text and the boolean column ``held_out``), learnt from the rows where that is false."""
-    spark = docs.sparkSession
-    common.bounded_batches(spark, 128)
-    train = docs.where(~F.col(held_out))
-    counts = common.written(counted(train), "lm-counts")
-    sums = counts.where("kind = 0").agg(F.sum("n").alias("v"), F.sum("total").alias("n")).first()
-    v, n = common.scalar(sums["v"]), common.scalar(sums["n"])
-    first_texts = float(_end_count(counts))
-    known = None
-    if filter_bits(counts) <= 8 * filter_bytes:
-        known = filter_of(counts, filter_bytes)
-        known.first_texts = first_texts
-    as_table = v <= table_words
-    words = None
-    if as_table:
-        rows = counts.where("kind = 0").select("a", "b").toArrow()  # at most 16 * table_words bytes
-        join = lambda c, kind: np.frombuffer(b"".join(rows.column(c).to_pylist()), kind)
-        words = WordTable(join("a", U), join("b", np.int64))
-        del rows
-    shared = spark.sparkContext.broadcast((known, words))
-
-    def of_slice(doc_ids: list, texts: list[bytes], out_flags: list, text_keys: list, model: Filter | Answers) -> pa.RecordBatch:
-        table = shared.value[1]
-        tokens, edges = tokens_of(texts)
-        each = np.add.reduceat(model_log10(tokens, edges[:-1], model, n, v), edges[:-1])
-        base, n_known = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        if table is not None:
-            distinct, back = np.unique(tokens, return_inverse=True)
-            c = table.counts(distinct)
-            base = np.add.reduceat(np.log10((c + ADD) / (n + ADD * (v + 1)))[back], edges[:-1])
-            n_known = np.add.reduceat((c > 0).astype(np.int64)[back], edges[:-1])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc_ids, pa.int64()), pa.array(out_flags, pa.bool_()), pa.array(np.diff(edges)), pa.array(n_known), pa.array(np.full(len(texts), n, np.int64)), pa.array(base), pa.array(each), pa.array(text_keys, pa.int64())],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "_text"],
-        )
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc_ids, texts, out_flags, text_keys = common.columns_of(batch, "doc_id", "text", "held_out", "_text")
-            for a, z in common.slices(texts):
-                yield of_slice(doc_ids[a:z], texts[a:z], out_flags[a:z], text_keys[a:z], shared.value[0])
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    text_key = F.lit(0).cast("long") if as_table else F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.col(held_out).alias("held_out"), text_key.alias("_text"))
-    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, _text long"
-    keyed = rows.mapInArrow(scored, kind) if known is not None else _scored_by_segments(rows, counts, of_slice, first_texts, kind)
-    if as_table:
-        return keyed.drop("_text")
-    exact = _joined_base(rows, counts, n, v)
-    return keyed.drop("n_known", "base_score").join(exact, keyed["doc_id"].eqNullSafe(exact["_id"]) & (keyed["_text"] == exact["_key"])).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
+def _scored(doc_ids: list, flags: list, grams: Grams, counts: np.ndarray, words: np.ndarray, pairs: np.ndarray, n: int, v: int, texts: int) -> pa.RecordBatch:
+    first = grams.edges[:-1]
+    each = np.add.reduceat(log10s(grams, words, pairs, n, v, texts), first)
+    base = np.add.reduceat(np.log10((counts + ADD) / (n + ADD * (v + 1)))[grams.place[0]], first)
+    known = np.add.reduceat((counts > 0).astype(np.int64)[grams.place[0]], first)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(doc_ids, pa.int64()), pa.array(flags, pa.bool_()), pa.array(np.diff(grams.edges)), pa.array(known), pa.array(np.full(len(first), n, np.int64)), pa.array(base), pa.array(each)],
+        names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    )
 
-def _scored_by_segments(rows: DataFrame, counts: DataFrame, of_slice, first_texts: float, kind: str) -> DataFrame:
-    """``of_slice`` of each slice of ``rows``, its n-grams looked up where their filter segments are.
 
-    Texts are written in slices. Each sends its distinct n-grams to their segments and the levels come
-    back to it; both ways the rows are sorted, so that a task holds one segment or one slice at a time.
-    """
-    parts = common.width(rows.sparkSession)
+def score(docs: DataFrame, held_out: str = "held_out", filter_bytes: int = FILTER_BYTES, table_words: int = TABLE_WORDS, per_item: int = BITS_PER_ITEM) -> DataFrame:
+    """Scores of ``docs`` (doc_id, text and the boolean column ``held_out``), learnt from the rows where that is false."""
+    spark = docs.sparkSession
+    common.bounded_batches(spark, 128)
+    rows = _rows(docs, held_out)
+    size = F.octet_length("text").cast("long")
+    sums = rows.agg(F.sum(size).alias("bytes"), F.sum(F.when(~F.col("held_out"), (size + 1) / 2 + 1)).alias("tokens"), F.count(F.when(~F.col("held_out"), 1)).alias("texts")).first()
+    parts = max(common.width(spark), common.scalar(sums["bytes"]) // PART_BYTES)
+    texts = common.scalar(sums["texts"])
+    if 2 * per_item * common.scalar(sums["tokens"]) <= 8 * filter_bytes:
+        counts = common.written(counted(keyed(sliced(rows.where("not held_out")), parts), False, per_item), "lm-counts")
+        n, v = _totals(counts)
+        if v <= table_words:
+            return _scored_by_broadcast(rows, counts, parts, n, v, texts)
+    slices = common.written(sliced(rows), "lm-slices")
+    answers = common.written(counted(keyed(slices, parts), True, per_item), "lm-answers")
+    return _scored_by_segments(slices, answers, parts, *_totals(answers), texts)
+
+
+def _totals(counts: DataFrame) -> tuple[int, int]:
+    """Tokens and distinct words that were learnt from."""
+    sums = counts.where("kind = 0").agg(F.sum("total").alias("n"), F.sum("n").alias("v")).first()
+    return common.scalar(sums["n"]), common.scalar(sums["v"])
+
+
+def _scored_by_broadcast(rows: DataFrame, counts: DataFrame, parts: int, n: int, v: int, texts: int) -> DataFrame:
+    """Filter (its size is proven by the caller) and word counts go to all workers."""
+    spark = rows.sparkSession
+    found = counts.where("kind = 1").select("pid", "n", "a").toArrow()
+    raw = {p: (bits, a) for p, bits, a in zip(*(found.column(c).to_pylist() for c in ("pid", "n", "a")))}
+    whole = Filter(np.array([raw[p][0] if p in raw else 64 for p in range(parts)]), b"".join(raw[p][1] if p in raw else bytes(8) for p in range(parts)))
+    exact = counts.where("kind = 0").select("a", "b").toArrow()  # at most 16 * table_words bytes
+    join = lambda c, kind: np.frombuffer(b"".join(exact.column(c).to_pylist()), kind)
+    shared = spark.sparkContext.broadcast((whole, WordTable(join("a", U), join("b", np.int64))))
 
-    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            names = ["doc_id", "text", "held_out", "_text"]
-            columns = common.columns_of(batch, *names)
-            for a, z in common.slices(columns[1]):
-                lists = [pa.array([c[a:z]], pa.list_(t)) for c, t in zip(columns, (pa.int64(), pa.binary(), pa.bool_(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *lists], names=["slice", *names])
-                at += 1
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, texts in zip(*common.columns_of(batch, "slice", "text")):
-                keys, order, edges = slice_keys(texts, parts)
-                here = [p for p in range(parts) if edges[p] < edges[p + 1]]
-                blobs = [keys[order[edges[p] : edges[p + 1]]].tobytes() for p in here]
-                yield pa.RecordBatch.from_arrays([pa.array(here, pa.int32()), pa.array([number] * len(here), pa.int64()), pa.array([0] * len(here), pa.int64()), pa.array(blobs, pa.binary())], names=["pid", "slice", "total", "blob"])
-
-    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, known = -1, None
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, table = shared.value
         for batch in batches:
-            numbers, pids, found = [], [], []
-            for pid, number, total, blob in zip(*common.columns_of(batch, "pid", "slice", "total", "blob")):
-                if number < 0:
-                    held, known = pid, Filter(np.array([total]), blob, 1)
-                    continue
-                keys = np.frombuffer(blob, U)
-                levels = known.levels(keys) if held == pid else np.zeros(len(keys), np.int64)
-                numbers.append(number), pids.append(pid), found.append(levels.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(pids, pa.int32()), pa.array(found, pa.binary())], names=["slice", "pid", "levels"])
-
-    def finished(texts: tuple, found: dict[int, bytes]) -> pa.RecordBatch:
-        keys, order, edges = slice_keys(texts[1], parts)
-        levels = np.zeros(len(keys), np.int64)
-        for p, raw in found.items():
-            levels[order[edges[p] : edges[p + 1]]] = np.frombuffer(raw, np.uint8)
-        return of_slice(*texts, Answers(keys, levels, first_texts))
+            doc_ids, all_texts, flags = common.columns_of(batch, "doc_id", "text", "held_out")
+            for a, z in common.slices(all_texts):
+                grams = Grams(all_texts[a:z], parts)
+                words, pairs = grams.keys
+                yield _scored(doc_ids[a:z], flags[a:z], grams, table.counts(words), model.levels(words), model.levels(pairs), n, v, texts)
+
+    return rows.mapInArrow(scored, SCORED)
+
+
+def _scored_by_segments(slices: DataFrame, answers: DataFrame, parts: int, n: int, v: int, texts: int) -> DataFrame:
+    """Each slice meets the answers to its n-grams; sorted, so that a task holds one slice at a time."""
+
+    def finished(own: tuple, found: list[tuple]) -> pa.RecordBatch:
+        doc_ids, all_texts, flags = own
+        grams = Grams(all_texts, parts)
+        levels = [np.zeros(len(k), np.int64) for k in grams.keys]
+        counts = np.zeros(len(grams.keys[0]), np.int64)
+        for p, a, b in found:
+            raw, start = np.frombuffer(a, np.uint8), [x[p] for x in grams.bounds]
+            m = grams.bounds[0][p + 1] - start[0]
+            levels[0][start[0] : start[0] + m] = raw[:m]
+            levels[1][start[1] : start[1] + len(raw) - m] = raw[m:]
+            counts[start[0] : start[0] + m] = unpacked(b, m)
+        return _scored(doc_ids, flags, grams, counts, *levels, n, v, texts)
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, found = None, {}
+        own, found = None, []
         for batch in batches:
-            for pid, levels, *own in zip(*common.columns_of(batch, "pid", "levels", "doc_id", "text", "held_out", "_text")):
+            for pid, a, b, *mine in zip(*common.columns_of(batch, "pid", "a", "b", "doc_id", "text", "held_out")):
                 if pid < 0:
-                    if texts is not None:
-                        yield finished(texts, found)
-                    texts, found = tuple(own), {}
+                    if own is not None:
+                        yield finished(own, found)
+                    own, found = tuple(mine), []
                 else:
-                    found[pid] = levels
-        if texts is not None:
-            yield finished(texts, found)
-
-    stored = common.written(rows.mapInArrow(sliced, "slice long, doc_id array<long>, text array<binary>, held_out array<boolean>, _text array<long>"), "lm-slices")
-    segments = counts.where("kind = 1 and first = 1").select("pid", F.lit(-1).cast("long").alias("slice"), "total", F.col("a").alias("blob"))
-    asks = stored.select("slice", "text").mapInArrow(asked, "pid int, slice long, total long, blob binary")
-    answers = segments.union(asks).repartition(parts, "pid").sortWithinPartitions("pid", "slice").mapInArrow(answered, "slice long, pid int, levels binary")
-    own = stored.withColumn("pid", F.lit(-1)).withColumn("levels", F.lit(None).cast("binary"))
-    both = own.unionByName(answers, allowMissingColumns=True)
-    return both.repartition(parts, "slice").sortWithinPartitions("slice", "pid").mapInArrow(gathered, kind)
-
-
-def _end_count(counts: DataFrame) -> int:
-    """How many texts were learnt from: the end token's count."""
-    part = int(END) % common.width(counts.sparkSession)
-    for r in counts.where((F.col("kind") == 0) & (F.col("pid") == part)).select("a", "b").collect():
-        keys = np.frombuffer(r["a"], U)
-        at = np.flatnonzero(keys == END)
-        if len(at):
-            return int(np.frombuffer(r["b"], np.int64)[at[0]])
-    return 0
-
-
-def _joined_base(rows: DataFrame, counts: DataFrame, n: int, v: int) -> DataFrame:
-    """_id, _key, n_known and base_score by joining each text's distinct words with their counts."""
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc_ids, texts, keys = common.columns_of(batch, "doc_id", "text", "_key")
-            for d, t, k in zip(doc_ids, texts, keys):
-                words, times = np.unique(tokens_of([t])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([d] * len(words), pa.int64()), pa.array([k] * len(words), pa.int64()), pa.array(words.view(np.int64)), pa.array(times.astype(np.int64))], names=["_id", "_key", "h", "times"])
+                    found.append((pid, a, b))
+        if own is not None:
+            yield finished(own, found)
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in zip(*common.columns_of(batch, "a", "b")):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.int64)), pa.array(np.frombuffer(b, np.int64))], names=["h", "c"])
-
-    texts = rows.select("doc_id", "text", F.col("_text").alias("_key")).dropDuplicates(["doc_id", "_key"])
-    words = texts.mapInArrow(listed, "_id long, _key long, h long, times long")
-    table = counts.where("kind = 0").select("a", "b").mapInArrow(spread, "h long, c long")
-    met = words.join(table, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    each = F.col("times") * F.log10((F.col("c") + ADD) / F.lit(n + ADD * (v + 1)))
-    return met.groupBy("_id", "_key").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(each).alias("base_score"))
+    both = slices.withColumn("pid", F.lit(-1)).unionByName(answers.where("kind = 2").select("slice", "pid", "a", "b"), allowMissingColumns=True)
+    return both.repartition(common.width(slices.sparkSession), "slice").sortWithinPartitions("slice", "pid").mapInArrow(gathered, SCORED)

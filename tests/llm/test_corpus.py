@@ -236,20 +236,47 @@ def _scored(spark, texts, **more):
     return docs, lm_scoring.score(extra(docs).drop("score"), **more).collect()
 
 
-@pytest.mark.parametrize("table_words", [10, 10_000_000])
-def test_base_score_is_exact(spark, table_words):
-    texts = [words(50 + i, i, 300) for i in range(60)] + ODD
-    _, rows = _scored(spark, texts, table_words=table_words)
-    tokens = [[w.decode() for w in (t or "").encode().lower().split()] + [None] for t in texts]
-    c = collections.Counter(w for i, x in enumerate(tokens) if zlib.crc32(str(i).encode()) % 10 for w in x)
-    n, v = sum(c.values()), len(c)
+def plain_model(texts, learnt):
+    """Exact n-gram counts, their levels restated, and the scores of all texts, by plain loops."""
+    steps = sorted({1} | {2**k for k in range(1, 40)} | {3 * 2**k for k in range(40)})
+    least = lambda c: max([0] + [t for t in steps if t <= c])
+    most = lambda c: min(t for t in steps if t > c) - 1 if c else 0
+    tokens = [[w.decode("utf-8", "replace") for w in (t or "").encode().lower().split()] + [None] for t in texts]
+    uni = collections.Counter(w for i in learnt for w in tokens[i])
+    bi = collections.Counter(x for i in learnt for x in zip(["^", *tokens[i]], tokens[i]))
+    n, v = sum(uni.values()), len(uni)
+    out = []
+    for own in tokens:
+        model = 0.0
+        for k, w in enumerate(own):
+            before = most(uni[own[k - 1]]) if k else len(learnt)
+            pair = min(least(bi[own[k - 1] if k else "^", w]), before)
+            model += math.log10((pair + 16 * (least(uni[w]) + 0.1) / (n + 0.1 * (v + 1))) / (before + 16))
+        base = sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
+        out.append((len(own), sum(uni[w] > 0 for w in own), n, base, model))
+    return out
+
+
+@pytest.mark.parametrize("more", [{}, {"filter_bytes": 100}, {"table_words": 10}])
+def test_scores_equal_brute_force_on_every_path(spark, more):
+    texts = [words(50 + i, i, 300) for i in range(60)] + [words(40, 7, 300)] * 30 + ODD
+    _, rows = _scored(spark, texts, per_item=600, **more)  # so many bits that no answer is false
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    want = plain_model(texts, [i for i in range(len(texts)) if not held(i)])
     assert len(rows) == len(texts)
     for r in rows:
-        own = tokens[r.doc_id]
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own), rel=1e-9)
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(own), sum(c[w] > 0 for w in own), n, zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
-        assert r.score < 0
-    assert lm_scoring.score(empty(spark).withColumn("held_out", F.lit(False))).count() == 0
+        n_tokens, n_known, n, base, model = want[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n_tokens, n_known, n, held(r.doc_id))
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(model, rel=1e-9)
+
+
+def test_scoring_odd_tables(spark):
+    flagged = lambda d, x: d.withColumn("held_out", F.lit(x).cast("boolean"))
+    assert lm_scoring.score(flagged(empty(spark), False)).count() == 0
+    docs = documents(spark, ODD + [words(3000, 4)])
+    for more in ({}, {"filter_bytes": 1}):
+        rows = lm_scoring.score(flagged(docs, None), **more).collect()
+        assert len(rows) == len(ODD) + 1 and all(r.train_tokens == r.n_known == 0 and r.held_out for r in rows)
 
 
 def test_model_beats_the_base_on_held_out_texts(spark):
@@ -263,31 +290,15 @@ def test_filter_levels_never_fall_short():
     r = np.random.default_rng(1)
     keys = common.mix64(np.arange(5000, dtype=np.uint64))
     counts = np.minimum(r.zipf(1.5, 5000), 10**6)
-    levels = lm_scoring.level(counts, 1)
-    n, bits = lm_scoring.segment(keys, levels)
-    f = lm_scoring.Filter(np.array([max(64, 10 * n)]), bits.tobytes(), 1)
+    levels = lm_scoring.level(counts)
+    size, bits = lm_scoring.segment(keys, levels)
+    f = lm_scoring.Filter(np.array([size]), bits.tobytes())
     got = f.levels(keys)
     assert (got >= levels).all() and (got > levels).mean() < 0.05
     assert (f.levels(common.mix64(np.arange(5000, 10000, dtype=np.uint64))) > 0).mean() < 0.05
-    assert (lm_scoring.least_count(levels, 1) <= counts + 1e-9).all()
-    assert (lm_scoring.level(np.array([1, 2, 4, 5]), 4) > 0).tolist() == [False, False, True, True]
-
-
-def test_a_small_filter_begins_at_higher_counts(spark):
-    texts = [words(400, i, 50) for i in range(20)]
-    docs = documents(spark, texts)
-    counts = common.written(lm_scoring.counted(docs), "t")
-    assert lm_scoring.filter_of(counts, 1 << 20).first == 1
-    assert lm_scoring.filter_of(counts, 1000).first > 1
-
-
-@pytest.mark.parametrize("table_words", [10, 10_000_000])
-def test_a_filter_too_large_to_broadcast_scores_alike(spark, table_words):
-    texts = [words(300, i, 80) for i in range(60)] + ODD
-    near = lambda rows: sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 9), round(r.score, 9)) for r in rows)
-    _, whole = _scored(spark, texts, table_words=table_words)
-    _, parted = _scored(spark, texts, table_words=table_words, filter_bytes=100)
-    assert len(parted) == len(texts) and near(parted) == near(whole)
+    assert (lm_scoring.least_count(levels) <= counts).all() and (lm_scoring.most_count(levels) >= counts).all()
+    assert lm_scoring.level(np.array([0, 1, 2, 3, 4, 5, 6, 300])).tolist() == [0, 1, 2, 3, 4, 4, 5, 16]
+    assert (lm_scoring.unpacked(lm_scoring.small(counts), 5000) == counts).all()
 
 
 def _vectors(spark, n=600, dim=16, seed=2):
