@@ -189,6 +189,42 @@ def test_method_adds_sure_candidates(spark):
     assert rows[240].spans == ""
 
 
+def test_wide_forms_of_every_kind_are_added(spark):
+    texts = [f"server address 203[.]0[.]113[.]{i % 200} here" for i in range(40)] + [f"host ip 198.51.100.{i % 250} up" for i in range(200)]
+    texts += [f"card 4111.1111.1111.1111 of {i}" for i in range(20)] + [f"visa 4111 1111 1111 1111 no{i}" for i in range(100)]
+    texts += [f"call (030) 555-{1000 + i} today" for i in range(40)] + [f"phone +49 30 55512{i:02} ok" for i in range(100)]
+    texts += ["card 4111.1111.1111.1112 fails the check", "host 203[.]0[.]113[.]999 isn't one", "v 2001:db8:0:0:0:0:0:1 is"]
+    rows = {r.doc_id: r for r in pii.digest(pii.find(documents(spark, texts))).collect()}
+    kinds = lambda r: [x.split(":")[0] for x in r.spans.split(",")] if r.spans else []
+    assert all(kinds(rows[i]) == ["ip"] and rows[i].n_ip == 0 and rows[i].n_spans == 1 for i in range(40))
+    assert all(kinds(rows[i]) == ["card"] and rows[i].n_card == 0 for i in range(240, 260))
+    assert rows[500].n_spans == 0 and rows[501].n_spans == 0
+    for i, r in rows.items():
+        if 360 <= i < 400:
+            assert kinds(r) in ([], ["phone"]) and r.n_phone == 0
+
+
+def test_texts_of_many_matches(spark):
+    """Linear work: 200 KB of addresses, their spans and their redaction."""
+    import time
+
+    n = 28_000
+    text = " ".join(f"a{i % 10}@b.co" for i in range(n)) + " é"
+    docs = documents(spark, [text, "x@y.org é"])
+    begin = time.perf_counter()
+    rows = {r.doc_id: r for r in pii.digest(pii.find(docs)).collect()}
+    assert rows[0].n_email == n and rows[0].spans.startswith("email:0:7,email:8:15,") and rows[0].spans.endswith(f"email:{8 * (n - 1)}:{8 * n - 1}")
+    clean = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
+    assert clean == {0: " ".join(["[EMAIL]"] * n) + " é", 1: "[EMAIL] é"}
+    assert time.perf_counter() - begin < 120
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([([*range(1, n + 1)],) for n in (0, 1, 2, 3, 10, 99)], "v array<int>")
+    for v, sums, tops in df.select("v", pii._sums(F.col("v")), pii._tops(F.reverse("v"))).collect():
+        assert sums == [sum(v[: i + 1]) for i in range(len(v))] and tops == [len(v)] * len(v)
+
+
 def test_reliabilities_learn_from_agreement():
     good, bad = 2 + 2 * 3 + 2 * 9 + 2 * 27, 0
     prior, post = pii.reliabilities({good: 900, bad: 100, 2 + 2 * 3 + 1 * 9 + 2 * 27: 50})
@@ -202,6 +238,19 @@ def test_redaction(spark):
     assert rows[0].n_chars == len(rows[0].text) and pii.redacted(docs).columns == docs.columns
 
 
+def test_redaction_of_long_texts_and_clashing_names(spark):
+    long = "".join(f"{'ä' * (i % 977)} 1.2.3.{i % 250} " for i in range(60))
+    both = "card +4111111111111111 and a@b.co"
+    docs = documents(spark, [long, both, None, ""])
+    for c in ("_spans", "_text", "__spans", "s", "spans"):
+        docs = docs.withColumn(c, F.lit("own"))
+    got = pii.redacted(docs)
+    rows = {r.doc_id: r for r in got.collect()}
+    assert got.columns == docs.columns and {r["_spans"] + r["_text"] + r["s"] for r in rows.values()} == {"ownownown"}
+    assert rows[0].text == re.sub(r"1\.2\.3\.[0-9]+", "[IP]", long) and rows[0].n_chars == len(rows[0].text)
+    assert rows[1].text in ("card [PHONE] and [EMAIL]", "card +[CARD] and [EMAIL]") and rows[2].text is None and rows[3].text == ""
+
+
 def test_media_round_trip(spark):
     texts = [*ODD, words(2000, 3), "y" * 192, "z" * 193]
     rows = mpeg_audio.properties(mpeg_audio.with_media(extra(documents(spark, texts))), offsets=True).collect()
