@@ -1,16 +1,20 @@
 """Mixing sources to target weights over fixed-length blocks of words.
 
 Each source's words, documents end to end, are cut into blocks of ``block`` words (the last one may be
-shorter). The number of blocks that a source gives follows its target. Output shards draw their counts
-multinomially with the sources' remaining blocks as weights; what the last shard gets is what remains,
-so totals come out exactly while shards vary as multinomial draws do. A source's slots, counted over all
+shorter). Output shards draw their counts one after the other, each a multinomial draw with what the
+sources' targets still lack as weights. Totals aren't forced: what one shard draws too much of, later
+ones draw less of, so a source ends within some blocks of its target. A source's slots, counted over all
 shards, go through a pseudorandom permutation of its block numbers, a new one for each pass over the
-source: every block is used equally often, give or take one, and never more than ``most`` times. Slots
-and documents meet in a join by (source, block).
+source: every block is used equally often, give or take one, and slots beyond ``most`` passes aren't
+drawn. Slots and documents meet in a join by (source, block); every use keeps its shard and slot.
+
+One row for each source comes to the driver, where targets and draws are made: sources are the mixture's
+settings, and their number is taken to fit there.
 
 Edge cases: null text has size 0 and is taken 0 times; null source is a source of its own, last; a
 source without words has target 0; repeated rows are separate documents; an empty table gives no rows;
-other columns are ignored. Runs agree: all draws come from ``seed``.
+other columns are ignored (``mixed_documents`` keeps them,
+whatever their names). Runs agree: all draws come from ``seed`` and ``draw_seed``.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ BLOCK = 64
 MOST = 3
 FEW_SOURCES = 50_000
 WEIGHTS = (5.0, 2.0, 1.0)
+RUN = 4096  # slots that one row stands for before they are listed
 
 
 def targets(sizes: list[int], weights: list[float], most: int = MOST) -> list[float]:
@@ -47,18 +52,18 @@ def targets(sizes: list[int], weights: list[float], most: int = MOST) -> list[fl
     return out
 
 
-def draws(counts: list[int], shards: int, seed: int) -> np.ndarray:
-    """Blocks of each source (columns) for each output shard (rows); columns add up to ``counts``."""
+def draws(wanted: list[int], limits: list[int], shards: int, seed: int) -> np.ndarray:
+    """Blocks of each source (columns) for each output shard (rows), near ``wanted`` in all and never above ``limits``."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    left = np.array(counts, np.int64)
-    out = np.zeros((shards, len(counts)), np.int64)
+    left, room = np.array(wanted, np.int64), np.array(limits, np.int64)
+    out = np.zeros((shards, len(wanted)), np.int64)
     for t in range(shards):
-        want = int(left.sum()) // (shards - t)
-        while want:  # what exceeds a source's remainder is drawn again from the others
-            got = np.minimum(rng.multinomial(want, left / left.sum()), left)
-            out[t] += got
-            left -= got
-            want -= int(got.sum())
+        lacking = np.minimum(np.maximum(left, 0), room)
+        n = -(-int(lacking.sum()) // (shards - t))
+        if n:
+            out[t] = np.minimum(rng.multinomial(n, lacking / lacking.sum()), room)
+            left -= out[t]
+            room -= out[t]
     return out
 
 
@@ -79,8 +84,8 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD)).cast("long"))
+def sized(docs: DataFrame, name: str = "_size") -> DataFrame:
+    return docs.withColumn(name, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD)).cast("long"))
 
 
 def plan(spark, totals: list[tuple[str | None, int]], block: int, most: int, shards: int, seed: int) -> tuple[list[dict], DataFrame]:
@@ -90,16 +95,19 @@ def plan(spark, totals: list[tuple[str | None, int]], block: int, most: int, sha
     wanted = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(order))], most)
     blocks = [-(-n // block) for n in sizes]
     slots = [min(most * b, round(t * b / n)) if n else 0 for b, n, t in zip(blocks, sizes, wanted)]
-    drawn = draws(slots, shards, seed)
+    drawn = draws(slots, [most * b for b in blocks], shards, seed)
     first = np.cumsum(drawn, axis=0) - drawn
     sources = [{"source": s, "source_no": i, "source_size": n, "target": t, "blocks": b} for i, ((s, n), t, b) in enumerate(zip(order, wanted, blocks))]
-    cells = [(t, i, int(first[t, i]), int(drawn[t, i]), blocks[i]) for t in range(shards) for i in range(len(order)) if drawn[t, i]]
-    return sources, spark.createDataFrame(cells, "shard int, source_no int, first long, n long, blocks long")
+    t, i = np.nonzero(drawn)
+    cells = pa.table({"shard": pa.array(t, pa.int32()), "source_no": pa.array(i, pa.int32()), "first": first[t, i], "n": drawn[t, i], "blocks": np.array(blocks, np.int64)[i]})
+    return sources, spark.createDataFrame(cells) if len(t) else spark.createDataFrame([], "shard int, source_no int, first long, n long, blocks long")
 
 
 def slot_blocks(cells: DataFrame, seed: int) -> DataFrame:
     """shard, source_no, slot and the block that the slot maps to."""
-    slots = cells.repartition(common.width(cells.sparkSession), "shard", "source_no").withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
+    run = F.expr(f"explode(sequence(0L, (n - 1) div {RUN}))")
+    runs = cells.withColumn("_run", run).select("shard", "source_no", "blocks", (F.col("first") + F.col("_run") * RUN).alias("_from"), F.least(F.lit(RUN).cast("long"), F.col("n") - F.col("_run") * RUN).alias("_n"))
+    slots = runs.repartition(common.width(cells.sparkSession), "shard", "source_no", "_from").withColumn("slot", F.explode(F.expr("sequence(_from, _from + _n - 1)")))
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,30 +141,32 @@ def positions(rows: DataFrame, sources: list[dict]) -> DataFrame:
     return placed.join(before, ["source_no", "_bucket"]).withColumn("_at", F.col("_before") + F.col("_within")).drop("_before", "_within")
 
 
-def mix(docs: DataFrame, block: int = BLOCK, most: int = MOST, shards: int = 64, seed: int = 11, keep_uses: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of each document.
+def mix(docs: DataFrame, block: int = BLOCK, most: int = MOST, shards: int = 64, seed: int = 11, draw_seed: int | None = None, keep_uses: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, first_shard and last_shard of each document.
 
-    keep_uses: also ``uses``, an array of (first word, words, times) of the document's blocks.
+    first_shard, last_shard: the output shards, of 0 to ``shards`` - 1, that words of it go to first and
+    last; null where none go. keep_uses: also ``uses``, an array of (first word, words, times, slots) of the
+    document's blocks, slots an array of (shard, slot). draw_seed: for the multinomial draws alone.
     """
     spark = docs.sparkSession
     common.bounded_batches(spark, 10_000)
-    narrow = common.written(sized(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "_size"), "mixing")
+    narrow = common.written(sized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))).drop("text"), "mixing")
     totals = [(r["source"], common.scalar(r["n"])) for r in narrow.groupBy("source").agg(F.sum("_size").alias("n")).collect()]  # one row for each source
-    sources, cells = plan(spark, totals, block, most, shards, seed)
-    uses = slot_blocks(cells, seed).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("_times"))
+    sources, cells = plan(spark, totals, block, most, shards, seed if draw_seed is None else draw_seed)
+    uses = slot_blocks(cells, seed).groupBy("source_no", "block").agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("_slots"))  # at most ``most``
     placed = positions(narrow, sources)
     last = F.floor((F.col("_at") + F.col("_size") - 1) / block)
     parts = placed.withColumn("block", F.explode_outer(F.when(F.col("_size") > 0, F.sequence(F.floor(F.col("_at") / block), last))))
     begin, end = F.greatest(F.col("_at"), F.col("block") * block), F.least(F.col("_at") + F.col("_size"), (F.col("block") + 1) * block)
     parts = parts.withColumn("_first", begin - F.col("_at")).withColumn("_words", end - begin)
     # the planner can't see that slots multiply the few cells; without the hint it would broadcast their counts
-    met = parts.join(uses.hint("merge"), ["source_no", "block"], "left").withColumn("_times", F.coalesce("_times", F.lit(0)))
+    met = parts.join(uses.hint("merge"), ["source_no", "block"], "left").withColumn("_times", F.coalesce(F.array_size("_slots"), F.lit(0)))
     key = ["source_no", "_bucket", "_row", "doc_id", "source", "_size", "source_size", "target"]
-    sums = [F.coalesce(F.sum(F.col("_words") * F.col("_times")), F.lit(0)).cast("long").alias("taken")]
+    sums = [F.coalesce(F.sum(F.col("_words") * F.col("_times")), F.lit(0)).cast("long").alias("taken"), F.min(F.array_min("_slots")["shard"]).alias("first_shard"), F.max(F.array_max("_slots")["shard"]).alias("last_shard")]
     if keep_uses:
-        sums.append(F.array_sort(F.collect_list(F.when(F.col("_words") > 0, F.struct("_first", "_words", "_times")))).alias("uses"))
+        sums.append(F.array_sort(F.collect_list(F.when(F.col("_words") > 0, F.struct("_first", "_words", "_times", F.col("_slots").alias("slots"))))).alias("uses"))
     out = met.groupBy(*key).agg(*sums)
-    return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "taken", *(["uses"] if keep_uses else []))
+    return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "taken", "first_shard", "last_shard", *(["uses"] if keep_uses else []))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -166,18 +176,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     remain as they stand in it. One never used goes. ``n_chars``, where there is one, follows the text.
     Rows of equal (doc_id, source, size) share their uses: the first of them stands for all.
     """
-    uses = mix(docs, keep_uses=True, **options).where("taken > 0").select("doc_id", "source", F.col("size").alias("_size"), F.col("uses").alias("_uses"))
-    uses = uses.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy("_uses")))
-    rows = sized(docs).withColumn("_nth", F.row_number().over(Window.partitionBy(F.col("doc_id"), F.col("source"), F.col("_size")).orderBy("text")))
-    u = uses.alias("u")
-    joined = rows.alias("d").join(u, (F.col("d.doc_id").cast("long").eqNullSafe(F.col("u.doc_id"))) & F.col("d.source").cast("string").eqNullSafe(F.col("u.source")) & (F.col("d._size") == F.col("u._size")) & (F.col("d._nth") == F.col("u._nth"))).select("d.*", "u._uses")
-    turns = joined.withColumn("_turn", F.explode(F.expr("sequence(1, array_max(transform(_uses, x -> x._times)))")))
-    used = F.expr("filter(_uses, x -> x._times >= _turn)")
-    turns = turns.withColumn("_used", used)
-    whole = F.size("_used") == F.size("_uses")
+    size, nth, turn, used, every, kept = common.free(docs.columns, "size", "nth", "turn", "used", "all", "uses")
+    uses = mix(docs, keep_uses=True, **options).where("taken > 0").select("doc_id", "source", F.col("size").alias("_size"), F.transform("uses", lambda x: F.struct(x["_first"].alias("_first"), x["_words"].alias("_words"), x["_times"].alias("_times"))).alias(kept))
+    uses = uses.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(kept)))
+    rows = sized(docs, size).withColumn(nth, F.row_number().over(Window.partitionBy(F.col("doc_id"), F.col("source"), F.col(size)).orderBy("text")))
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("u.doc_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("u.source")) & (F.col(f"d.{size}") == F.col("u._size")) & (F.col(f"d.{nth}") == F.col("u._nth"))
+    joined = rows.alias("d").join(uses.alias("u"), same).select("d.*", F.col(f"u.{kept}"))
+    turns = joined.withColumn(turn, F.explode(F.expr(f"sequence(1, array_max(transform({kept}, x -> x._times)))")))
+    turns = turns.withColumn(used, F.filter(kept, lambda x: x["_times"] >= F.col(turn)))
+    whole = F.size(used) == F.size(kept)
     words = F.regexp_extract_all("text", F.lit(f"({common.WORD})"), F.lit(1))
-    some = F.array_join(F.flatten(F.transform("_used", lambda x: F.slice(F.col("_all"), (x["_first"] + 1).cast("int"), x["_words"].cast("int")))), " ")
-    turns = turns.withColumn("_all", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(some))
+    some = F.array_join(F.flatten(F.transform(used, lambda x: F.slice(F.col(every), (x["_first"] + 1).cast("int"), x["_words"].cast("int")))), " ")
+    turns = turns.withColumn(every, F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         turns = turns.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return turns.select(*docs.columns)
+    return turns.select(*(F.col(f"`{c}`") for c in docs.columns))
