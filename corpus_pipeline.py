@@ -19,8 +19,9 @@ from strideframe.llm import common, language_id, mixing, ngram_join, packing, pi
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     contents = language_id.dictionaries(docs)
-    kept = language_id.predicted(docs, contents, *docs.columns).where("not rejected")
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    names = common.free(docs.columns, "lang_pred", "score", "rejected")
+    kept = language_id.predicted(docs, contents, *docs.columns, names=tuple(names)).where(~F.col(names[2]))
+    return kept.withColumn("lang", F.coalesce("lang", names[0])).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 The vocabulary's pre-tokenizer never joins characters across ASCII white space and its normaliser
 (composition, white space to one space, lower case) doesn't look across it either. A text's ids are
 therefore the ids of its white-space-separated words, end to end, and each distinct word needs the
-tokenizers library once. The tests hold this against encoding whole texts.
+tokenizers library once. The tests hold this against encoding whole texts. A vocabulary whose normaliser or
+pre-tokenizer isn't of this kind is recognised on loading, and its texts are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from itertools import chain, islice
 
@@ -27,6 +29,16 @@ class _Index(dict):
         return at
 
 
+def splits_at_white_space(config: dict) -> bool:
+    """Whether the pre-tokenizer drops all white space and no normaliser looks across it."""
+    parts = lambda x, name: [] if not x else x[name] if x["type"] == "Sequence" else [x]
+    first, *rest = parts(config.get("pre_tokenizer"), "pretokenizers") or [{"type": None}]
+    plain = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in parts(config.get("normalizer"), "normalizers"))
+    # the pieces that are kept: none of them may hold white space
+    kept = first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and r"[^\s\p{L}\p{N}]+" in first["pattern"].get("Regex", "") and " " not in first["pattern"]["Regex"] and r"\s+" not in first["pattern"]["Regex"]
+    return plain and kept and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] for x in rest) and not config.get("post_processor")
+
+
 class WordEncoder:
     """``encode(texts)`` gives all ids end to end (uint32) and each text's count.
 
@@ -39,6 +51,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library, self.most = Tokenizer.from_file(path), most
+        self.by_words = splits_at_white_space(json.loads(self.library.to_str()))
         self.mark = "\x01"
         alone = self.library.encode(self.mark, add_special_tokens=False).ids
         self.mark_id = alone[0] if len(alone) == 1 else None
@@ -82,6 +95,10 @@ class WordEncoder:
         return np.delete(flat, marks), np.diff(marks, prepend=-1) - 1
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        if not self.by_words:
+            got = [e.ids for e in self.library.encode_batch_fast([(t or b"").decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            return np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum())), n
         if len(self.index) > self.most:
             self._shrink()
         # only a literal marker of the vocabulary could read otherwise in lower case

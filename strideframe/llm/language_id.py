@@ -30,18 +30,20 @@ UNKNOWN = "und"
 
 
 def letters(text: str) -> str:
-    """The words of a text as language shows in them: lower case, runs of anything but letters as one space."""
-    return OTHER.sub(" ", text.lower()).strip()
+    """The words of a text as language shows in them: lower case, runs of marks and digits as one space; empty if there is no letter."""
+    plain = OTHER.sub(" ", text.lower()).strip()
+    return plain if any(map(str.isalpha, plain)) else ""
 
 
 def dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, bytes]:
     """Raw dictionary content of each language in ``labelled`` (doc_id, text, lang); languages are few."""
-    rows = labelled.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", F.lit(7)).alias("_h"))
-    top = rows.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_r") <= sample_docs)
-    chosen = top.select("doc_id", F.col("lang").alias("_lang"), "_r", "_h")  # at most sample_docs rows a language
+    known = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("_lang"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("_key"))
+    # copies count once, so that a text that stands on many rows is sampled once and comes to the driver once
+    distinct = known.select("_lang", "_key").distinct().withColumn("_h", F.xxhash64("_key", F.lit(7)))
+    top = distinct.withColumn("_r", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_key"))).where(F.col("_r") <= sample_docs)
+    chosen = F.broadcast(top)  # at most sample_docs rows a language
     start = F.pmod(F.col("_h"), F.greatest(F.length("text") - PASSAGE, F.lit(1))).cast("int")
-    texts = labelled.where("text is not null").join(F.broadcast(chosen), (labelled["doc_id"] == chosen["doc_id"]) & (labelled["lang"] == chosen["_lang"]))
-    passages = texts.select("_lang", "_r", F.substring("text", start + 1, F.lit(PASSAGE)).alias("passage")).orderBy("_lang", "_r", "passage").collect()
+    passages = known.join(chosen, ["_lang", "_key"]).groupBy("_lang", "_r").agg(F.min(F.substring("text", start + 1, F.lit(PASSAGE))).alias("passage")).orderBy("_lang", "_r").collect()
     out: dict[str, bytes] = {}
     for r in passages:
         held = out.get(r["_lang"], b"")
@@ -77,7 +79,7 @@ def decide(languages: list[str], sizes: list[int]) -> tuple[str, float]:
     return languages[order[0]], (second - best) / max(second, 1)
 
 
-def predictor(contents: dict[str, bytes]):
+def predictor(contents: dict[str, bytes], names: tuple[str, str, str]):
     """A function of Arrow text batches for ``predicted``; it holds the dictionaries only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,16 +90,16 @@ def predictor(contents: dict[str, bytes]):
             for t in texts:
                 plain = letters(t or "")
                 found.append(decide(compressors.languages, compressors.sizes(plain.encode())) if plain else (UNKNOWN, 0.0))
-            kept = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n not in ("lang_pred", "score", "rejected")]
-            new = [("lang_pred", pa.array([x for x, _ in found], pa.string())), ("score", pa.array([y for _, y in found], pa.float64())), ("rejected", pa.array([x == UNKNOWN or y < MARGIN for x, y in found], pa.bool_()))]
+            kept = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n not in names]
+            new = [(names[0], pa.array([x for x, _ in found], pa.string())), (names[1], pa.array([y for _, y in found], pa.float64())), (names[2], pa.array([x == UNKNOWN or y < MARGIN for x, y in found], pa.bool_()))]
             yield pa.RecordBatch.from_arrays([x for _, x in kept + new], names=[n for n, _ in kept + new])
 
     return run
 
 
-def predicted(docs: DataFrame, contents: dict[str, bytes], *keep: str) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred, score and rejected."""
+def predicted(docs: DataFrame, contents: dict[str, bytes], *keep: str, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the language, its margin and whether it is rejected, under ``names`` (which replace columns named so)."""
     common.bounded_batches(docs.sparkSession, 128)
-    rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("lang_pred", "score", "rejected"))
-    return rows.mapInArrow(predictor(contents), schema + ", lang_pred string, score double, rejected boolean")
+    rows = docs.select(*(F.col(f"`{c}`") for c in (*keep, *([] if "text" in keep else ["text"]))))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in names)
+    return rows.mapInArrow(predictor(contents, names), schema + f", `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")

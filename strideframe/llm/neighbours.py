@@ -9,7 +9,7 @@ blocks; of identical vectors in a block only the k + 1 of smallest id can be amo
 
 Edge cases: vectors that are null, zero or hold null or non-finite components (or another number of
 components than most) take no part; fewer than k candidates are all returned; ties go to the smaller id;
-repeated ids are separate rows; an empty table gives no rows; other columns are ignored.
+repeated ids are separate rows, each with its own list and each a candidate of the others; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,14 +113,15 @@ class Tree:
                 todo[int(kids[c])] = rows[near == c]
         return np.array(self.leaf_of, np.int64)[node]
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """Up to ``most`` leaves, best bin first."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visits(self, q: np.ndarray, most: int, held: dict[int, int] | None = None, need: int = 0) -> list[int]:
+        """``most`` leaves, best bin first; more if these hold fewer than ``need`` vectors (``held``: vectors of each leaf)."""
+        queue, out, met = [(0.0, 0)], [], 0
+        while queue and (len(out) < most or held is not None and met < need):
             _, at = heapq.heappop(queue)
             kids = self.children[at]
             if kids is None:
                 out.append(self.leaf_of[at])
+                met += held.get(out[-1], 0) if held else 0
                 continue
             for d, c in zip((self.squares[kids] - self.table[kids] @ q).tolist(), kids.tolist()):
                 heapq.heappush(queue, (d, c))
@@ -131,61 +133,63 @@ def calibrate(tree: Tree, index: DataFrame, dim: int, k: int, target: float = TA
 
     ``queries`` vectors, by hash, are compared with every row; only k rows of each come to the driver.
     """
-    chosen = index.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(queries).select("vec_id", "raw").collect()
-    ids = np.array([r["vec_id"] for r in chosen], np.int64)
+    chosen = index.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id", "row").limit(queries).select("row", "raw").collect()
+    ids = np.array([r["row"] for r in chosen], np.int64)
     q = np.array([np.frombuffer(r["raw"], np.float64) for r in chosen]).reshape(-1, dim)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vec, raw, leaf = common.columns_of(batch, "vec_id", "raw", "leaf")
+            vec, row, raw, leaf = common.columns_of(batch, "vec_id", "row", "raw", "leaf")
             if not vec:
                 continue
-            near = _nearest(np.array(vec), np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim), ids, q, k)
-            home = dict(zip(vec, leaf))
-            yield from near.append_column("leaf", pa.array([home[v] for v in near.column("vec_id").to_pylist()], pa.int64())).combine_chunks().to_batches()
+            near = _nearest(np.array(vec), np.array(row), np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim), ids, q, k)
+            home = dict(zip(row, leaf))
+            yield from near.append_column("leaf", pa.array([home[v] for v in near.column("row").to_pylist()], pa.int64())).combine_chunks().to_batches()
 
-    near = index.select("vec_id", "raw", "leaf").mapInArrow(compared, "query_id long, vec_id long, score double, leaf long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    near = index.select("vec_id", "row", "raw", "leaf").mapInArrow(compared, NEAR + ", leaf long")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     needed: list[int] = []
     places = {int(i): {c: n for n, c in enumerate(tree.visits(unit(v[None, :])[0], tree.leaves))} for i, v in zip(ids, q)}
-    for r in near.withColumn("_r", rank).where(F.col("_r") <= k).select("query_id", "leaf").collect():
-        needed.append(places[r["query_id"]][r["leaf"]] + 1)
+    for r in near.withColumn("_r", rank).where(F.col("_r") <= k).select("query", "leaf").collect():
+        needed.append(places[r["query"]][r["leaf"]] + 1)
     return int(np.sort(needed)[int(np.ceil(target * len(needed))) - 1]) if needed else tree.leaves
 
 
-def _nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pa.Table:
-    """Each query's nearest among a block of vectors."""
+NEAR = "query long, vec_id long, row long, score double"
+
+
+def _nearest(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, query_rows: np.ndarray, queries: np.ndarray, k: int) -> pa.Table:
+    """Each query's nearest among a block of vectors; a query (known by its row) isn't its own neighbour."""
     order = np.lexsort((ids, *vectors.T[::-1]))
-    ids, vectors = ids[order], vectors[order]
+    ids, rows, vectors = ids[order], rows[order], vectors[order]
     fresh = np.append(True, (vectors[1:] != vectors[:-1]).any(axis=1))
     first = np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), 0))
     keep = np.arange(len(ids)) - first <= k
-    ids, vectors = ids[keep], vectors[keep]
+    ids, rows, vectors = ids[keep], rows[keep], vectors[keep]
     u, v = unit(vectors), unit(queries)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, ...]] = []
     for a in range(0, len(v), 256):
         rough = v[a : a + 256] @ u.T
-        rough[query_ids[a : a + 256, None] == ids[None, :]] = -np.inf
+        rough[query_rows[a : a + 256, None] == rows[None, :]] = -np.inf
         edge = -np.partition(-rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
         row, col = np.nonzero((rough >= edge[:, None] - 1e-9) & (rough > -np.inf))
-        found.append((query_ids[a + row], ids[col], cosines(queries[a + row], vectors[col])))
-    q, c, s = (np.concatenate(x) for x in zip(*found))
-    return _best([pa.table({"query_id": q, "vec_id": c, "score": s})], k)
+        found.append((query_rows[a + row], ids[col], rows[col], cosines(queries[a + row], vectors[col])))
+    return _best([pa.table(dict(zip(("query", "vec_id", "row", "score"), (np.concatenate(x) for x in zip(*found)))))], k)
 
 
 def _no_rows() -> pa.Table:
-    return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    return pa.table({"query": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "row": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
 
 def _best(found: list[pa.Table], k: int) -> pa.Table:
     """The k nearest of each query in several tables, ties to the smaller id."""
     table = pa.concat_tables(found)
-    q, c, s = (table.column(n).to_numpy() for n in ("query_id", "vec_id", "score"))
-    order = np.lexsort((c, -s, q))
-    q, c, s = q[order], c[order], s[order]
+    q, c, r, s = (table.column(n).to_numpy() for n in ("query", "vec_id", "row", "score"))
+    order = np.lexsort((r, c, -s, q))
+    q, c, r, s = q[order], c[order], r[order], s[order]
     rank = np.arange(len(q)) - np.maximum.accumulate(np.where(np.append(True, q[1:] != q[:-1]), np.arange(len(q)), 0)) if len(q) else np.zeros(0, int)
     keep = rank < k
-    return pa.table({"query_id": q[keep], "vec_id": c[keep], "score": s[keep]})
+    return pa.table({"query": q[keep], "vec_id": c[keep], "row": r[keep], "score": s[keep]})
 
 
 def search(table: DataFrame, is_query, k: int = 5, sample: int = SAMPLE, target: float = TARGET, visits: int | None = None) -> DataFrame:
@@ -193,12 +197,13 @@ def search(table: DataFrame, is_query, k: int = 5, sample: int = SAMPLE, target:
     spark = table.sparkSession
     common.bounded_batches(spark, 2000)
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query")).where("embedding is not null")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
+    rows = rows.where(finite & F.col("vec_id").isNotNull())
     n = rows.count()
     every = max(1, -(-n // sample))
     picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * sample).select("embedding").toArrow().column(0).to_pylist()
-    if not [i for i in usable(picked)][:1]:
-        every_row = rows.where("vec_id is not null").limit(sample).select("embedding").toArrow().column(0).to_pylist()
-        picked = every_row
+    if not picked:  # repeated ids can leave every hash out
+        picked = rows.limit(sample).select("embedding").toArrow().column(0).to_pylist()
     good = [picked[i] for i in usable(picked)]
     if not good:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -208,16 +213,18 @@ def search(table: DataFrame, is_query, k: int = 5, sample: int = SAMPLE, target:
     tree = Tree(x)
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36  # ids may repeat; written once, so a row keeps its number
         for batch in batches:
             ids, vectors, queries = common.columns_of(batch, "vec_id", "embedding", "is_query")
-            good = [i for i in usable(vectors) if len(vectors[i]) == dim and ids[i] is not None]
+            good = [i for i in usable(vectors) if len(vectors[i]) == dim]
             if not good:
                 continue
             m = np.array([vectors[i] for i in good], np.float64)
             leaf = tree.assign(unit(m))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in good], pa.int64()), pa.array([r.tobytes() for r in m], pa.binary()), pa.array([bool(queries[i]) for i in good]), pa.array(leaf)], names=["vec_id", "raw", "is_query", "leaf"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in good], pa.int64()), pa.array(np.arange(row, row + len(good))), pa.array([r.tobytes() for r in m], pa.binary()), pa.array([bool(queries[i]) for i in good]), pa.array(leaf)], names=["vec_id", "row", "raw", "is_query", "leaf"])
+            row += len(good)
 
-    index = common.written(rows.mapInArrow(indexed, "vec_id long, raw binary, is_query boolean, leaf long"), "neighbours")
+    index = common.written(rows.mapInArrow(indexed, "vec_id long, row long, raw binary, is_query boolean, leaf long"), "neighbours")
     many = visits or calibrate(tree, index, dim, k, target)
     sizes = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}  # at most the tree's leaves
     salts = spark.createDataFrame([(leaf, max(1, -(-c // BLOCK))) for leaf, c in sizes.items()] or [], "leaf long, salts long")
@@ -235,8 +242,8 @@ def search(table: DataFrame, is_query, k: int = 5, sample: int = SAMPLE, target:
             held.clear()
 
         for batch in batches:
-            for i, r in zip(*common.columns_of(batch, "vec_id", "raw")):
-                for c in tree.visits(unit(np.frombuffer(r, np.float64)[None, :])[0], many):
+            for i, r in zip(*common.columns_of(batch, "row", "raw")):
+                for c in tree.visits(unit(np.frombuffer(r, np.float64)[None, :])[0], many, sizes, k + 1):
                     held.setdefault(c, []).append((i, r))
                     size += len(r) + 8
                 if size > FLUSH_BYTES:
@@ -254,15 +261,17 @@ def search(table: DataFrame, is_query, k: int = 5, sample: int = SAMPLE, target:
             at, there = place(left), place(right)
             for p in np.intersect1d(at, there):
                 x, y = (t.slice(lo, hi - lo) for t, (lo, hi) in ((left, np.searchsorted(at, [p, p + 1])), (right, np.searchsorted(there, [p, p + 1]))))
-                found.append(_nearest(x.column("vec_id").to_numpy(), joined(x, "raw", np.float64).reshape(-1, dim), joined(y, "ids", np.int64), joined(y, "raw", np.float64).reshape(-1, dim), k))
+                found.append(_nearest(x.column("vec_id").to_numpy(), x.column("row").to_numpy(), joined(x, "raw", np.float64).reshape(-1, dim), joined(y, "ids", np.int64), joined(y, "raw", np.float64).reshape(-1, dim), k))
                 if len(found) > 64:
                     found = [_best(found, k)]
         return _best(found, k)
 
-    vectors = index.join(F.broadcast(salts), "leaf").withColumn("salt", F.pmod(F.xxhash64("vec_id"), "salts")).select("leaf", "salt", "vec_id", "raw")
-    queries = index.where("is_query").select("vec_id", "raw").repartition(common.width(spark)).mapInArrow(walked, "leaf long, ids binary, raw binary")
+    vectors = index.join(F.broadcast(salts), "leaf").withColumn("salt", F.pmod(F.xxhash64("row"), "salts")).select("leaf", "salt", "vec_id", "row", "raw")
+    queries = index.where("is_query").select("row", "raw").repartition(common.width(spark)).mapInArrow(walked, "leaf long, ids binary, raw binary")
     queries = queries.join(F.broadcast(salts), "leaf").withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)"))).select("leaf", "salt", "ids", "raw")
     bucket = F.pmod(F.xxhash64("leaf", "salt"), F.lit(2 * common.width(spark)))
-    near = vectors.withColumn("bucket", bucket).groupBy("bucket").cogroup(queries.withColumn("bucket", bucket).groupBy("bucket")).applyInArrow(met, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = vectors.withColumn("bucket", bucket).groupBy("bucket").cogroup(queries.withColumn("bucket", bucket).groupBy("bucket")).applyInArrow(met, NEAR)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
+    best = near.withColumn("rank", rank).where(F.col("rank") <= k).drop("row")
+    names = index.where("is_query").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return best.join(names, "query").select("query_id", "rank", "vec_id", "score")

@@ -1,7 +1,7 @@
 """Sharding by vector bin packing: bytes, tokens and rows of the shards are balanced together.
 
 Documents of equal text form a group and share a shard. A group that is more than a fixed part of a
-shard's share in any of the three measures is split by document, because one group may hold a third of
+shard's share in any of the three measures is split by row, because one group may hold a third of
 all rows. What the driver packs has a proven bound: groups and parts above ``1/64`` of a shard's share
 (at most ``3 * 64 * shards``, parts included) stand alone, all others are gathered by hash in
 ``1024 * shards`` cells. Items go largest first to the shard where the dot product of the item with the
@@ -65,6 +65,7 @@ def shard(docs: DataFrame, shards: int = 24, alone: int = 64, cells: int = 1024,
             F.regexp_count(text, F.lit(common.WORD)).cast("long").alias("tokens"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text, F.col("text").isNull()).alias("_group"),
+            F.monotonically_increasing_id().alias("_n"),  # written, so it stays; tells equal rows apart
         ),
         "sharding",
     )
@@ -76,7 +77,7 @@ def shard(docs: DataFrame, shards: int = 24, alone: int = 64, cells: int = 1024,
     large = groups.withColumn("_weight", weight).where(F.col("_weight") > 1 / alone)
     parts = large.select("_group", F.greatest(F.lit(1), F.ceil(F.col("_weight") * split)).cast("int").alias("_parts"))
     parts = spark.createDataFrame(parts.collect() or [], "_group long, _parts int")  # at most 3 * alone * shards rows
-    with_part = narrow.join(F.broadcast(parts), "_group", "left").withColumn("_part", F.expr("pmod(xxhash64(doc_id), _parts)"))
+    with_part = narrow.join(F.broadcast(parts), "_group", "left").withColumn("_part", F.expr("pmod(xxhash64(doc_id, _n), _parts)"))
     cell = F.pmod(F.xxhash64(F.col("_group"), F.lit(1)), F.lit(shards * cells))
     # both have a bounded number of rows; their order makes runs agree
     single = with_part.where("_parts is not null").groupBy("_group", "_part").agg(*sums).orderBy("_group", "_part").collect()
@@ -86,5 +87,5 @@ def shard(docs: DataFrame, shards: int = 24, alone: int = 64, cells: int = 1024,
     of_cell = spark.createDataFrame([(r["_cell"], h) for r, h in zip(gathered, homes[len(single) :])], "_cell long, _home_cell int")
     placed = with_part.withColumn("_cell", cell).join(F.broadcast(of_part), ["_group", "_part"], "left").join(F.broadcast(of_cell), "_cell", "left")
     placed = placed.withColumn("shard", F.when(F.col("_parts").isNotNull(), F.col("_home_part")).otherwise(F.col("_home_cell")))
-    out = slotted(placed.select("doc_id", "size", "tokens", "text_crc32", "shard"), "shard", "doc_id", "text_crc32")
+    out = slotted(placed.select("doc_id", "size", "tokens", "text_crc32", "shard", "_n"), "shard", "doc_id", "text_crc32", "_n")
     return out.select("doc_id", "size", "tokens", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

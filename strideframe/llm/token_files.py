@@ -6,10 +6,12 @@ and its commit protocol survives lost executors). ``payload``: ids end to end, l
 of bit arrays; a key's slot is the rank of its bit in the first level where it is set. ``fingerprints``
 (u32), ``starts`` (u32) and ``lengths`` (u32) are arrays by slot: one probe gives the place of a
 document's ids and tells foreign keys apart (chance 2^-32). ``keys``: doc_ids in order, for listing.
+``first_id`` and ``last_id`` bound a shard's ids: Parquet's statistics of these two columns lead from a key
+to its shard, so that ``lookup`` reads the shards that may hold it and no other.
 Shards hold at most ``SHARD_IDS`` ids or one longer document, so memory doesn't grow with the input.
 
 Edge cases: null text is an empty text (only the end id); null doc_id sorts first; equal doc_ids stay
-separate documents (the index key is doc_id and its ordinal in the shard), ordered by text; an empty table writes no
+separate documents (the index key is doc_id and its ordinal in the shard), ordered by the text's hash; an empty table writes no
 shard and reads back as no rows; other columns are ignored.
 """
 
@@ -28,7 +30,7 @@ from .encoding import encoder, with_end
 
 SHARD_IDS = 1 << 18
 GAMMA = 2.0
-SHARD_SCHEMA = "part int, shard int, ids_before long, n_ids long, id_bytes int, payload binary, bits binary, level_bits array<int>, fingerprints binary, starts binary, lengths binary, keys binary, n_null int"
+SHARD_SCHEMA = "part int, shard int, ids_before long, n_ids long, id_bytes int, payload binary, bits binary, level_bits array<int>, fingerprints binary, starts binary, lengths binary, keys binary, n_null int, first_id long, last_id long"
 
 
 def index_keys(doc_ids: np.ndarray, ordinals: np.ndarray) -> np.ndarray:
@@ -91,7 +93,8 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
 
 def shard_row(doc_ids: list, ordinals: list[int], ids: np.ndarray, edges: np.ndarray, id_bytes: int) -> dict:
     """One shard of documents in order; ``edges`` are where each document's ids start, and their end."""
-    nulls = sum(d is None for d in doc_ids)
+    known = [d for d in doc_ids if d is not None]
+    nulls = len(doc_ids) - len(known)
     plain = np.array([0 if d is None else d for d in doc_ids], np.int64)
     keys = index_keys(plain, np.array([o + (1 << 40 if d is None else 0) for d, o in zip(doc_ids, ordinals)], np.int64))
     function = PerfectHash.build(keys)
@@ -102,7 +105,7 @@ def shard_row(doc_ids: list, ordinals: list[int], ids: np.ndarray, edges: np.nda
         table[slot] = values
         by_slot[name] = table.tobytes()
     bits, level_bits = function.packed()
-    return {"n_ids": int(edges[-1]), "id_bytes": id_bytes, "payload": ids.astype(f"<u{id_bytes}").tobytes(), "bits": bits, "level_bits": level_bits, "keys": plain.tobytes(), "n_null": nulls} | by_slot
+    return {"n_ids": int(edges[-1]), "id_bytes": id_bytes, "payload": ids.astype(f"<u{id_bytes}").tobytes(), "bits": bits, "level_bits": level_bits, "keys": plain.tobytes(), "n_null": nulls, "first_id": min(known, default=None), "last_id": max(known, default=None)} | by_slot
 
 
 class Shard:
@@ -140,7 +143,8 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
     spark, path = docs.sparkSession, tokenizer or common.tokenizer_path()
     common.bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    rows = rows.repartitionByRange(common.width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # one id may stand on a third of all rows: the text's hash parts them
+    rows = rows.repartitionByRange(common.width(spark), F.col("doc_id").asc(), F.xxhash64("text").asc()).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -149,7 +153,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
         id_bytes = 2 if code.library.get_vocab_size() <= 1 << 16 else 4
         before, number = 0, 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
-        schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("id_bytes", pa.int32()), ("payload", pa.binary()), ("bits", pa.binary()), ("level_bits", pa.list_(pa.int32())), ("fingerprints", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("keys", pa.binary()), ("n_null", pa.int32())])
+        schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("id_bytes", pa.int32()), ("payload", pa.binary()), ("bits", pa.binary()), ("level_bits", pa.list_(pa.int32())), ("fingerprints", pa.binary()), ("starts", pa.binary()), ("lengths", pa.binary()), ("keys", pa.binary()), ("n_null", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64())])
 
         def closed() -> pa.RecordBatch:
             nonlocal before, number
@@ -177,6 +181,34 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
     return common.written(rows.mapInArrow(shards, SHARD_SCHEMA), "token-shards")
 
 
+def lookup(shards: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """doc_id, part, shard, ordinal and ids of the documents of ``doc_ids`` (a request's few keys), by index.
+
+    Only shards whose range holds a key are read; the perfect hash and the fingerprint give the place.
+    Equal ids are listed by shard and ordinal; an id that isn't there gives no row.
+    """
+    wanted = sorted(set(doc_ids))
+    if not wanted:
+        return shards.sparkSession.createDataFrame([], "doc_id long, part int, shard int, ordinal int, ids array<long>")
+    inside = F.lit(False)
+    for d in wanted:
+        inside = inside | (F.col("first_id") <= d) & (F.col("last_id") >= d)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                shard, out = Shard(row), []
+                for d in wanted:
+                    ordinal = 0
+                    while (ids := shard.ids_of(d, ordinal)) is not None:
+                        out.append((d, row["part"], row["shard"], ordinal, ids.tolist()))
+                        ordinal += 1
+                cols = zip(*out) if out else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())))], names=["doc_id", "part", "shard", "ordinal", "ids"])
+
+    return shards.where(inside).mapInArrow(found, "doc_id long, part int, shard int, ordinal int, ids array<long>")
+
+
 def read_documents(shards: DataFrame) -> DataFrame:
     """Every document from the files, by its key: doc_id, start over all shards, n_tokens, ids_crc32."""
     # one row for each partition written; their number is the session's shuffle partitions
@@ -202,4 +234,4 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return shards.drop("shard", "n_ids").mapInArrow(looked_up, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.drop("shard", "n_ids", "first_id", "last_id").mapInArrow(looked_up, "doc_id long, start long, n_tokens long, ids_crc32 long")

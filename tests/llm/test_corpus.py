@@ -59,6 +59,16 @@ def test_permutation_is_one():
     assert (mixing.permuted(np.arange(1000), 1000, 1) != mixing.permuted(np.arange(1000), 1000, 2)).any()
 
 
+def test_one_document_on_a_third_of_all_rows_is_spread(spark):
+    docs = documents(spark, [words(30, i) for i in range(200)]).union(documents(spark, ["copy " * 30]).crossJoin(spark.range(100)).drop("id"))
+    rows = sharding.shard(docs, shards=8).collect()
+    load = collections.Counter()
+    for r in rows:
+        load[r.shard] += r.size
+    assert len(rows) == 300 and max(load.values()) < 1.15 * min(load.values())
+    assert all(sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows))) for k in load)
+
+
 def test_mixing_reaches_targets(spark):
     texts = [words(20 + i % 300, i) for i in range(300)] + ODD
     docs = documents(spark, texts, sources=("x", "x", "x", "y", None, "é"))
@@ -139,6 +149,34 @@ def _labelled(spark, n=240):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def test_languages_equal_a_plain_loop(spark):
+    """Every block of every text compressed with every dictionary, one after the other."""
+    import zstandard
+
+    docs = _labelled(spark, 60).union(documents(spark, ["½ ²", "①", "½ kala", "\u0301", *ODD], first=900, lang=None)).union(_labelled(spark, 6))
+    contents = language_id.dictionaries(docs)
+    got = {(r.doc_id, r.text): (r.lang_pred, r.score, r.rejected) for r in language_id.predicted(docs, contents, "doc_id", "text").collect()}
+    for (_, text), found in got.items():
+        plain = re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip()
+        if not any(c.isalpha() for c in plain):
+            assert found == ("und", 0.0, True), text
+            continue
+        raw, sizes = plain.encode(), []
+        for lang in sorted(contents):
+            d = zstandard.ZstdCompressionDict(contents[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=12, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append((sum(len(c.compress(raw[i : i + 1024])) for i in range(0, len(raw), 1024)), lang))
+        best, second = sorted(sizes)[:2]
+        assert found[0] == best[1] and found[1] == pytest.approx((second[0] - best[0]) / second[0])
+    assert {t for (d, t), x in got.items() if d >= 900 and x[0] == "und"} >= {"½ ²", "①", None, ""}
+
+
+def test_one_document_of_a_third_of_all_rows_is_sampled_once(spark):
+    docs = _labelled(spark, 60)
+    hot = docs.where("doc_id = 0").crossJoin(spark.range(500)).drop("id")
+    assert language_id.dictionaries(docs.union(hot)) == language_id.dictionaries(docs)
+
+
 def test_language_held_out_accuracy(spark):
     docs = _labelled(spark)
     held = common.crc_bucket("doc_id", 3) == 1
@@ -406,6 +444,22 @@ def test_neighbours_recall_and_ties(spark):
     assert {r.query_id for r in rows} == set(range(0, 600, 50))
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Two rows 50: each has its own list and stands in the other's; no row is listed twice."""
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.1]), (1, [1.0, 0.25]), (2, [0.0, 1.0]), (3, [1.0, 0.4]), (4, None), (None, [1.0, 0.0])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 50, k=3).collect()
+    lists = collections.Counter(r.query_id for r in got)
+    assert lists == {50: 6}
+    assert sorted((r.rank, r.vec_id) for r in got) == [(1, 50), (1, 50), (2, 1), (2, 1), (3, 3), (3, 3)]
+
+
+def test_neighbours_where_early_rows_are_unusable(spark):
+    bad = [(i, [0.0, 0.0, 0.0]) for i in range(300)]
+    good = [(1000 + i, [1.0, i / 10, 0.5]) for i in range(8)]
+    got = neighbours.search(spark.createDataFrame(bad + good, "vec_id long, embedding array<double>"), F.col("vec_id") == 1000, sample=16).collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [1001, 1002, 1003, 1004, 1005]
+
+
 def test_neighbours_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     rows = sorted((r.query_id, r.rank, r.vec_id) for r in neighbours.search(df, F.col("vec_id") == 0).collect())

@@ -49,6 +49,18 @@ def test_files_read_back_by_key(spark, ids):
     assert all(s.ids_of(10_000 + i) is None for s in got for i in range(50))
 
 
+def test_lookup_by_index(spark):
+    whole = encoding.WordEncoder(common.tokenizer_path()).library
+    ids = lambda t: whole.encode(t, add_special_tokens=False).ids
+    docs = documents(spark, [words(60, i) for i in range(40)]).union(documents(spark, ["again", None], first=7))
+    shards = token_files.write_shards(docs, shard_ids=400)
+    rows = token_files.lookup(shards, [7, 3, 8, 12345]).collect()
+    want = sorted([(7, words(60, 7)), (7, "again"), (3, words(60, 3)), (8, words(60, 8)), (8, "")])
+    assert sorted((r.doc_id, r.ids) for r in rows) == sorted((d, ids(t) + [2]) for d, t in want)
+    read = {(r.part, r.shard) for r in rows}
+    assert len(read) < shards.count() and token_files.lookup(shards, []).count() == 0 and token_files.lookup(shards, [-5]).count() == 0
+
+
 def test_files_of_repeated_and_null_ids(spark):
     docs = documents(spark, ["b", "a", "c"]).withColumn("doc_id", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(None).cast("long")).union(documents(spark, ["z z", "y"], 5)).union(documents(spark, ["z z", "x"], 5))
     rows = token_files.read_documents(token_files.write_shards(docs)).collect()
@@ -70,6 +82,53 @@ def test_perfect_hash_is_minimal():
     assert 8 * len(raw) / 20_000 < 4.5
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """A vocabulary that joins across white space: word by word would give other ids."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.BPE(vocab={"a": 0, " ": 1, "b": 2, " b": 3, "a b": 4}, merges=[(" ", "b"), ("a", " b")]))
+    t.save(str(tmp_path / "t.json"))
+    e = encoding.WordEncoder(str(tmp_path / "t.json"))
+    flat, n = e.encode([b"a b", b"", None, b"b"])
+    assert not e.by_words and flat.tolist() == [4, 2] and n.tolist() == [1, 0, 0, 1]
+    assert encoding.WordEncoder(common.tokenizer_path()).by_words
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    assert not encoding.splits_at_white_space(__import__("json").loads(t.to_str()))
+
+
+def plain_packer(lengths, capacity):
+    """One piece after the other, longest first, into the open sequence that is filled least, else a new one: padding of all."""
+    open_ = []
+    for n in sorted(lengths, reverse=True):
+        free = max((f for f in open_), default=0)
+        if free >= n:
+            open_.remove(free)
+            open_.append(free - n)
+        else:
+            open_.append(capacity - n)
+    return len(open_)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_patterns_need_no_more_sequences_than_a_plain_packer(seed):
+    import random
+
+    r = random.Random(seed)
+    lengths = [r.randrange(1, 65) for _ in range(400)] if seed % 2 else [r.choice([3, 9, 20, 33, 64]) for _ in range(400)]
+    histogram = {n: lengths.count(n) for n in set(lengths)}
+    places, sequences = packing.shortest_pack_first(histogram, 64)
+    fill = [0] * sequences
+    for n in sorted(histogram, reverse=True):
+        own = sorted(p for p in places if p[0] == n)
+        for rank in range(histogram[n]):
+            _, first_rank, first, offset = [p for p in own if p[1] <= rank][-1]
+            at = first + rank - first_rank
+            assert fill[at] == offset
+            fill[at] += n
+    assert max(fill) <= 64 and sum(fill) == sum(lengths)
+    assert sequences <= plain_packer(lengths, 64) * 1.05 + 1
+
+
 def test_packing_covers_every_id_once(spark, ids):
     rows = packing.pack(extra(documents(spark, TEXTS)), capacity=256).collect()
     assert sum(r.length for r in rows) == sum(map(len, ids))
