@@ -219,18 +219,18 @@ def set_difference(spark, d):
     return table(spark, d, "orders").select(F.col("o_custkey").alias("custkey")).subtract(table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey"))
 
 
-RESOLVE = """WITH i AS (SELECT lower(c_mktsegment) AS k, lower(n_name) AS n, list(c_name ORDER BY c_name) AS fs FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 20 = 0 GROUP BY 1, 2),
-e AS (SELECT s_suppkey, s_name, lower(n_name) AS n, CASE s_suppkey % 3 WHEN 0 THEN 'building' WHEN 1 THEN 'machinery' ELSE 'furniture' END AS k FROM supplier JOIN nation ON n_nationkey = s_nationkey)"""
+RESOLVE = """WITH i AS (SELECT lower(c_mktsegment) || '_' || right(c_name, 1) AS k, lower(n_name) AS n, list(c_name ORDER BY c_name) AS fs FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2),
+e AS (SELECT s_suppkey, s_name, lower(n_name) AS n, CASE s_suppkey % 3 WHEN 0 THEN 'building' WHEN 1 THEN 'machinery' ELSE 'furniture' END || '_' || right(s_name, 1) AS k FROM supplier JOIN nation ON n_nationkey = s_nationkey)"""
 
 
 @query(RESOLVE + " SELECT s_suppkey, CASE WHEN len(fs) = 1 THEN fs[1] END AS file, CASE WHEN len(fs) > 1 THEN 'fixture_not_unique:' || array_to_string(fs, '|') WHEN fs IS NULL THEN 'no_fixture_match' END AS issue FROM e LEFT JOIN i ON i.k = e.k AND i.n = e.n")
 def fixture_resolve(spark, d):
     n = table(spark, d, "nation")
-    c = table(spark, d, "customer").where("c_custkey % 20 = 0").join(n, F.col("n_nationkey") == F.col("c_nationkey"))
-    index = c.groupBy(text.canonical_name("c_mktsegment").alias("home_key"), text.canonical_name("n_name").alias("away_key")).agg(F.array_sort(F.collect_list("c_name")).alias("files"))
+    c = table(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey"))
+    index = c.groupBy(text.canonical_name(F.concat_ws(" ", "c_mktsegment", F.right("c_name", F.lit(1)))).alias("home_key"), text.canonical_name("n_name").alias("away_key")).agg(F.array_sort(F.collect_list("c_name")).alias("files"))
     s = table(spark, d, "supplier").join(n, F.col("n_nationkey") == F.col("s_nationkey"))
     kind = F.when(F.col("s_suppkey") % 3 == 0, "BUILDING").when(F.col("s_suppkey") % 3 == 1, "MACHINERY").otherwise("FURNITURE")
-    ev = s.select("s_suppkey", kind.alias("home_team"), F.col("n_name").alias("away_team"))
+    ev = s.select("s_suppkey", F.concat_ws(" ", kind, F.right("s_name", F.lit(1))).alias("home_team"), F.col("n_name").alias("away_team"))
     return fixtures.resolve(ev, index).select("s_suppkey", F.col("fixture_file").alias("file"), "issue")
 
 
@@ -434,9 +434,9 @@ def next_run(spark, d):
 # Scalars
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(regexp_replace(strip_accents(replace(replace(replace(replace(replace(replace(replace(replace(replace(trim(left(text, 40)), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue'), 'ß', 'ss'), '-', '_'), ' ', '_')), '[^A-Za-z0-9_]+', '_', 'g'), '_+', '_', 'g'), '_')) AS key FROM documents")
+@query("SELECT doc_id, lower(trim(regexp_replace(regexp_replace(strip_accents(replace(replace(replace(replace(replace(replace(replace(replace(replace(trim(text), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'Ä', 'Ae'), 'Ö', 'Oe'), 'Ü', 'Ue'), 'ß', 'ss'), '-', '_'), ' ', '_')), '[^A-Za-z0-9_]+', '_', 'g'), '_+', '_', 'g'), '_')) AS key FROM documents")
 def canonical_name(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.canonical_name(F.left("text", F.lit(40))).alias("key"))
+    return table(spark, d, "documents").select("doc_id", text.canonical_name("text").alias("key"))
 
 
 @query("WITH s AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN ' \"' || replace(CAST(value AS VARCHAR), '.', ',') || '\" ' WHEN 1 THEN CAST(value AS VARCHAR) WHEN 2 THEN '  ' WHEN 3 THEN CAST(value AS VARCHAR) || 'd' ELSE '-' || CAST(value AS VARCHAR) END AS s FROM events), n AS (SELECT event_id, CASE event_id % 5 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE TRY_CAST(replace(trim(trim(s), '\"'), ',', '.') AS DOUBLE) END AS v FROM s) SELECT event_id, v, CAST(trunc(v) AS BIGINT) AS whole FROM n")
@@ -486,10 +486,9 @@ def muscle_limits(spark, d):
     return events(spark, d).select("event_id", r6(numbers.muscle(F.col("value") - 250, -40, 80)).alias("muscle"))
 
 
-@query("SELECT event_id, '(' || printf('%.2f', value) || ', ' || printf('%.2f', value + 1) || ', 0.00)' AS label FROM events WHERE event_id % 10 = 3")
+@query("SELECT event_id, '(' || printf('%.2f', value) || ', ' || printf('%.2f', value + 1) || ', 0.00)' AS label FROM events")
 def point_labels(spark, d):
-    e = events(spark, d).where("event_id % 10 = 3")
-    return e.select("event_id", text.point_label(F.col("value"), F.col("value") + 1, F.lit(0.0)).alias("label"))
+    return events(spark, d).select("event_id", text.point_label(F.col("value"), F.col("value") + 1, F.lit(0.0)).alias("label"))
 
 
 # Poses
@@ -609,27 +608,31 @@ def bone_lookup(spark, d):
 # Resampling and sampling
 
 
-@query(f"WITH {V}, n AS (SELECT label, count(*) AS n FROM v GROUP BY label), g AS (SELECT label, n, CAST(k AS BIGINT) AS k, (k * 0.37) % n AS pos FROM n, range(40) AS r(k)), h AS (SELECT *, least(CAST(floor(pos) AS BIGINT), n-1) AS lo FROM g), i AS (SELECT *, CASE WHEN lo + 1 < n THEN lo + 1 ELSE 0 END AS hi FROM h) SELECT i.label, i.k, round(a.e[1] + (b.e[1]-a.e[1])*(i.pos - i.lo), 6) AS x FROM i JOIN v a ON a.label = i.label AND a.frame = i.lo JOIN v b ON b.label = i.label AND b.frame = i.hi")
+@query(f"WITH {V}, n AS (SELECT label, count(*) AS n FROM v GROUP BY label), r AS (SELECT label, n, unnest(range(0, CAST(ceil(n / 0.37) AS BIGINT) + 4)) AS k FROM n), g AS (SELECT label, n, k, (k * CAST(0.37 AS DOUBLE)) % n AS pos FROM r), h AS (SELECT *, least(CAST(floor(pos) AS BIGINT), n-1) AS lo FROM g), i AS (SELECT *, CASE WHEN lo + 1 < n THEN lo + 1 ELSE 0 END AS hi FROM h) SELECT i.label, i.k, round(a.e[1] + (b.e[1]-a.e[1])*(i.pos - i.lo), 6) AS x FROM i JOIN v a ON a.label = i.label AND a.frame = i.lo JOIN v b ON b.label = i.label AND b.frame = i.hi")
 def resample_lerp(spark, d):
     f = frames(spark, d).withColumn("x", at(0))
     n = f.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    grid = n.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("k", F.col("k").cast("long"))
+    grid = n.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / 0.37) + 3)))  # a loop and some positions more
     grid = grid.withColumn("pos", resample.frame_position(F.col("k") * 0.37, F.lit(1.0), F.col("n")))
     low, high, share = resample.neighbours(F.col("pos"), F.col("n"))
     grid = grid.select("label", "k", low.alias("low"), high.alias("high"), share.alias("share"))
     return resample.resampled(f, grid, CLIP, "frame", scalars=["x"]).select("label", "k", r6(F.col("x")).alias("x"))
 
 
-@query(f"WITH {V}, n AS (SELECT label, count(*) AS n FROM v GROUP BY label) SELECT label, CAST(k AS BIGINT) AS k, greatest(0, least(CAST(floor(k * 1.25) AS BIGINT), n - 1)) AS frame FROM n, range(60) AS r(k)")
+@query(f"WITH {V}, n AS (SELECT label, count(*) AS n FROM v GROUP BY label), r AS (SELECT label, n, unnest(range(0, CAST(ceil(n / 1.25) AS BIGINT) + 4)) AS k FROM n) SELECT label, k, greatest(0, least(CAST(floor(k * 1.25) AS BIGINT), n - 1)) AS frame FROM r")
 def frame_clamp(spark, d):
     n = frames(spark, d).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    grid = n.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(59))))
-    return grid.select("label", F.col("k").cast("long").alias("k"), resample.truncated_frame(F.col("k") * 1.25, F.col("n")).alias("frame"))
+    grid = n.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / 1.25) + 3)))
+    return grid.select("label", "k", resample.truncated_frame(F.col("k") * 1.25, F.col("n")).alias("frame"))
 
 
-@query(None)
+@query("SELECT least(100, count(*)) AS n, least(100, count(*)) AS different, least(100, count(*)) AS members FROM orders")
 def sample_exact_n(spark, d):
-    return shots.first_or_sample(table(spark, d, "orders"), sample=100, order="o_orderkey", seed=7).select("o_orderkey")
+    orders = table(spark, d, "orders")
+    picked = shots.first_or_sample(orders, sample=100, order="o_orderkey", seed=7).select("o_orderkey")
+    one = F.count(F.lit(1))
+    own = picked.join(orders.select("o_orderkey"), "o_orderkey", "left_semi").agg(one.alias("members"))
+    return picked.agg(one.alias("n"), F.countDistinct("o_orderkey").alias("different")).join(own)
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50")
