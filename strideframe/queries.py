@@ -87,13 +87,15 @@ def series_index(spark, d):
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE trim(o_orderstatus) = 'F' AND coalesce(o_orderpriority, '') NOT IN ('1-URGENT', '5-LOW')")
 def success_and_clock_filter(spark, d):
-    o = table(spark, d, "orders")
-    return o.where((text.strip("o_orderstatus") == "F") & ~text.strip(F.coalesce("o_orderpriority", F.lit(""))).isin("1-URGENT", "5-LOW")).select("o_orderkey", "o_orderstatus")
+    o = table(spark, d, "orders").withColumn("success", F.when(text.strip("o_orderstatus") == "F", " 1").otherwise("0"))
+    clock = F.when(F.col("o_orderpriority") == "1-URGENT", "30:00").when(F.col("o_orderpriority") == "5-LOW", " 60:00 ").otherwise(F.col("o_orderpriority"))
+    return shots.wanted_events(o.withColumn("game_clock", clock)).select("o_orderkey", "o_orderstatus")
 
 
 @query("SELECT event_id, value FROM events WHERE event_id = 17")
 def point_lookup(spark, d):
-    return events(spark, d).where(F.col("event_id") == 17).select("event_id", "value")
+    e = events(spark, d).withColumn("id", F.col("event_id").cast("string")).withColumn("game_clock", F.lit("10:00"))
+    return shots.wanted_events(e, event_id="17", include_unsuccessful=True).select("event_id", "value")
 
 
 @query("SELECT event_id, x, y FROM (SELECT event_id, value - 250 AS x, CAST(event_id % 400 AS DOUBLE) / 100 - 2 AS y FROM events) WHERE abs(x) BETWEEN 16 AND 200 AND abs(y) <= 1.5")
@@ -323,24 +325,44 @@ def frame_rate(spark, d):
 # Correction
 
 
-@query(f"""WITH {P}, q AS (SELECT *, lag(a) OVER (PARTITION BY user_id ORDER BY idx) AS b FROM p),
+def court(spark: SparkSession, d: str) -> DataFrame:
+    """Events as annotated points of one recording a user: on a court of 40 m, a second or so apart."""
+    p = track(spark, d).withColumn("fixture_file", F.col("user_id").cast("string")).withColumn("local_dt", F.timestamp_micros(F.expr("t div 40000")))
+    y = (F.col("event_id") % 400).cast("double") / 100 - 2
+    return shots.annotated(p.select("fixture_file", "event_id", "event_type", "value", "local_dt", F.col("idx").alias("ts_ms"), F.col("event_id").alias("file_ord"), (F.col("value") / 12.5 - 20).alias("x"), y.alias("y"), F.col("value").alias("speed"), F.col("a").alias("accel")))
+
+
+COURT = """c AS (SELECT *, value / 12.5 - 20 AS x, CAST(event_id % 400 AS DOUBLE) / 100 - 2 AS y, epoch_us(ts) // 40000 AS t, CAST(row_number() OVER w - 1 AS BIGINT) AS idx, value - lag(value) OVER w AS a FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+q AS (SELECT *, lag(a) OVER (PARTITION BY user_id ORDER BY idx) AS b FROM c),
 f AS (SELECT *, max(CASE WHEN idx = 0 OR a IS NULL OR b IS NULL OR b < a THEN idx END) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rs,
-  min(CASE WHEN abs(x) BETWEEN 200 AND 210 THEN idx END) {DOWN} AS gate FROM q)
-SELECT event_id, CASE WHEN value/50 < 6.95 THEN rs WHEN value/50 > 8 THEN coalesce(gate, idx) ELSE idx END AS start_idx,
-  CASE WHEN value/50 < 6.95 THEN 'short_distance_correction:applied' WHEN value/50 > 8 THEN CASE WHEN gate IS NULL THEN 'long_distance_correction:no_x_gate_match' ELSE 'long_distance_correction:applied' END ELSE 'distance_check:in_range' END AS flag FROM f WHERE event_type = 'purchase'""")
+  min(CASE WHEN abs(x) BETWEEN 12 AND 14 THEN idx END) OVER (PARTITION BY user_id ORDER BY idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS gate FROM q)"""
+
+
+@query(f"""WITH {COURT}, s AS (SELECT *, CAST(event_id % 100 AS DOUBLE) / 20 + 5 AS d FROM f WHERE event_type = 'purchase'),
+near AS (SELECT s.event_id, k.idx, k.a, k.rs FROM s JOIN f k ON k.user_id = s.user_id AND k.a IS NOT NULL AND k.t BETWEEN s.t - 3000000 AND s.t WHERE s.d < 6.95),
+peak AS (SELECT event_id, max(a) AS m FROM near GROUP BY 1),
+rel AS (SELECT event_id, arg_max(rs, idx) AS rs FROM near JOIN peak USING (event_id) WHERE abs(a - m) <= 1e-6 GROUP BY 1),
+mv AS (SELECT s.event_id, min(k.idx) AS moved FROM rel JOIN s USING (event_id) JOIN f r ON r.user_id = s.user_id AND r.idx = rel.rs JOIN f k ON k.user_id = s.user_id AND k.t >= r.t - 1000000 GROUP BY 1)
+SELECT s.event_id, CASE WHEN d < 6.95 THEN coalesce(moved, idx) WHEN d > 8 THEN coalesce(gate, idx) ELSE idx END AS start_idx,
+  CASE WHEN d < 6.95 THEN CASE WHEN moved IS NULL THEN 'short_distance_correction:no_release_detected' ELSE 'short_distance_correction:applied' END
+  WHEN d > 8 THEN CASE WHEN gate IS NULL THEN 'long_distance_correction:no_x_gate_match' ELSE 'long_distance_correction:applied' END ELSE 'distance_check:in_range' END AS flag
+FROM s LEFT JOIN mv USING (event_id)""")
 def start_correction(spark, d):
-    p = track(spark, d).withColumn("rs", series.run_start("a", USER)).withColumn("gate", series.next_match(series.gate(F.col("x"), 200, 210), USER)).where("event_type = 'purchase'")
-    dist = F.col("value") / 50
-    start = F.when(dist < 6.95, F.col("rs")).when(dist > 8, F.coalesce("gate", "idx")).otherwise(F.col("idx"))
-    flag = F.when(dist < 6.95, "short_distance_correction:applied").when(dist > 8, F.when(F.col("gate").isNull(), "long_distance_correction:no_x_gate_match").otherwise("long_distance_correction:applied")).otherwise("distance_check:in_range")
-    return p.select("event_id", start.alias("start_idx"), flag.alias("flag"))
+    p = court(spark, d)
+    purchases = p.where("event_type = 'purchase'")
+    ev = purchases.select(F.col("event_id").alias("event_no"), "fixture_file", F.col("idx").alias("start0"), F.col("t").alias("start0_t"), F.col("next_gate").alias("start0_gate"), ((F.col("event_id") % 100).cast("double") / 20 + 5).alias("dist"))
+    return shots.corrected_start(ev, p).select(F.col("event_no").alias("event_id"), "start_idx", F.col("correction_flag").alias("flag"))
 
 
-@query(f"WITH {P}, q AS (SELECT user_id, event_id, idx, value, CASE WHEN event_type = 'purchase' AND value BETWEEN 100 AND 300 THEN 2 WHEN event_type = 'view' THEN 1 ELSE 0 END AS tier FROM p) SELECT user_id, event_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tier DESC, value DESC, idx) AS r FROM q) WHERE r = 1")
+@query(f"""WITH {COURT}, g AS (SELECT *, sqrt(power(x - CASE WHEN first_value(x) OVER (PARTITION BY user_id ORDER BY idx) > 0 THEN 20 ELSE -20 END, 2) + y * y) AS dist FROM f),
+h AS (SELECT *, CASE WHEN a IS NOT NULL AND dist BETWEEN 6.5 AND 7.5 THEN 3 WHEN a IS NOT NULL THEN 2 ELSE 1 END AS tier FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY tier DESC, CASE WHEN tier >= 2 THEN a ELSE value END DESC, idx) AS r FROM h)
+SELECT user_id, event_id, 'release_point:' || CASE tier WHEN 3 THEN 'max_a' WHEN 2 THEN 'max_a_fallback_global' ELSE 'max_v_fallback' END AS flag FROM r WHERE r = 1""")
 def release_argmax(spark, d):
-    tier = F.when((F.col("event_type") == "purchase") & F.col("value").between(100, 300), 2).when(F.col("event_type") == "view", 1).otherwise(0)
-    best = F.max_by(F.struct("event_id", "tier"), F.struct("tier", "value", -F.col("idx")))
-    return track(spark, d).withColumn("tier", tier).groupBy("user_id").agg(best.alias("b")).select("user_id", "b.event_id", "b.tier")
+    point = F.struct("idx", "x", "y", "speed", "accel", "t", "event_id")
+    whole = court(spark, d).groupBy("fixture_file").agg(F.array_sort(F.collect_list(point)).alias("points"))
+    best = whole.select(F.col("fixture_file").cast("long").alias("user_id"), shots.select_release(F.col("points")).alias("b"))
+    return best.select("user_id", "b.p.event_id", "b.flag")
 
 
 @query(f"WITH {P} SELECT a.event_id, count(*) AS n, max(b.x) AS max_v, max(b.a) AS max_a, round(avg(b.x), 6) AS mean_x FROM p a JOIN p b ON a.user_id = b.user_id AND b.idx BETWEEN greatest(a.idx - 3, 0) AND a.idx + 3 WHERE a.event_type = 'purchase' GROUP BY a.event_id")
