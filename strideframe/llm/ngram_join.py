@@ -449,16 +449,26 @@ def _possible(size: np.ndarray, flags: np.ndarray, root: np.ndarray, sketch: lis
 
 
 def open_members(lists: DataFrame, parts: int) -> DataFrame:
-    """key, n, a, n_a, flags and root of the members of (key, n, a, n_a, flags, root, sketch) that some partner of another root is possible for."""
+    """key, n, a, n_a, flags and root of the members of (key, n, a, n_a, flags, root, sketch) that some partner of another root is possible for.
+
+    Members that possible pairs connect are a list of their own, named by its n members: what several lists
+    leave open alike is one list after ``distinct``.
+    """
 
     def opened(bucket: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         out: list[tuple] = []
-        for key, n, fp, size, flags, root, sketch in _members(table, "key", "n", "a", "n_a", "flags", "root", "sketch"):
-            chosen = np.zeros(len(fp), bool)
+        for fp, size, flags, root, sketch in _members(table, "a", "n_a", "flags", "root", "sketch"):
+            above = np.arange(len(fp))
             for i, others in _possible(size, flags, root, sketch):
-                chosen[i] = True
-                chosen[others] = True
-            out.append(tuple(x[chosen] for x in (key, n, fp, size, flags, root)))
+                met = np.unique(above[np.append(others, i)])
+                if len(met) > 1:
+                    above[np.isin(above, met)] = met[0]
+            names, at, number = np.unique(above, return_inverse=True, return_counts=True)
+            with np.errstate(over="ignore"):
+                name = np.zeros(len(names), U)
+                np.add.at(name, at, common.mix64(common.mix64(fp.view(U)) + flags.astype(U)))
+            chosen = number[at] > 1
+            out.append((name[at].view(np.int64)[chosen], number[at][chosen], fp[chosen], size[chosen], flags[chosen], root[chosen]))
         cols = [np.concatenate(x) for x in zip(*out)]
         return pa.table(dict(zip(("key", "n", "a", "n_a", "flags", "root"), cols)))
 
