@@ -45,6 +45,7 @@ LEVELS = 14  # frequencies are powers of two below the sample's size
 SAMPLE_DOCS, HOT_SHINGLES, HOT_COUNT = 8192, 1 << 18, 2
 FLUSH_DOCS, FLUSH_BYTES = 50_000, 12 << 20
 
+FEW_IDS = 500_000  # documents named by 24 bytes each that all workers may be told of
 LIST_BLOCK = 4096  # members of a list that one task compares with each other
 
 RANGES = 4  # of keys (a power of two up to 4: the two top bits of an entry), unpacked one after the other
@@ -533,7 +534,12 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """text_key and text, once each, of the documents that ``ids`` (_id, _key) names."""
+    """text_key and text, once each, of the documents that ``ids`` (_id, _key) names.
+
+    Up to ``FEW_IDS`` names go to all workers, so that no other text is shuffled; more meet the texts in a shuffle.
+    """
+    ids = common.written(ids, "join-ids")
+    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
     mine = _rows(docs).withColumn("text_key", F.xxhash64("text"))
     mine = mine.join(ids, mine["doc_id"].eqNullSafe(ids["_id"]) & (mine["text_key"] == ids["_key"]), "left_semi")
     return mine.select("text_key", "text").distinct()
