@@ -75,9 +75,13 @@ def last_at_or_before(value: Column, offset: Column) -> Column:
 
 
 def slices(events: DataFrame, points: DataFrame, keys: list[str], first: str, last: str, idx: str, columns: list[str], bucket: int = 256) -> DataFrame:
-    """Rows of ``events`` with ``points``: the ordered array of their series' points in [first, last]."""
-    one = events.withColumn("_row", F.monotonically_increasing_id()).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(first) / bucket), F.floor(F.greatest(F.col(first), F.col(last)) / bucket))))
+    """Rows of ``events`` with ``points``: the ordered array of their series' points in [first, last].
+
+    Events are told apart by their own columns, so a task that runs again can't split one. Equal events
+    meet in one group and are told out again; ``idx`` must be unique in a series.
+    """
+    one = events.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(first) / bucket), F.floor(F.greatest(F.col(first), F.col(last)) / bucket))))
     two = points.select(*keys, F.floor(F.col(idx) / bucket).alias("_bucket"), F.struct(F.col(idx).alias(idx), *(F.col(c).alias(c) for c in columns if c != idx)).alias("_p"))
     met = one.join(two, [*keys, "_bucket"]).where(F.col(f"_p.{idx}").between(F.col(first), F.col(last)))
-    kept = [c for c in events.columns]
-    return met.groupBy("_row", *kept).agg(F.array_sort(F.collect_list("_p")).alias("points")).drop("_row")
+    cut = met.groupBy(*events.columns).agg(F.array_sort(F.collect_set("_p")).alias("points"), F.count(F.lit(1)).alias("_n"))
+    return cut.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.expr("_n div size(points)")))).drop("_n", "_copy")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import numbers, points, text, times, vector
 from .operators import aggregates, asof, fixtures, markers, pose, resample, series
 from .plans import seven_metre, shots
-from .session import table
+from .session import materialised, table
 from .streaming import windows as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -365,6 +365,87 @@ def release_argmax(spark, d):
     return best.select("user_id", "b.p.event_id", "b.flag")
 
 
+# Shots from events to results
+
+
+def shot_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(shots, points, keepers): one recording a user, a purchase is a shot, each event type a keeper's sensor."""
+    p = track(spark, d)
+    day = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    p = p.select(
+        F.col("user_id").cast("string").alias("fixture_file"), "event_id", "event_type", F.timestamp_add("MICROSECOND", F.expr("t div 40000"), day).alias("local_dt"), F.col("idx").alias("ts_ms"), F.col("event_id").alias("file_ord"),
+        (F.col("value") / 7 - 21).alias("x"), ((F.col("event_id") % 400).cast("double") / 100 - 2).alias("y"), F.lit(0.0).alias("z"), F.col("value").alias("speed"), F.col("a").alias("accel"), F.col("value").alias("direction"),
+    )
+    no = F.col("event_id")
+    asked = p.where("event_type = 'purchase'").select(
+        no.alias("row_idx"), no.cast("string").alias("id"), F.lit("a").alias("home_team"), F.lit("b").alias("away_team"), F.when(no % 89 == 0, "none").otherwise(F.col("fixture_file")).alias("fixture_file"),
+        F.lit("").alias("player_id"), F.lit(None).cast("string").alias("player_name"), F.lit("c").alias("name"), F.when(no % 4 == 0, "0").otherwise("1").alias("success"),
+        ((no % 100).cast("double") / 20 + 5).cast("string").alias("distance"), F.when(no % 97 == 0, "").otherwise(F.date_format("local_dt", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("timestamp_local_timezone"),
+    )
+    keepers = p.select("fixture_file", F.col("event_type").alias("sensor_id"), "local_dt", "ts_ms", "file_ord", "x", "y", "z")
+    return asked, p.drop("event_id", "event_type"), keepers
+
+
+def _pick(start: str, table: str) -> str:
+    """SQL of the release point behind ``start``; w has the points near each shot."""
+    return f"""{table}d AS (SELECT w.*, {start} AS st, first_value(x) OVER (PARTITION BY event_id ORDER BY idx) > 0 AS right_side FROM w WHERE idx >= {start}),
+{table}t AS (SELECT *, CASE WHEN a IS NULL THEN 1 WHEN sqrt(power(x - CASE WHEN right_side THEN 20 ELSE -20 END, 2) + y * y) BETWEEN 6.5 AND 7.5 THEN 3 ELSE 2 END AS tier FROM {table}d),
+{table} AS (SELECT event_id, idx AS r_idx, t AS r_t, x AS r_x, y AS r_y, value AS r_v, tier FROM {table}t QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY tier DESC, CASE WHEN tier >= 2 THEN a ELSE value END DESC, idx) = 1)"""
+
+
+SHOTS = f"""WITH {COURT.replace("value / 12.5 - 20", "value / 7 - 21")},
+p AS (SELECT *, min(CASE WHEN abs(x) > 20 THEN idx END) OVER d1 AS hit, coalesce(min(x) OVER d2 < x AND max(x) OVER d2 > x, false) AS rev, max(idx) OVER (PARTITION BY user_id) AS last_idx FROM f
+  WINDOW d1 AS (PARTITION BY user_id ORDER BY idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), d2 AS (PARTITION BY user_id ORDER BY idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s0 AS (SELECT o.event_id, o.user_id, o.t, CAST(o.event_id % 100 AS DOUBLE) / 20 + 5 AS d, o.event_id % 4 <> 0 AS ok, min(k.idx) AS start0 FROM p o JOIN p k ON k.user_id = o.user_id AND k.t >= o.t WHERE o.event_type = 'purchase' AND o.event_id % 89 <> 0 AND o.event_id % 97 <> 0 GROUP BY ALL),
+s AS (SELECT s0.*, k.gate FROM s0 JOIN p k ON k.user_id = s0.user_id AND k.idx = start0),
+near AS (SELECT s.event_id, k.idx, k.a, k.rs FROM s JOIN p k ON k.user_id = s.user_id AND k.a IS NOT NULL AND k.t BETWEEN s.t - 3000000 AND s.t WHERE s.d < 6.95),
+peak AS (SELECT event_id, max(a) AS m FROM near GROUP BY 1),
+rel AS (SELECT event_id, arg_max(rs, idx) AS rs FROM near JOIN peak USING (event_id) WHERE abs(a - m) <= 1e-6 GROUP BY 1),
+mv AS (SELECT s.event_id, min(k.idx) AS moved FROM rel JOIN s USING (event_id) JOIN p r ON r.user_id = s.user_id AND r.idx = rel.rs JOIN p k ON k.user_id = s.user_id AND k.t >= r.t - 1000000 GROUP BY 1),
+b0 AS (SELECT s.*, CASE WHEN d < 6.95 THEN coalesce(moved, start0) WHEN d > 8 THEN coalesce(gate, start0) ELSE start0 END AS start_idx,
+  CASE WHEN d < 6.95 THEN 'short_distance_correction:' || CASE WHEN moved IS NULL THEN 'no_release_detected' ELSE 'applied' END WHEN d > 8 THEN 'long_distance_correction:' || CASE WHEN gate IS NULL THEN 'no_x_gate_match' ELSE 'applied' END ELSE 'distance_check:in_range' END AS flag1
+  FROM s LEFT JOIN mv USING (event_id)),
+b AS (SELECT b0.*, k.t AS start_t, d BETWEEN 6.5 AND 7.5 AND NOT k.rev AS plausible, CASE WHEN k.hit IS NULL AND NOT ok THEN k.last_idx ELSE k.hit END AS end_idx, CASE WHEN k.hit IS NULL AND NOT ok THEN 'unsuccessful:using_last_point' END AS flag2 FROM b0 JOIN p k ON k.user_id = b0.user_id AND k.idx = start_idx),
+e AS (SELECT b.*, (SELECT min(k.idx) FROM p k WHERE k.user_id = b.user_id AND k.t >= b.start_t) AS es, (SELECT min(k.idx) FROM p k WHERE k.user_id = b.user_id AND k.t >= b.start_t - 5200000) AS lo, (SELECT max(k.idx) FROM p k WHERE k.user_id = b.user_id AND k.t <= z.t + 300000) AS ee FROM b JOIN p z ON z.user_id = b.user_id AND z.idx = b.end_idx),
+w AS (SELECT e.event_id, e.es, k.* EXCLUDE (event_id) FROM e JOIN p k ON k.user_id = e.user_id AND k.idx BETWEEN greatest(lo - 5, 0) AND ee),
+{_pick("es", "one")},
+need AS (SELECT e.*, one.*  EXCLUDE (event_id), sqrt(power(r_x - CASE WHEN r_x > 0 THEN 20 ELSE -20 END, 2) + r_y * r_y) AS gd FROM e JOIN one USING (event_id)),
+aim AS (SELECT *, r_t - CAST(round(((7.5 - gd) / nullif(r_v, 0) + 0.1) * 1e6) AS BIGINT) AS target, NOT plausible AND gd < 6.5 AND r_v > 0 AND (7.5 - gd) / nullif(r_v, 0) BETWEEN 1e-300 AND 4.999999999999 AS wants FROM need),
+back AS (SELECT aim.*, (SELECT min(w.idx) FROM w WHERE w.event_id = aim.event_id AND w.t >= aim.target) AS fi, (SELECT w.t FROM w WHERE w.event_id = aim.event_id AND w.idx = aim.es) AS es_t FROM aim),
+ext AS (SELECT *, CASE WHEN wants AND target < es_t AND fi < es THEN fi END AS ns FROM back),
+v AS (SELECT w.* EXCLUDE (es), coalesce(ns, ext.es) AS es FROM w JOIN ext USING (event_id)),
+{_pick("es", "two").replace("FROM w WHERE", "FROM v AS w WHERE")},
+cut AS (SELECT ext.event_id, ext.user_id, flag1, flag2, plausible, ns, coalesce(ns, es) AS xs, ee, CASE WHEN plausible THEN start_t ELSE coalesce(CASE WHEN ns IS NOT NULL THEN two.r_t END, ext.r_t) END AS rel_t,
+  'release_point:' || CASE WHEN plausible THEN 'start_timestamp_plausible' ELSE CASE ext.tier WHEN 3 THEN 'max_a' WHEN 2 THEN 'max_a_fallback_global' ELSE 'max_v_fallback' END END AS flag3 FROM ext JOIN two USING (event_id)),
+traj AS (SELECT cut.event_id, w.* EXCLUDE (event_id, es) FROM cut JOIN w ON w.event_id = cut.event_id AND w.idx BETWEEN xs - least(xs, 5) AND ee),
+sums AS (SELECT event_id, any_value(user_id) AS user_id, count(*) AS n, min(t) AS t0, max(t) AS t1, max(value) AS max_v, max(a) AS max_a, sum(x) AS sx, CASE WHEN avg(x) < 0 THEN -1 ELSE 1 END AS side FROM traj GROUP BY event_id),
+seen AS (SELECT m.event_id, k.* EXCLUDE (event_id) FROM sums m JOIN p k ON k.user_id = m.user_id AND k.t BETWEEN t0 AND t1 AND sign(k.x) = side WHERE n < 60),
+best AS (SELECT event_id, event_type AS sensor FROM seen GROUP BY event_id, event_type QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY count(*) DESC, avg(abs(x)) DESC, avg(abs(y)), event_type) = 1),
+pair AS (SELECT traj.event_id, traj.idx, seen.x FROM traj JOIN best USING (event_id) JOIN seen ON seen.event_id = traj.event_id AND seen.event_type = sensor
+  QUALIFY row_number() OVER (PARTITION BY traj.event_id, traj.idx ORDER BY abs(seen.t - traj.t), seen.t > traj.t, CASE WHEN seen.t > traj.t THEN seen.idx ELSE -seen.idx END) = 1),
+kept AS (SELECT event_id, sum(x) AS kx FROM pair GROUP BY 1)"""
+
+
+@query(SHOTS + """ SELECT CAST(event_id AS VARCHAR) AS id, strftime(make_timestamp(t0), '%Y-%m-%dT%H:%M:%S.%g') AS start_time_local, strftime(make_timestamp(t1), '%Y-%m-%dT%H:%M:%S.%g') AS end_time_local, strftime(make_timestamp(rel_t), '%Y-%m-%dT%H:%M:%S.%g') AS release_time_local,
+  round(max_v, 6) AS max_v, round(max_a, 6) AS max_a, n AS points, round(sx, 4) AS ball_x, round(coalesce(kx, 0), 4) AS keeper_x, coalesce(sensor, '') AS sensor,
+  concat_ws(';', flag1, flag2, flag3, CASE WHEN ns IS NOT NULL THEN 'release_point:dynamic_extended' END, CASE WHEN xs > 0 THEN 'ball_prepend_frames:' || least(xs, 5) END, 'goalkeeper_points:' || CASE WHEN sensor IS NULL THEN 0 ELSE n END, CASE WHEN sensor IS NOT NULL THEN 'goalkeeper_aligned_with_ball:1' END) AS flags
+FROM cut JOIN sums USING (event_id) LEFT JOIN best USING (event_id) LEFT JOIN kept USING (event_id) WHERE n < 60""")
+def matched_shots(spark, d):
+    results, _, _ = shots.match_shots(*shot_tables(spark, d), include_unsuccessful=True, keep=materialised)
+    whole = lambda c: F.round(F.aggregate(F.from_json(c, "array<struct<x:double>>"), F.lit(0.0), lambda s, q: s + q["x"]), 4)
+    return results.select(
+        "id", "start_time_local", "end_time_local", "release_time_local", *(F.col(c).try_cast("double").alias(c) for c in ("max_v", "max_a")), F.col("trajectory_point_count").cast("long").alias("points"),
+        whole("trajectory_json").alias("ball_x"), whole("goalkeeper_trajectory_json").alias("keeper_x"), F.col("goalkeeper_sensor_id").alias("sensor"), "flags",
+    )
+
+
+@query(SHOTS + """ SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 89 = 0 THEN 'no_ball_points' ELSE 'invalid_shot_local_time' END AS issue FROM events WHERE event_type = 'purchase' AND (event_id % 89 = 0 OR event_id % 97 = 0)
+UNION ALL SELECT CAST(event_id AS VARCHAR), 'no_goalline_crossing_found' FROM b WHERE end_idx IS NULL UNION ALL SELECT CAST(event_id AS VARCHAR), 'points:' || n FROM sums WHERE n >= 60""")
+def shot_issues(spark, d):
+    _, issues, skipped = shots.match_shots(*shot_tables(spark, d), include_unsuccessful=True, keep=materialised)
+    return issues.select(F.col("penalty_id").alias("id"), "issue").union(skipped.select("id", F.concat(F.lit("points:"), F.col("points").cast("string"))))
+
+
 @query(f"WITH {P} SELECT a.event_id, count(*) AS n, max(b.x) AS max_v, max(b.a) AS max_a, round(avg(b.x), 6) AS mean_x FROM p a JOIN p b ON a.user_id = b.user_id AND b.idx BETWEEN greatest(a.idx - 3, 0) AND a.idx + 3 WHERE a.event_type = 'purchase' GROUP BY a.event_id")
 def window_slice_agg(spark, d):
     p = track(spark, d)

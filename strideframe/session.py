@@ -16,3 +16,10 @@ def session(master: str = "local[*]", partitions: int = 8, **more: str) -> Spark
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` computed once for what branches off: a checkpoint in the shared folder of ``spark.checkpoint.dir``;
+    where that is unset, a cached table, which is computed again where an executor is lost.
+    """
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
