@@ -57,6 +57,11 @@ def six_decimals(x: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x), F.format_string("%.6f", x)).otherwise("")
 
 
+def stretch(length: Column, bind: Column) -> Column:
+    """Change of a length in proportion to its length at rest, within -1 and 1; null without a length at rest."""
+    return F.when(bind > 1e-6, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (length - bind) / bind)))
+
+
 def muscle(degrees: Column, low: float, high: float) -> Column:
     """Degrees in proportion to the limit of their sign, within -1 and 1."""
     up = F.when(F.lit(high) > 0, degrees / F.lit(float(high))).otherwise(0.0)

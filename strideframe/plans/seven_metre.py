@@ -9,16 +9,21 @@ from ..operators import asof
 from ..operators.aggregates import spread_if_enough
 
 
+def track_points(shots: DataFrame, ball: DataFrame, window_ms: int = 3000, keys: list[str] | None = None) -> DataFrame:
+    """Shots with each ball row in the window around them and ``time_from_shot_ms``, negative before the shot."""
+    keyed = keys or ["_all"]
+    one = shots if keys else shots.withColumn("_all", F.lit(0))
+    two = ball if keys else ball.withColumn("_all", F.lit(0))
+    met = asof.within(one, two.withColumnRenamed("ts_ms", "ball_ts"), keyed, "ts_ms", "ball_ts", window_ms, window_ms)
+    return met.withColumn("time_from_shot_ms", F.col("ball_ts") - F.col("ts_ms"))
+
+
 def shot_tracks(shots: DataFrame, ball: DataFrame, window_ms: int = 3000, keys: list[str] | None = None) -> DataFrame:
     """One row for each shot with a track of at least two points in the window around it (before and after rows
     without position are dropped): count, maxima, duration, spread of direction and release point.
     """
-    keyed = keys or ["_all"]
-    one = shots if keys else shots.withColumn("_all", F.lit(0))
-    two = ball if keys else ball.withColumn("_all", F.lit(0))
-    two = two.withColumnRenamed("ts_ms", "ball_ts")
-    met = asof.within(one, two, keyed, "ts_ms", "ball_ts", window_ms, window_ms)
-    offset = F.col("ball_ts") - F.col("ts_ms")
+    met = track_points(shots, ball, window_ms, keys)
+    offset = F.col("time_from_shot_ms")
     placed = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()
     met = met.withColumn("_placed", placed)
     counted = met.groupBy(*[c for c in shots.columns]).agg(

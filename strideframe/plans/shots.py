@@ -37,6 +37,23 @@ def wanted_events(events: DataFrame, event_id: str | None = None, include_unsucc
     return events.where(~strip(F.coalesce("game_clock", F.lit(""))).isin("30:00", "60:00"))
 
 
+def chosen(events: DataFrame, event_id: str | None = None, home: str | None = None, away: str | None = None) -> DataFrame:
+    """The event of that id; without id, the events of home and away team; without both teams, all of them."""
+    if event_id:
+        return events.where(F.col("id") == event_id)
+    return events.where((F.col("home_team") == home) & (F.col("away_team") == away)) if home and away else events
+
+
+def in_file_order(results: DataFrame, file: str = "fixture_file", event: str = "event_no") -> DataFrame:
+    """``results`` by recording, the one with the earliest event first, then by event; ``first_event`` is added.
+
+    The firsts are aggregated before they are joined, so a recording with most rows isn't one group.
+    """
+    first = results.groupBy(file).agg(F.min(event).alias("first_event"))
+    both = results.join(first.withColumnRenamed(file, "_file"), F.col(file).eqNullSafe(F.col("_file"))).drop("_file")
+    return both.orderBy("first_event", F.asc_nulls_last(file), event)
+
+
 def first_or_sample(events: DataFrame, limit: int | None = None, sample: int | None = None, order: str = "row_idx", seed: int | None = None) -> DataFrame:
     """``sample`` events without replacement, exactly that many; else the first ``limit``; else all."""
     if sample:

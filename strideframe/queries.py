@@ -365,6 +365,14 @@ def release_argmax(spark, d):
     return best.select("user_id", "b.p.event_id", "b.flag")
 
 
+@query("SELECT o.event_id, k.event_id AS point_id, epoch_us(k.ts) - epoch_us(o.ts) AS time_from_shot FROM events o JOIN events k ON k.user_id = o.user_id AND abs(epoch_us(k.ts) - epoch_us(o.ts)) <= 14400000000 WHERE o.event_type = 'purchase'")
+def track_offsets(spark, d):
+    p = track(spark, d)
+    shot = p.where("event_type = 'purchase'").select("event_id", "user_id", F.col("t").alias("ts_ms"))
+    ball = p.select("user_id", F.col("t").alias("ts_ms"), F.col("event_id").alias("point_id"))
+    return seven_metre.track_points(shot, ball, 14_400_000_000, USER).select("event_id", "point_id", F.col("time_from_shot_ms").alias("time_from_shot"))
+
+
 # Shots from events to results
 
 
@@ -589,6 +597,13 @@ def muscle_limits(spark, d):
     return events(spark, d).select("event_id", r6(numbers.muscle(F.col("value") - 250, -40, 80)).alias("muscle"))
 
 
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 5 <> 0 THEN round(greatest(-1.0, least(1.0, (l_quantity - b) / b)), 6) END AS stretch FROM (SELECT *, CASE WHEN l_linenumber % 5 = 0 THEN 0 ELSE CAST(l_linenumber AS DOUBLE) * 4 END AS b FROM lineitem)")
+def stretch_ratio(spark, d):
+    li, n = table(spark, d, "lineitem"), F.col("l_linenumber")
+    bind = F.when(n % 5 == 0, 0.0).otherwise(n.cast("double") * 4)
+    return li.select("l_orderkey", "l_linenumber", r6(numbers.stretch(F.col("l_quantity").cast("double"), bind)).alias("stretch"))
+
+
 @query("SELECT event_id, '(' || printf('%.2f', value) || ', ' || printf('%.2f', value + 1) || ', 0.00)' AS label FROM events")
 def point_labels(spark, d):
     return events(spark, d).select("event_id", text.point_label(F.col("value"), F.col("value") + 1, F.lit(0.0)).alias("label"))
@@ -738,6 +753,18 @@ def sample_exact_n(spark, d):
     return picked.agg(one.alias("n"), F.countDistinct("o_orderkey").alias("different")).join(own)
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '2-HIGH'")
+def home_and_away(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("home_team"), F.col("o_orderpriority").alias("away_team"))
+    return shots.chosen(o, home="F", away="2-HIGH").select("o_orderkey")
+
+
+@query("SELECT event_id, user_id, first_event, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS nth FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id) AS first_event FROM events)")
+def file_order(spark, d):
+    e = shots.in_file_order(events(spark, d).select("event_id", "user_id"), "user_id", "event_id")
+    return e.withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")).select("event_id", "user_id", "first_event", "nth")
+
+
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50")
 def limit_first_n(spark, d):
     return shots.first_or_sample(table(spark, d, "orders"), limit=50, order="o_orderkey").select("o_orderkey")

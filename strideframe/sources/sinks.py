@@ -12,9 +12,11 @@ from ..schemas import ISSUE_COLUMNS, RESULT_COLUMNS
 
 
 def write_table(df: DataFrame, path: str, columns: tuple[str, ...] | None = None, files: int | None = None) -> None:
-    """';'-separated text with header. files: number of files; None leaves the partitioning, which scales."""
+    """';'-separated text with header. files: number of files, dealt out after the work
+    is done, so that the stages before keep their tasks; None leaves the partitioning, which scales.
+    """
     out = df.select(*columns) if columns else df
-    (out.coalesce(files) if files else out).write.mode("errorifexists").csv(path, sep=";", header=True, escape='"', emptyValue="")
+    (out.repartition(files) if files else out).write.mode("errorifexists").csv(path, sep=";", header=True, escape='"', emptyValue="")
 
 
 def write_results(df: DataFrame, path: str) -> None:

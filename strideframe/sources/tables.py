@@ -45,7 +45,8 @@ def events(spark: SparkSession, path: str) -> DataFrame:
             if c not in df.columns:
                 df = df.withColumn(c, F.lit(None).cast("string"))
         parts.append(df)
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    none = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in EVENT_COLUMNS))  # a folder may be empty
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else none
     # file order within a scan; ids grow with it
     return both.withColumn("row_idx", F.monotonically_increasing_id())
 

@@ -129,6 +129,8 @@ def test_within_and_slices(spark):
     cut = {r.n: [p.i for p in r.points] for r in asof.slices(ev, b, KEYS, "lo", "hi", "i", ["rt"], bucket=4).collect()}
     for k, _, n in left:
         assert cut.get(n, []) == [i for q, _, i in right if q == k and 3 <= i <= 300]
+    twice = asof.slices(ev.union(ev), b, KEYS, "lo", "hi", "i", ["rt"], bucket=4).collect()
+    assert sorted((r.n, [p.i for p in r.points]) for r in twice) == sorted((n, i) for n, i in cut.items() for _ in range(2))
 
 
 def test_aggregates(spark):
