@@ -44,14 +44,17 @@ def chosen(events: DataFrame, event_id: str | None = None, home: str | None = No
     return events.where((F.col("home_team") == home) & (F.col("away_team") == away)) if home and away else events
 
 
-def in_file_order(results: DataFrame, file: str = "fixture_file", event: str = "event_no") -> DataFrame:
-    """``results`` by recording, the one with the earliest event first, then by event; ``first_event`` is added.
-
-    The firsts are aggregated before they are joined, so a recording with most rows isn't one group.
+def with_first_event(results: DataFrame, file: str = "fixture_file", event: str = "event_no") -> DataFrame:
+    """``results`` with ``first_event`` of their recording, aggregated before it is joined, so that a recording
+    with most rows isn't one group.
     """
-    first = results.groupBy(file).agg(F.min(event).alias("first_event"))
-    both = results.join(first.withColumnRenamed(file, "_file"), F.col(file).eqNullSafe(F.col("_file"))).drop("_file")
-    return both.orderBy("first_event", F.asc_nulls_last(file), event)
+    first = results.groupBy(F.col(file).alias("_file")).agg(F.min(event).alias("first_event"))
+    return results.join(first, F.col(file).eqNullSafe(F.col("_file"))).drop("_file")
+
+
+def in_file_order(results: DataFrame, file: str = "fixture_file", event: str = "event_no") -> DataFrame:
+    """``results`` by recording, the one with the earliest event first, then by event; ``first_event`` is added."""
+    return with_first_event(results, file, event).orderBy("first_event", F.asc_nulls_last(file), event)
 
 
 def first_or_sample(events: DataFrame, limit: int | None = None, sample: int | None = None, order: str = "row_idx", seed: int | None = None) -> DataFrame:

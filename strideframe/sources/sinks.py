@@ -8,19 +8,26 @@ from pyspark.sql import functions as F
 from ..functions.text import run_number
 from ..functions.vector import euler_zxy
 from ..operators.aggregates import next_run
+from ..plans.shots import with_first_event
 from ..schemas import ISSUE_COLUMNS, RESULT_COLUMNS
 
 
-def write_table(df: DataFrame, path: str, columns: tuple[str, ...] | None = None, files: int | None = None) -> None:
+def write_table(df: DataFrame, path: str, columns: tuple[str, ...] | None = None, files: int | None = None, order: tuple[str, ...] = ()) -> None:
     """';'-separated text with header. files: number of files, dealt out after the work
     is done, so that the stages before keep their tasks; None leaves the partitioning, which scales.
+    order: columns that rows are sorted by in each file, or over all files where their number is left open.
     """
-    out = df.select(*columns) if columns else df
-    (out.repartition(files) if files else out).write.mode("errorifexists").csv(path, sep=";", header=True, escape='"', emptyValue="")
+    out = df.repartition(files) if files else df
+    out = (out.sortWithinPartitions(*order) if files else out.orderBy(*order)) if order else out
+    (out.select(*columns) if columns else out).write.mode("errorifexists").csv(path, sep=";", header=True, escape='"', emptyValue="")
 
 
-def write_results(df: DataFrame, path: str) -> None:
-    write_table(df, path, RESULT_COLUMNS, 1)
+def write_results(df: DataFrame, path: str, files: int | None = 1) -> None:
+    """Results by recording, the one of the earliest event first, where they still have ``event_no``."""
+    if "event_no" in df.columns:
+        write_table(with_first_event(df), path, RESULT_COLUMNS, files, ("first_event", "fixture_file", "event_no"))
+    else:
+        write_table(df, path, RESULT_COLUMNS, files)
 
 
 def write_issues(df: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from strideframe.operators import fixtures
 from strideframe.plans import shots
+from strideframe.schemas import RESULT_COLUMNS
 from strideframe.sources import sinks, tables
 from strideframe.streaming import windows
 
@@ -119,3 +120,28 @@ def test_streams(spark, tmp_path, sf_dir):
         n += r.value > 400 and not beyond
         beyond, last = r.value > 400, r.user_id
     assert spark.table("crossed").count() == n
+
+
+def test_results_are_written_by_file_and_event(spark, tmp_path):
+    rows = [(7, "b", "p7"), (1, "c", "p1"), (3, "b", "p3"), (2, "a", "p2"), (9, "c", "p9"), (4, None, "p4")]
+    df = spark.createDataFrame(rows, "event_no long, fixture_file string, id string")
+    want = ["p1", "p9", "p2", "p3", "p7", "p4"]
+    assert [r.id for r in shots.in_file_order(df).collect()] == want
+    for c in RESULT_COLUMNS:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit("x"))
+    sinks.write_results(df, str(tmp_path / "one"))
+    (file,) = (tmp_path / "one").glob("*.csv")
+    at = RESULT_COLUMNS.index("id")
+    assert [line.split(";")[at].strip('"') for line in file.read_text().splitlines()[1:]] == want
+
+
+def test_a_folder_without_events(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert tables.events(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_the_chosen_events(spark):
+    df = spark.createDataFrame([("1", "a", "b"), ("2", "b", "a"), ("3", "a", None)], "id string, home_team string, away_team string")
+    ids = lambda **k: sorted(r.id for r in shots.chosen(df, **k).collect())
+    assert ids(home="a", away="b") == ["1"] and ids(event_id="3", home="a", away="b") == ["3"] and ids(home="a") == ["1", "2", "3"]
