@@ -10,6 +10,7 @@ from ..functions.vector import euler_zxy
 from ..operators.aggregates import next_run
 from ..plans.shots import with_first_event
 from ..schemas import ISSUE_COLUMNS, RESULT_COLUMNS
+from ..session import materialised
 
 
 def write_table(df: DataFrame, path: str, columns: tuple[str, ...] | None = None, files: int | None = None, order: tuple[str, ...] = ()) -> None:
@@ -25,7 +26,7 @@ def write_table(df: DataFrame, path: str, columns: tuple[str, ...] | None = None
 def write_results(df: DataFrame, path: str, files: int | None = 1) -> None:
     """Results by recording, the one of the earliest event first, where they still have ``event_no``."""
     if "event_no" in df.columns:
-        write_table(with_first_event(df), path, RESULT_COLUMNS, files, ("first_event", "fixture_file", "event_no"))
+        write_table(with_first_event(materialised(df)), path, RESULT_COLUMNS, files, ("first_event", "fixture_file", "event_no"))
     else:
         write_table(df, path, RESULT_COLUMNS, files)
 
