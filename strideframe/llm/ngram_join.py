@@ -16,9 +16,10 @@ Candidates are joined by content key in hash partitions. A parity sketch, whose
 true difference, discards most wrong candidates; the rest is verified on the texts' shingle sets. Each
 set first meets the candidate with which it shares most keys, then lists of candidates that are still
 apart are spanned by trees of small sketch distance. In the lists that remain, the members that some
-partner in another component is left for by the sketches bring their shingle sets, and the links that join components are found where the list is: no step gives more rows
-than the lists have members, and a list of more than ``LIST_BLOCK`` members is dealt out by pairs of
-blocks. Links inside one component add nothing to the classes and aren't counted.
+partner in another component is left for by the sketches bring their shingle sets, and the links that join
+components are found where the list is: no step gives more rows than the lists have members, and a list of more than ``LIST_BLOCK`` members is dealt out by pairs of
+blocks. Links inside one component add nothing to the classes and aren't counted; each step's links join
+the roots that the one before it left.
 
 Edge cases: null, empty and wordless texts have no shingles and link with nothing; up to four words make
 one shingle; equal sets are one class whatever their number; repeated rows keep a row each; an empty
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, extended
 
 WORDS = 5
 SEGMENT = 2.0  # elements in a segment, at the largest size of a band
@@ -616,8 +617,7 @@ def _rooted_classes(docs: DataFrame) -> DataFrame:
     ends = hubs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), "shared").select("e.x", "e.y", "shared")
     best = ends.groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("y"))
     first = best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = common.written(verified(plausible(first, sets), docs), "join-links")
-    roots = components(links)
+    roots = components(verified(plausible(first, sets), docs))
     twos = found.where("kind = 2").select("a", "b").distinct()
     lists = found.where("kind = 1").select("key", "a", "n_a", "flags").dropDuplicates(["key", "a"])
     sketches = sets.select(F.col("fp").alias("a"), "sketch")
@@ -625,14 +625,13 @@ def _rooted_classes(docs: DataFrame) -> DataFrame:
     # then along trees that span what is still apart in a list
     apart = common.written(_apart(lists, roots, "join-rooted"), "join-lists")
     spans = common.written(spanning_pairs(apart.join(sketches, "a"), parts).distinct().join(first, ["a", "b"], "left_anti"), "join-spans")
-    links = common.written(links.union(verified(plausible(spans, sets), docs)), "join-links")
-    roots = components(links)
+    roots = extended(roots, verified(plausible(spans, sets), docs))
     # then what may still join components: pairs from lists of two, and the open members of longer lists with their sets
     rest = _with_root(_with_root(twos, roots, "a", "_ra"), roots, "b", "_rb").where("_ra <> _rb").select("a", "b").join(first.union(spans), ["a", "b"], "left_anti")
     still = common.written(_apart(apart, roots, "join-rooted"), "join-lists")
     members = common.written(open_members(still.join(sketches, "a"), parts).distinct(), "join-open")
     joining = joining_links(with_elements(members, sets, docs), parts)
-    final = components(links.union(verified(plausible(rest, sets), docs)).union(joining))
+    final = extended(roots, verified(plausible(rest, sets), docs).union(joining))
     labelled = sets.select("fp", "doc_id").join(final.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = labelled.join(least, "root").select("fp", "component_id", "root")

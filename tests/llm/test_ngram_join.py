@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from strideframe.llm import ngram_join as J
-from strideframe.llm.components import components
+from strideframe.llm.components import components, extended
 
 from .helpers import ODD, documents, empty, extra, words
 
@@ -167,3 +167,15 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 102), (200, 150), (5, 3), (7, 7)]
     got = dict((r.node, r.root) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 1 for i in range(2, 61)}, 101: 100, 102: 100, 200: 150}
+
+
+def test_links_found_later_join_roots(spark):
+    r = random.Random(4)
+    edges = [(r.randrange(90), r.randrange(90)) for _ in range(75)]
+    least = list(range(90))
+    for _ in range(90):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    made = lambda e: spark.createDataFrame(e, "a long, b long").coalesce(1)
+    got = extended(components(made(edges[:50])), made(edges[50:]))
+    assert dict((x.node, x.root) for x in got.collect()) == {n: m for n, m in enumerate(least) if n != m}
