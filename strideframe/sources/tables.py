@@ -137,8 +137,8 @@ def markers(spark: SparkSession, path: str, axes: str = "xyz", zero_fill: bool =
     named = head.select("clip_id", "head_no", F.posexplode("head").alias("pos", "name")).where(F.regexp_like("name", F.lit(" [XYZ]$")))
     named = named.select("clip_id", "head_no", F.regexp_replace("name", " [XYZ]$", "").alias("marker"), F.right("name", F.lit(1)).alias("axis"), "pos")
     triples = named.groupBy("clip_id", "head_no", "marker").agg(*(F.min(F.when(F.col("axis") == a, F.col("pos"))).alias(f"p{a}") for a in "XYZ")).dropna()
-    wanted = spark.createDataFrame([(m,) for m in required or []], "marker string")
-    lacking = head.select("clip_id").crossJoin(F.broadcast(wanted)).join(triples.select("clip_id", "marker"), ["clip_id", "marker"], "left_anti").groupBy("clip_id").agg(F.concat(F.lit("missing_markers:"), F.array_join(F.array_sort(F.collect_list("marker")), ",")).alias("issue"))
+    wanted = F.explode(F.array(*map(F.lit, required or [])).cast("array<string>")).alias("marker")
+    lacking = head.select("clip_id", wanted).join(triples.select("clip_id", "marker"), ["clip_id", "marker"], "left_anti").groupBy("clip_id").agg(F.concat(F.lit("missing_markers:"), F.array_join(F.array_sort(F.collect_list("marker")), ",")).alias("issue"))
     headless = text.select("clip_id").distinct().join(head, "clip_id", "left_anti").select("clip_id", F.lit("no_header").alias("issue"))
     rejects = lacking.union(headless)
     cols = triples.groupBy("clip_id", "head_no").agg(F.collect_list(F.struct("marker", "pX", "pY", "pZ")).alias("triples"))
