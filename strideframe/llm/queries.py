@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language_id, lm_scoring, mixing, mpeg_audio, neighbours, ngram_join, packing, pii, sharding, token_files
+from . import common, language_id, lm_scoring, mixing, mpeg_audio, neighbours, ngram_join, packing, periodic_runs, pii, sharding, token_files
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find(periodic_runs.planted(common.documents(spark, sf_dir))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_sharding": op2_sharding,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_mpeg_audio": op9_mpeg_audio,
     "op10_lm_scoring": op10_lm_scoring,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: Brute force: all pairs of distinct sets that share a shingle, and the closure of their links.
