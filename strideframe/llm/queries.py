@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language_id, lm_scoring, mixing, mpeg_audio, neighbours, ngram_join, packing, periodic_runs, pii, sharding, token_files
+from . import common, language_id, lm_scoring, mixing, mpeg_audio, neighbours, ngram_join, packing, periodic_runs, phrases, pii, sharding, token_files
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.ranked(phrases.mine(common.documents(spark, sf_dir)))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.find(periodic_runs.planted(common.documents(spark, sf_dir))))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_mpeg_audio": op9_mpeg_audio,
     "op10_lm_scoring": op10_lm_scoring,
+    "op12_phrases": op12_phrases,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
@@ -90,4 +95,25 @@ SELECT d.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(
 FROM documents d JOIN reach ON reach.d = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-ORACLE: dict[str, str] = {"op1_ngram_join": OP1_SQL}
+OP12_SQL = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i+k-1], ' ') AS phrase FROM w, (VALUES (1), (2), (3)) AS s(k), unnest(range(1, len(ws) - k + 2)) AS u(i)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING k = 1 OR count(*) >= 10),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+cuts AS (
+  SELECT lang, k, phrase, a, c, array_to_string(string_split(phrase, ' ')[:c], ' ') AS first, array_to_string(string_split(phrase, ' ')[c+1:], ' ') AS rest
+  FROM f, unnest(range(1, k)) AS u(c) WHERE k > 1),
+s AS (
+  SELECT cuts.*, x.a AS l, y.a AS r, (1000000::HUGEINT * cuts.a * cuts.a) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first JOIN f y ON y.lang = cuts.lang AND y.phrase = rest),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inside AS (SELECT lang, array_to_string(string_split(phrase, ' ')[i:i+1], ' ') AS phrase, max(a) AS longer FROM best, (VALUES (1), (2)) AS u(i) WHERE k = 3 GROUP BY ALL),
+kept AS (SELECT best.* FROM best LEFT JOIN inside i ON i.lang = best.lang AND i.phrase = best.phrase WHERE coalesce(100 * longer < 50 * a, true)),
+ranked AS (SELECT kept.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {"op1_ngram_join": OP1_SQL, "op12_phrases": OP12_SQL}
