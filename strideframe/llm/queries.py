@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language_id, lm_scoring, mixing, mpeg_audio, neighbours, ngram_join, packing, periodic_runs, phrases, pii, sharding, token_files
+from . import common, language_id, lm_scoring, mixing, mpeg_audio, neighbours, ngram_join, packing, periodic_runs, phrases, pii, sharding, suffix_dedup, token_files
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(docs)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.dedup(common.documents(spark, sf_dir)))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.ranked(phrases.mine(common.documents(spark, sf_dir)))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_mpeg_audio": op9_mpeg_audio,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_phrases": op12_phrases,
     "op13_periodic_runs": op13_periodic_runs,
 }
