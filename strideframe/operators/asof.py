@@ -39,20 +39,21 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
     return found.select("_left.*", *(F.col("_hit")[c].alias(f"{prefix}{c}") for c in payload))
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, payload: list[str], order: str | None = None, prefix: str = "near_") -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, payload: list[str], order: str | None = None, prefix: str = "near_", span: int | None = None) -> DataFrame:
     """``left`` with the right row nearest in time: the earlier one of two equally near, the first before
     all rows, the last behind all. Times are whole numbers (or anything whose difference can be compared).
+    span: width in units of time (then whole numbers) of what is searched in parallel.
     """
     order = order or right_time
-    w = Window.partitionBy(*keys).orderBy(right_time, order)
     cols = list(dict.fromkeys([*payload, right_time]))
-    chained = right.withColumn("_after", F.lead(F.struct(*(F.col(c).alias(c) for c in cols))).over(w)).withColumn("_here", F.struct(*(F.col(c).alias(c) for c in cols))).withColumn("_head", F.row_number().over(w) == 1)
-    before = asof(left, chained.select(*keys, F.col(right_time).alias("_rt"), F.col(order).alias("_ro"), "_here", "_after"), keys, left_time, "_rt", ["_here", "_after"], False, "_ro", "_b")
-    heads = chained.where("_head").select(*keys, F.col("_here").alias("_first"))
-    joined = before.join(heads, keys, "left")
+    here = F.struct(*(F.col(c).alias(c) for c in cols))
+    # of rows of equal time the last one counts from behind, the first one from before
+    sides = right.select(*keys, F.col(right_time).alias("_rt"), F.col(order).alias("_ro"), here.alias("here"))
+    found = asof(left, sides, keys, left_time, "_rt", ["here"], False, "_ro", "_b_", span)
+    found = asof(found, sides, keys, left_time, "_rt", ["here"], True, "_ro", "_a_", span)
     gap = lambda c: F.abs(F.col(c)[right_time] - F.col(left_time))
-    pick = F.when(F.col("_b_here").isNull(), F.col("_first")).when(F.col("_b_after").isNotNull() & (gap("_b_after") < gap("_b_here")), F.col("_b_after")).otherwise(F.col("_b_here"))
-    return joined.withColumn("_pick", pick).select(*left.columns, *(F.col("_pick")[c].alias(f"{prefix}{c}") for c in payload))
+    pick = F.when(F.col("_b_here").isNull() | (gap("_a_here") < gap("_b_here")), F.col("_a_here")).otherwise(F.col("_b_here"))
+    return found.withColumn("_pick", pick).select(*left.columns, *(F.col("_pick")[c].alias(f"{prefix}{c}") for c in payload))
 
 
 def within(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, before: int, after: int, bucket: int | None = None) -> DataFrame:

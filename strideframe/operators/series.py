@@ -24,9 +24,12 @@ def _ahead(keys: list[str], idx: str, include: bool):
     return Window.partitionBy(*keys).orderBy(F.desc(idx)).rowsBetween(Window.unboundedPreceding, 0 if include else -1)
 
 
-def next_match(predicate: Column, keys: list[str], idx: str = IDX) -> Column:
-    """Position of the first row at or behind this one where ``predicate`` holds."""
-    return F.min(F.when(predicate, F.col(idx))).over(_ahead(keys, idx, True))
+def next_match(predicate: Column, keys: list[str], idx: str = IDX, also: tuple[str, ...] = ()) -> Column:
+    """Position of the first row at or behind this one where ``predicate`` holds; with ``also``, a struct of it and
+    those columns of that row, so that no join has to fetch them.
+    """
+    hit = F.struct(idx, *also) if also else F.col(idx)
+    return F.min(F.when(predicate, hit)).over(_ahead(keys, idx, True))
 
 
 def crossing(x: Column, line: float = 20.0) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numbers, points, text, times, vector
-from .operators import aggregates, asof, fixtures, markers, pose, resample, series
+from .operators import aggregates, asof, fixtures, markers, pose, resample, series, spans
 from .plans import seven_metre, shots
 from .session import materialised, table
 from .streaming import windows as streams
@@ -133,10 +133,8 @@ def flag_join(spark, d):
 @query(f"""WITH {P}, f AS (SELECT *, min(CASE WHEN value > 100 THEN idx END) {DOWN} AS next_cross FROM p)
 SELECT a.event_id, a.idx AS start_idx, a.next_cross, b.event_id AS hit_event_id FROM f a LEFT JOIN p b ON b.user_id = a.user_id AND b.idx = a.next_cross WHERE a.event_type = 'purchase'""")
 def next_crossing(spark, d):
-    p = track(spark, d)
-    f = p.withColumn("next_cross", series.next_match(F.col("value") > 100, USER)).where("event_type = 'purchase'")
-    hit = p.select("user_id", F.col("idx").alias("next_cross"), F.col("event_id").alias("hit_event_id"))
-    return f.join(hit, ["user_id", "next_cross"], "left").select("event_id", F.col("idx").alias("start_idx"), "next_cross", "hit_event_id")
+    f = track(spark, d).withColumn("hit", series.next_match(F.col("value") > 100, USER, also=("event_id",))).where("event_type = 'purchase'")
+    return f.select("event_id", F.col("idx").alias("start_idx"), F.col("hit.idx").alias("next_cross"), F.col("hit.event_id").alias("hit_event_id"))
 
 
 def _sides(spark, d):
@@ -322,6 +320,74 @@ def frame_rate(spark, d):
     return track(spark, d).groupBy("user_id").agg(F.round(series.frame_seconds(F.col("t") / 1e6), 4).alias("frame_s"))
 
 
+# Windows in spans: all events are one recording, a day is a span
+
+ONE = ["recording"]
+DAY = 86_400_000_000
+O = """o AS (SELECT *, epoch_us(ts) AS t, CAST(row_number() OVER (ORDER BY ts, event_id) - 1 AS BIGINT) AS idx, value - lag(value) OVER (ORDER BY ts, event_id) AS a FROM events)"""
+O_DOWN = "OVER (ORDER BY idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def recording(spark: SparkSession, d: str) -> DataFrame:
+    """event_id, event_type, t, value, idx and a of one recording that holds all rows; its points don't meet in one task."""
+    e = events(spark, d).select("event_id", "event_type", times.micros("ts").alias("t"), "value").withColumn("recording", F.lit("all"))
+    p = spans.scanned(e, ONE, ["t", "event_id"], day(), idx=spans.Scan("sum", F.lit(1).cast("long")), _before=spans.before(F.col("value")))
+    return p.withColumn("idx", F.col("idx") - 1).withColumn("a", F.col("value") - F.col("_before.v")).drop("_before")
+
+
+def day() -> Column:
+    return F.expr(f"t div {DAY}")
+
+
+@query(f"WITH {O} SELECT event_id, idx, round(a, 6) AS a FROM o")
+def series_index_in_spans(spark, d):
+    return recording(spark, d).select("event_id", "idx", r6(F.col("a")).alias("a"))
+
+
+@query(f"""WITH {O}, f AS (SELECT *, min(CASE WHEN value > 495 THEN idx END) {O_DOWN} AS next_cross FROM o)
+SELECT f.event_id, f.next_cross, h.event_id AS hit_event_id FROM f LEFT JOIN o h ON h.idx = f.next_cross""")
+def next_crossing_in_spans(spark, d):
+    p = spans.scanned(recording(spark, d), ONE, ["idx"], day(), hit=spans.next_match(F.col("value") > 495, F.struct("idx", "event_id")))
+    return p.select("event_id", F.col("hit.idx").alias("next_cross"), F.col("hit.event_id").alias("hit_event_id"))
+
+
+@query(f"WITH {O} SELECT event_id, min(CASE WHEN abs(value) BETWEEN 200 AND 202 THEN idx END) {O_DOWN} AS next_gate, last_value(CASE WHEN value > 490 THEN value END IGNORE NULLS) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM o")
+def gates_and_carried_in_spans(spark, d):
+    gate = spans.next_match(series.gate(F.col("value"), 200, 202), F.col("idx"))
+    p = spans.scanned(recording(spark, d), ONE, ["idx"], day(), next_gate=gate, carried=spans.carried_forward(F.when(F.col("value") > 490, F.col("value"))))
+    return p.select("event_id", "next_gate", "carried")
+
+
+@query(f"WITH {O}, q AS (SELECT event_id, value AS x, min(value) OVER w AS lo, max(value) OVER w AS hi FROM o WINDOW w AS (ORDER BY idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT event_id, coalesce(lo < x AND hi > x, false) AS reversal FROM q")
+def reversal_in_spans(spark, d):
+    return spans.reversals(recording(spark, d), "value", ONE, ["idx"], day()).select("event_id", "reversal")
+
+
+@query(f"WITH {O}, q AS (SELECT event_id, idx, a, lag(a) OVER (ORDER BY idx) AS b FROM o) SELECT event_id, max(CASE WHEN idx = 0 OR a IS NULL OR b IS NULL OR b < a THEN idx END) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_start FROM q")
+def run_start_in_spans(spark, d):
+    return spans.run_starts(recording(spark, d), "a", ONE, ["idx"], day()).select("event_id", "run_start")
+
+
+@query("SELECT event_id, max(value) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 3 HOUR PRECEDING AND CURRENT ROW) AS peak FROM events")
+def trailing_peak_in_spans(spark, d):
+    return spans.trailing_peaks(recording(spark, d), F.col("value"), ONE, "t", 3 * 3_600_000_000, DAY).select("event_id", "peak")
+
+
+@query(f"WITH {O} SELECT event_id, round(sum(value) OVER (ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4, 6) AS smooth, round(CASE WHEN lag(value) OVER (ORDER BY idx) IS NULL THEN (lead(value) OVER (ORDER BY idx) - value) / 0.05 WHEN lead(value) OVER (ORDER BY idx) IS NULL THEN (value - lag(value) OVER (ORDER BY idx)) / 0.05 ELSE (lead(value) OVER (ORDER BY idx) - lag(value) OVER (ORDER BY idx)) / 0.1 END, 6) AS slope FROM o")
+def smoothing_in_spans(spark, d):
+    p = spans.moving_averages(recording(spark, d), "value", ONE, 4, "idx", 1000, "smooth")
+    return spans.gradients(p, "value", ONE, 0.05, "idx", 1000, "slope").select("event_id", r6(F.col("smooth")).alias("smooth"), r6(F.col("slope")).alias("slope"))
+
+
+@query(f"""WITH {O}, a AS (SELECT * FROM o WHERE event_type = 'purchase'), b AS (SELECT t, min(event_id) AS lo, max(event_id) AS hi FROM o WHERE event_type = 'view' GROUP BY t),
+x AS (SELECT a.event_id, a.t, b.hi AS e1, b.t AS t1 FROM a ASOF LEFT JOIN b ON a.t >= b.t),
+y AS (SELECT x.*, b.lo AS e2, b.t AS t2 FROM x ASOF LEFT JOIN b ON x.t < b.t)
+SELECT event_id, CASE WHEN e1 IS NULL OR t2 - t < t - t1 THEN e2 ELSE e1 END AS near_event_id FROM y""")
+def asof_nearest_in_spans(spark, d):
+    p = recording(spark, d)
+    return asof.nearest(p.where("event_type = 'purchase'"), p.where("event_type = 'view'"), ONE, "t", "t", ["event_id"], "event_id", span=DAY).select("event_id", "near_event_id")
+
+
 # Correction
 
 
