@@ -39,12 +39,12 @@ from . import common
 U = np.uint64
 WINDOW, GRAM = 50, 16
 REACH = WINDOW - GRAM + 1
-SLICE_BYTES = 4 << 20
-STEP = 1 << 20
+SLICE_BYTES = 2 << 20
+STEP = 1 << 18
 #: Anchors of more documents send their windows singly.
 HOT = 4096
 #: Bytes of contexts of one suffix array, and bytes for which one partition of keys stands.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 19
 PART_BYTES = 16 << 20
 LAST = np.iinfo(np.int64).max
 
@@ -352,14 +352,18 @@ def shared_anchors(held: DataFrame, parts: int, hot: int) -> DataFrame:
     return held.mapInArrow(sent, "part int, slice long, keys binary, many binary, docs binary").groupBy("part").applyInArrow(judged, schema)
 
 
-#: Contexts: their bytes end to end, lengths, 32 bits of the anchor, smallest id, how many places; the places, of
-#: which the highest bit says that another document of the slice with a smaller id has the context.
-CONTEXTS = pa.schema([("part", pa.int32()), ("slice", pa.int64()), ("text", pa.binary()), ("lengths", pa.binary()), ("keys", pa.binary()), ("ids", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+#: n contexts of a slice in the order of their first places, and ``packed``, zstd of: smallest ids, 32 bits of the anchors, how
+#: many places each, the places (each less the one before; the highest bit says that another document of the slice
+#: with a smaller id has the context), lengths, and the contexts' bytes end to end.
+CONTEXTS = pa.schema([("part", pa.int32()), ("slice", pa.int64()), ("n", pa.int32()), ("packed", pa.binary())])
 AGAIN = np.uint32(1 << 31)
 
 
 def _contexts(own: Slice, bits: list[dict], anchor_parts: int, parts: int) -> Iterator[tuple]:
     """Rows of ``CONTEXTS`` of one slice."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3)
     (start, windows, key, text), keys, _, which = own.grams()
     shared, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     ranges = {p: (a, b) for p, a, b in by_part(keys, anchor_parts)}
@@ -394,10 +398,23 @@ def _contexts(own: Slice, bits: list[dict], anchor_parts: int, parts: int) -> It
     edges = np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(distinct)))])
     to = np.argsort(anchor, kind="stable")
     for p, a, b in by_part(anchor[to], parts):
-        mine = to[a:b]
+        mine = np.sort(to[a:b])
         texts = [distinct[i] for i in mine.tolist()]
-        places = np.concatenate([by_context[edges[i] : edges[i + 1]] for i in mine.tolist()])
-        yield (p, own.number, b"".join(texts), np.fromiter(map(len, texts), np.uint8, len(texts)).tobytes(), anchor[mine].astype(np.uint32).tobytes(), least[mine].tobytes(), np.diff(edges)[mine].astype(np.uint32).tobytes(), marked[places].tobytes())
+        places = marked[np.concatenate([by_context[edges[i] : edges[i + 1]] for i in mine.tolist()])]
+        numbers = (least[mine], anchor[mine].astype(np.uint32), np.diff(edges)[mine].astype(np.uint32), np.diff(places, prepend=np.uint32(0)), np.fromiter(map(len, texts), np.uint8, len(texts)))
+        yield p, own.number, len(mine), pack.compress(b"".join([*(x.tobytes() for x in numbers), *texts]))
+
+
+def _unpacked(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Smallest ids, anchors, numbers of places, places and bytes of the contexts of a row."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    ids, keys, counts = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint32, n, 8 * n), np.frombuffer(raw, np.uint32, n, 12 * n)
+    m, at = int(counts.sum()), 16 * n
+    places = np.cumsum(np.frombuffer(raw, np.uint32, m, at), dtype=np.uint32)
+    ends = np.cumsum(np.frombuffer(raw, np.uint8, n, at + 4 * m), dtype=np.int64) + at + 4 * m + n
+    return ids, keys, counts, places, [raw[a:b] for a, b in zip([at + 4 * m + n, *ends.tolist()], ends.tolist())]
 
 
 FOUND = pa.schema([("slice", pa.int64()), ("places", pa.binary()), ("masks", pa.binary())])
@@ -415,36 +432,33 @@ def repeated_windows(held: DataFrame, bits: DataFrame, anchor_parts: int, parts:
 
     def judged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         order: dict[bytes, int] = {}
-        numbers, keys, ids = [], [], []
-        for row in range(table.num_rows):
-            raw = table.column("text")[row].as_py()
-            ends = np.cumsum(np.frombuffer(table.column("lengths")[row].as_py(), np.uint8), dtype=np.int64).tolist()
-            numbers.append(np.fromiter((order.setdefault(raw[a:b], len(order)) for a, b in zip([0, *ends], ends)), np.int64, len(ends)))
-            keys.append(np.frombuffer(table.column("keys")[row].as_py(), np.uint32))
-            ids.append(np.frombuffer(table.column("ids")[row].as_py(), np.int64))
+        numbers, keys, ids, times, places = [], [], [], [], []
+        for n, packed in zip(table.column("n").to_pylist(), table.column("packed")):
+            least_here, key_here, counts, at, contexts = _unpacked(n, packed.as_py())
+            numbers.append(np.fromiter((order.setdefault(c, len(order)) for c in contexts), np.int64, n))
+            for held_back, x in ((keys, key_here), (ids, least_here), (times, counts), (places, at)):
+                held_back.append(x.copy())
         number = np.concatenate(numbers)
         least, anchor = np.full(len(order), LAST, np.int64), np.zeros(len(order), np.uint32)
         np.minimum.at(least, number, np.concatenate(ids))
         anchor[number] = np.concatenate(keys)
         smallest, begin = smallest_ids(list(order), anchor, least, shard_bytes)
         rows = []
-        for row, (own, least_here) in enumerate(zip(numbers, ids)):
+        for slice_, own, least_here, often, at in zip(table.column("slice").to_pylist(), numbers, ids, times, places):
             counts = begin[own + 1] - begin[own]
             context = np.repeat(np.arange(len(own)), counts)
             inner = np.arange(len(context)) - np.repeat(np.cumsum(counts) - counts, counts)
             earlier = smallest[begin[own][context] + inner] < least_here[context]
             mask = np.bitwise_or.reduceat(earlier.astype(U) << inner.astype(U), np.cumsum(counts) - counts)
-            times = np.frombuffer(table.column("counts")[row].as_py(), np.uint32)
-            places = np.frombuffer(table.column("places")[row].as_py(), np.uint32)
             whole = (U(1) << counts.astype(U)) - U(1)
-            masks = np.where(places >= AGAIN, np.repeat(whole, times), np.repeat(mask, times))
+            masks = np.where(at >= AGAIN, np.repeat(whole, often), np.repeat(mask, often))
             kept = masks > 0
             if kept.any():
-                rows.append((table.column("slice")[row].as_py(), (places[kept] & ~AGAIN).tobytes(), np.ascontiguousarray(masks[kept].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()))
+                rows.append((slice_, (at[kept] & ~AGAIN).tobytes(), np.ascontiguousarray(masks[kept].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()))
         return pa.Table.from_batches([_table(rows, FOUND)])
 
     wanted = bits.groupBy("slice").agg(F.collect_list(F.struct("part", "shared", "hot")).alias("bits"))
-    contexts = held.join(wanted.hint("shuffle_hash"), "slice").mapInArrow(sent, "part int, slice long, text binary, lengths binary, keys binary, ids binary, counts binary, places binary")
+    contexts = held.join(wanted.hint("shuffle_hash"), "slice").mapInArrow(sent, "part int, slice long, n int, packed binary")
     return contexts.groupBy("part").applyInArrow(judged, "slice long, places binary, masks binary")
 
 
