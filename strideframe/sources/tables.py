@@ -1,7 +1,8 @@
 """Text sources (SRC01-SRC17). Explicit schemas, columns by name, bad values null.
 
-Files with different header orders can't be read together (columns of CSV files go by the position of
-the first file's header), so files are grouped by their header line first; only those lines are looked at.
+Files with different header orders can't be read together (columns go by position), so files are grouped
+by their header line first, of which only the first bytes are read. Rows are read in blocks and numbered as
+``text_files`` tells.
 """
 
 from __future__ import annotations
@@ -15,40 +16,24 @@ from ..functions.numbers import millimetres, thousands_to_long, to_double, to_lo
 from ..functions.text import first_filled, marker_stems, strip
 from ..functions.times import track_time
 from ..operators.fixtures import missing
-from ..schemas import BALL_REQUIRED, EVENT_COLUMNS, KEEPER_NAMES, KEEPER_REQUIRED, SHOTS
+from ..schemas import BALL_REQUIRED, EVENT_COLUMNS, KEEPER_NAMES, SHOTS
+from . import text_files
+from .text_files import lines
 
 POSITIONS = "*_2_phases_positions.csv"
 
 
-def text_table(spark: SparkSession, path: str | list[str], columns: list[str], sep: str = ";") -> DataFrame:
-    """All-text rows of delimited files whose header is ``columns``."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.csv(path, schema=schema, sep=sep, header=True, quote='"', escape='"', multiLine=True, enforceSchema=True)
-
-
-def headers(spark: SparkSession, path: str, sep: str = ";", glob: str | None = None) -> dict[tuple[str, ...], list[str]]:
-    """Files by their columns; one short row for each file comes to the driver."""
-    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
-    lines = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value").where("at = 0")
-    found: dict[tuple[str, ...], list[str]] = {}
-    for r in lines.groupBy("file").agg(F.min_by("value", "n").alias("line")).orderBy("file").collect():
-        found.setdefault(tuple(c.strip('"') for c in r["line"].lstrip("﻿").rstrip("\r").split(sep)), []).append(r["file"])
-    return found
-
-
 def events(spark: SparkSession, path: str) -> DataFrame:
-    """Event rows, all text, with ``row_idx`` in file order; columns that a file lacks are null."""
+    """Event rows, all text, with ``row_idx`` in file order, without gaps; columns that a file lacks are null."""
     parts = []
-    for columns, files in headers(spark, path).items():
-        df = text_table(spark, files, list(columns))
+    for columns, rows in text_files.delimited(spark, text_files.by_header(spark, path)):
+        df = rows.select("row.*", F.col("ordinal").alias("row_idx"))
         for c in EVENT_COLUMNS:
-            if c not in df.columns:
+            if c not in columns:
                 df = df.withColumn(c, F.lit(None).cast("string"))
         parts.append(df)
-    none = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in EVENT_COLUMNS))  # a folder may be empty
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else none
-    # file order within a scan; ids grow with it
-    return both.withColumn("row_idx", F.monotonically_increasing_id())
+    none = spark.createDataFrame([], ", ".join(f"`{c}` string" for c in EVENT_COLUMNS) + ", row_idx long")  # a folder may be empty
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else none
 
 
 def files(spark: SparkSession, path: str, glob: str = POSITIONS) -> DataFrame:
@@ -60,17 +45,19 @@ def positions(spark: SparkSession, path: str, required: tuple[str, ...] = BALL_R
     """Raw rows with ``fixture_file`` and ``file_ord`` of files that have all required columns, and the issues of
     the others (fixture_file, issue): a file without one is rejected as a whole.
     """
-    parts, rejected = [], []
-    for columns, found in headers(spark, path, glob=glob).items():
+    parts, rejected, accepted = [], [], {}
+    for columns, found in text_files.by_header(spark, path, glob=glob).items():
         lacking = missing(list(required), list(columns))
         if lacking:
             rejected += [(f.rsplit("/", 1)[-1], f"positions_load_error:missing columns {', '.join(lacking)}") for f in found]
-            continue
-        df = text_table(spark, found, list(columns)).select("*", F.col("_metadata.file_name").alias("fixture_file"))
+        else:
+            accepted[columns] = found
+    for columns, rows in text_files.delimited(spark, accepted):
+        df = rows.select("row.*", F.col("file_name").alias("fixture_file"), F.col("ordinal").alias("file_ord"))
         for c in KEEPER_NAMES:
-            if c not in df.columns:
+            if c not in columns:
                 df = df.withColumn(c, F.lit(None).cast("string"))
-        parts.append(df.withColumn("file_ord", F.monotonically_increasing_id()))
+        parts.append(df)
     issues = spark.createDataFrame(rejected, "fixture_file string, issue string")
     return (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None), issues
 
@@ -97,7 +84,7 @@ def keeper_candidates(raw: DataFrame) -> DataFrame:
 def shots(spark: SparkSession, path: str) -> DataFrame:
     """Second profile: shots with times in milliseconds."""
     names = [c.strip().split()[0] for c in SHOTS.split(",")]
-    parts = [text_table(spark, found, list(columns)) for columns, found in headers(spark, path).items()]
+    parts = [rows.select("row.*") for _, rows in text_files.delimited(spark, text_files.by_header(spark, path))]
     raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     raw = raw.select(*(F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in names))
     return raw.select("id", "player_id", "shot_type", "shot_category", thousands_to_long("timestamp_ms").alias("ts_ms"), "success", *(to_double(c).alias(c) for c in ("distance", "speed_ball", "shot_position_x", "shot_position_y")))
@@ -109,12 +96,6 @@ def shot_ball_rows(raw: DataFrame) -> DataFrame:
     return raw.where(ball).select(thousands_to_long("ts in ms").alias("ts_ms"), to_double("x in m").alias("x"), to_double("y in m").alias("y"), to_double("z in m").alias("z"), to_double("speed in m/s").alias("speed"), to_double("acceleration in m/s2").alias("accel"), to_double("direction of movement in deg").alias("direction"))
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file_name, line_no (from 0 in each file), value of text files; a file is read as one text."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), "value")
-    return whole.select("file_name", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
-
-
 MARKER_HEADER = r"^Frame\tTime"
 AXES = {"xyz": lambda x, y, z: (x, y, z), "xzy": lambda x, y, z: (x, z, y), "yzx": lambda x, y, z: (y, z, x)}
 
