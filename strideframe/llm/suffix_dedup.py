@@ -7,6 +7,7 @@ the work to strings that stand in one document only, so first
    smallest (leftmost on ties). Equal windows have equal anchors, and neighbouring windows mostly the same one.
    The anchors' hashes of each slice, each once, are counted by documents in the partitions of the hashes;
    windows whose anchor stands in one document only are done. Two bits an anchor go back to each slice.
+   A text that equals one of smaller id as a whole (told by 128-bit digests) goes altogether and sends no more.
 2. Each other anchor with the bytes of all windows that name it (at most 84) is a context. Each slice sends
    every distinct context once, with its smallest id, to the partition of the anchor. There contexts equal
    as a whole become one. Where an anchor has several contexts, these make up shards of bounded size: a suffix array by
@@ -16,7 +17,7 @@ the work to strings that stand in one document only, so first
    be one task's work, so its windows go out singly, to the partitions of their own 50 bytes.
 3. Each slice gets the windows that stand in a document of smaller id, and removes what they cover.
 
-Exact: hashes choose anchors and partitions only (two anchors with one hash only mean more work); windows are
+Exact: but for the digests of whole texts, hashes choose anchors and partitions only (two anchors with one hash only mean more work); windows are
 compared by their bytes. What returns to slices are bits and places, so texts move twice, compressed.
 
 Edge cases: a null text is empty; a null id counts as larger than all others, and rows of equal
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 
 U = np.uint64
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM, DIGEST = 50, 16, 16
 REACH = WINDOW - GRAM + 1
 SLICE_BYTES = 2 << 20
 STEP = 1 << 18
@@ -250,13 +251,15 @@ def smallest_ids(contexts: list[bytes], keys: np.ndarray, ids: np.ndarray, shard
 # slices
 
 
-SLICES = "slice long, ids binary, known binary, lengths binary, text binary"
+SLICES = "slice long, ids binary, known binary, lengths binary, digests binary, text binary"
 
 
 def slices(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """Documents in slices: ids (null: the largest number, and not ``known``), byte lengths and the texts end to end, zstd."""
+    """Documents in slices: ids (null: the largest number, and not ``known``), byte lengths, digests of the texts, the texts end to end, zstd."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import blake2b
+
         import zstandard
         from pyspark import TaskContext
 
@@ -265,8 +268,8 @@ def slices(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
 
         def closed() -> pa.RecordBatch:
             own = np.array([LAST if i is None else i for i in ids], np.int64)
-            columns = [[number], [own.tobytes()], [bytes(i is not None for i in ids)], [np.fromiter(map(len, texts), np.int64, len(texts)).tobytes()], [pack.compress(b"".join(texts))]]
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["slice", "ids", "known", "lengths", "text"])
+            columns = [[number], [own.tobytes()], [bytes(i is not None for i in ids)], [np.fromiter(map(len, texts), np.int64, len(texts)).tobytes()], [b"".join([blake2b(t, digest_size=DIGEST).digest() for t in texts])], [pack.compress(b"".join(texts))]]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["slice", "ids", "known", "lengths", "digests", "text"])
 
         for batch in batches:
             for i, text in zip(*common.columns_of(batch, "doc_id", "text")):
@@ -292,6 +295,11 @@ class Slice:
         self.text = zstandard.ZstdDecompressor().decompress(row["text"])
         self.data = np.frombuffer(self.text, np.uint8)
 
+    def copies(self, found: list[dict] | None) -> np.ndarray:
+        """Which texts equal one of smaller id, from the bits of ``copies``."""
+        raw = next((x["copies"] for x in found or [] if x["copies"] is not None), b"").ljust((len(self.ids) + 7) // 8, b"\0")
+        return np.unpackbits(np.frombuffer(raw, np.uint8), count=len(self.ids)).astype(bool)
+
     def grams(self) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray, np.ndarray]:
         """Stretches of windows; the distinct hashes of anchors in order, the documents that each stands in, which each stretch has."""
         found = anchors(self.data, self.lengths)
@@ -311,6 +319,27 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
+def copies(held: DataFrame) -> DataFrame:
+    """slice, bits: a bit for each text of a slice, of the slices where one equals a text of smaller id."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, ids, digests in zip(*common.columns_of(batch, "slice", "ids", "digests")):
+                n = len(ids) // 8
+                columns = [pa.array([number] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(np.frombuffer(ids, np.int64)), pa.array([digests[i : i + DIGEST] for i in range(0, len(digests), DIGEST)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["slice", "at", "id", "digest"])
+
+    def bits(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        flags = np.zeros(int(max(table.column("at").to_pylist())) + 1, bool)
+        flags[table.column("at").to_numpy()] = True
+        raw = np.packbits(flags).tobytes()
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([raw], pa.binary())})
+
+    names = held.select("slice", "ids", "digests").mapInArrow(listed, "slice long, at int, id long, digest binary")
+    first = names.groupBy("digest").agg(F.min("id").alias("first"))
+    return names.join(first, "digest").where("id > first").select("slice", "at").groupBy("slice").applyInArrow(bits, "slice long, bits binary")
+
+
 COUNTED = pa.schema([("part", pa.int32()), ("slice", pa.int64()), ("keys", pa.binary()), ("many", pa.binary()), ("docs", pa.binary())])
 #: ``shared``, ``hot``: a bit for each anchor sent; n: contexts to come of the shared ones at most.
 BITS = pa.schema([("slice", pa.int64()), ("part", pa.int32()), ("shared", pa.binary()), ("hot", pa.binary()), ("n", pa.int64())])
@@ -367,11 +396,14 @@ def _contexts(own: Slice, bits: list[dict], anchor_parts: int, parts: int) -> It
     (start, windows, key, text), keys, _, which = own.grams()
     shared, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
     ranges = {p: (a, b) for p, a, b in by_part(keys, anchor_parts)}
+    copy = own.copies(bits)[text]
     for row in bits:
+        if row["shared"] is None:
+            continue
         a, b = ranges[row["part"]]
         for flags, name in ((shared, "shared"), (hot, "hot")):
             flags[a:b] = np.unpackbits(np.frombuffer(row[name], np.uint8), count=b - a).astype(bool)
-    cold, single = np.flatnonzero(shared[which] & ~hot[which]), np.flatnonzero(hot[which])
+    cold, single = np.flatnonzero(shared[which] & ~hot[which] & ~copy), np.flatnonzero(hot[which] & ~copy)
     each = np.repeat(single, windows[single])
     begin = start[each] + np.arange(len(each)) - np.repeat(np.cumsum(windows[single]) - windows[single], windows[single])
     begin = np.concatenate([start[cold], begin])
@@ -420,7 +452,7 @@ def _unpacked(n: int, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray
 FOUND = pa.schema([("slice", pa.int64()), ("places", pa.binary()), ("masks", pa.binary())])
 
 
-def repeated_windows(held: DataFrame, bits: DataFrame, anchor_parts: int, parts: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_windows(held: DataFrame, bits: DataFrame, equal: DataFrame, anchor_parts: int, parts: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """For each slice the places of contexts and, a bit a window, which of its windows a document of smaller id has."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -457,7 +489,9 @@ def repeated_windows(held: DataFrame, bits: DataFrame, anchor_parts: int, parts:
                 rows.append((slice_, (at[kept] & ~AGAIN).tobytes(), np.ascontiguousarray(masks[kept].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()))
         return pa.Table.from_batches([_table(rows, FOUND)])
 
-    wanted = bits.groupBy("slice").agg(F.collect_list(F.struct("part", "shared", "hot")).alias("bits"))
+    none = F.lit(None).cast("binary")
+    both = bits.select("slice", F.struct("part", "shared", "hot", none.alias("copies")).alias("x")).union(equal.select("slice", F.struct(F.lit(-1).alias("part"), none.alias("shared"), none.alias("hot"), F.col("bits").alias("copies")).alias("x")))
+    wanted = both.groupBy("slice").agg(F.collect_list("x").alias("bits"))
     contexts = held.join(wanted.hint("shuffle_hash"), "slice").mapInArrow(sent, "part int, slice long, n int, packed binary")
     return contexts.groupBy("part").applyInArrow(judged, "slice long, places binary, masks binary")
 
@@ -465,20 +499,25 @@ def repeated_windows(held: DataFrame, bits: DataFrame, anchor_parts: int, parts:
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def without_repeats(held: DataFrame, found: DataFrame) -> DataFrame:
+def without_repeats(held: DataFrame, found: DataFrame, equal: DataFrame) -> DataFrame:
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 own = Slice(row)
                 change = np.zeros(len(own.data) + WINDOW + 1, np.int64)
+                ends = np.cumsum(own.lengths)
+                starts = ends - own.lengths
+                whole = own.copies(row["found"]) & (own.lengths >= WINDOW)
+                np.add.at(change, starts[whole], 1)
+                np.add.at(change, ends[whole], -1)
                 for x in row["found"] or []:
+                    if x["places"] is None:
+                        continue
                     places, raw = np.frombuffer(x["places"], np.uint32).astype(np.int64), np.frombuffer(x["masks"], np.uint8).reshape(-1, 5)
                     at, window = np.nonzero(np.unpackbits(raw, axis=1, bitorder="little"))
                     np.add.at(change, places[at] + window, 1)
                     np.add.at(change, places[at] + window + WINDOW, -1)
                 gone = np.cumsum(change)[: len(own.data)] > 0
-                ends = np.cumsum(own.lengths)
-                starts = ends - own.lengths
                 opens = gone.copy()
                 opens[1:] &= ~gone[:-1]
                 filled = own.lengths > 0
@@ -490,7 +529,9 @@ def without_repeats(held: DataFrame, found: DataFrame) -> DataFrame:
                     numbers = [pa.array(own.ids[low:high], mask=own.known[low:high] == 0), *(pa.array(x[low:high], pa.int64()) for x in (own.lengths, removed, spans))]
                     yield pa.RecordBatch.from_arrays([*numbers, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    lists = found.groupBy("slice").agg(F.collect_list(F.struct("places", "masks")).alias("found"))
+    none = F.lit(None).cast("binary")
+    both = found.select("slice", F.struct("places", "masks", none.alias("copies")).alias("x")).union(equal.select("slice", F.struct(none.alias("places"), none.alias("masks"), F.col("bits").alias("copies")).alias("x")))
+    lists = both.groupBy("slice").agg(F.collect_list("x").alias("found"))
     return held.join(lists.hint("shuffle_hash"), "slice", "left").mapInArrow(made, KEPT)
 
 
@@ -504,7 +545,8 @@ def dedup(docs: DataFrame, hot: int = HOT, slice_bytes: int = SLICE_BYTES, shard
     bits = common.written(shared_anchors(held, anchor_parts, hot), "anchors")
     contexts = common.scalar(bits.agg(F.sum("n")).first()[0])
     parts = max(common.width(spark), contexts * (WINDOW + REACH // 2) // PART_BYTES)
-    return without_repeats(held, repeated_windows(held, bits, anchor_parts, parts, shard_bytes))
+    equal = common.written(copies(held), "copies")
+    return without_repeats(held, repeated_windows(held, bits, equal, anchor_parts, parts, shard_bytes), equal)
 
 
 def digest(kept: DataFrame) -> DataFrame:
