@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from .functions import numbers, points, text, times, vector
 from .operators import aggregates, asof, fixtures, markers, pose, resample, series, spans
 from .plans import seven_metre, shots
-from .session import materialised, table
+from .session import materialised, new_folder, table
+from .sources import animations, sinks, tables, text_files
 from .streaming import windows as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -842,3 +843,115 @@ def limit_first_n(spark, d):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def tumbling_hours(spark, d):
     return streams.tumbling(events(spark, d)).select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+# Files: the driver's rows are written in the file formats and scanned back
+
+SAID = "strftime(ts, '%d.%m.%Y, %H:%M:%S.%g')"
+
+
+def position_files(spark: SparkSession, d: str) -> str:
+    """Position files of events: balls on their way, and others in front of a goal; decimal commas, blanks and gaps."""
+    e = events(spark, d)
+    clock = F.concat(F.date_format("ts", "dd.MM.yyyy, HH:mm:ss.SSS"))
+    comma = lambda c: F.replace(F.round(c, 3).cast("string"), F.lit("."), F.lit(","))
+    ball = F.col("event_type") == "view"
+    rows = e.select(
+        clock.alias("formatted local time"), F.when(ball, " Ball ").otherwise("Home").alias("group name"), F.when(F.col("event_id") % 17 != 0, comma(F.col("value") / 13 - 20)).alias("x in m"),
+        comma((F.col("event_id") % 40).cast("double") / 10 - 2).alias("y in m"), F.lit("0").alias("z in m"), comma(F.col("value")).alias("speed in m/s"), F.lit("").alias("acceleration in m/s2"), F.lit("x").alias("direction of movement in deg"),
+        F.col("event_id").cast("string").alias("ts in ms"), F.when(F.col("user_id") % 2 == 0, F.col("user_id").cast("string")).alias("sensor id"), F.concat(F.lit('"K" ;'), F.col("user_id")).alias("full name"),
+    )
+    path = new_folder(spark, "positions")
+    sinks.write_table(rows, path)
+    return path
+
+
+POS = """q AS (SELECT event_id AS ts_ms, date_trunc('millisecond', ts) AS local_dt, CASE WHEN event_id % 17 <> 0 THEN round(value / 13 - 20, 3) END AS x, round(CAST(event_id % 40 AS DOUBLE) / 10 - 2, 3) AS y, round(value, 3) AS speed, event_type, user_id FROM events)"""
+
+
+@query(f"WITH {POS} SELECT ts_ms, local_dt, x, y, speed FROM q WHERE event_type = 'view' AND x IS NOT NULL")
+def scan_ball_positions(spark, d):
+    raw, _ = tables.positions(spark, position_files(spark, d), glob="*.csv")
+    return tables.ball_points(raw).where("accel is null and direction is null and z = 0").select("ts_ms", "local_dt", "x", "y", "speed")
+
+
+@query(f"WITH {POS} SELECT ts_ms, x, y, CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE '\"K\" ;' || user_id END AS sensor_id FROM q WHERE event_type <> 'view' AND abs(x) BETWEEN 16 AND 20 AND abs(y) <= 1.5")
+def scan_keeper_positions(spark, d):
+    raw, _ = tables.positions(spark, position_files(spark, d), tables.KEEPER_REQUIRED, glob="*.csv")
+    return tables.keeper_candidates(raw).select("ts_ms", "x", "y", "sensor_id")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderpriority || '; \"' || o_orderstatus || '\"' AS home_team, CASE WHEN o_custkey % 3 > 0 THEN o_orderpriority END AS away_team, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS row_idx, CAST(NULL AS VARCHAR) AS player_name FROM orders")
+def scan_event_files(spark, d):
+    o = table(spark, d, "orders").select(F.when(F.col("o_custkey") % 3 > 0, F.col("o_orderpriority")).alias("away_team"), F.col("o_orderkey").cast("string").alias("id"), F.concat("o_orderpriority", F.lit('; "'), "o_orderstatus", F.lit('"')).alias("home_team"), "o_orderkey")
+    path = new_folder(spark, "events")
+    sinks.write_table(o, path, ("away_team", "id", "home_team"), order=("o_orderkey",))
+    return tables.events(spark, path).select("id", "home_team", "away_team", "row_idx", "player_name")
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber AS id, CAST(floor(l_extendedprice) AS BIGINT) AS ts_ms, l_quantity::DOUBLE AS distance, l_returnflag AS success FROM lineitem")
+def scan_shot_files(spark, d):
+    li = table(spark, d, "lineitem")
+    rows = li.select(F.col("l_returnflag").alias("success"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.format_number(F.floor("l_extendedprice"), 0).alias("timestamp_ms"), F.replace(F.col("l_quantity").cast("double").cast("string"), F.lit("."), F.lit(",")).alias("distance"))
+    path = new_folder(spark, "shots")
+    sinks.write_table(rows, path)
+    return tables.shots(spark, path).select("id", "ts_ms", "distance", "success")
+
+
+@query("SELECT p_partkey AS line_no, p_name || '; ' || coalesce(p_type, '') AS value FROM (SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS p_partkey, p_name, p_type FROM part)")
+def scan_lines(spark, d):
+    p = table(spark, d, "part")
+    path = new_folder(spark, "lines")
+    sinks.write_documents(p.select(F.lit("parts").alias("clip_id"), F.col("p_partkey").alias("at"), F.concat("p_name", F.lit("; "), F.coalesce("p_type", F.lit(""))).alias("line")), path)
+    return tables.lines(spark, path).where("file_name = 'parts'").select("line_no", "value")
+
+
+@query(f"WITH {V} SELECT label || ' clip' AS clip_id, frame, m AS marker, round(e[3*k+1], 5) AS x, round(e[3*k+3], 5) AS y, round(e[3*k+2], 5) AS z FROM v, (VALUES (0, 'A'), (1, 'B C')) AS t(k, m) WHERE NOT (k = 1 AND frame % 5 = 0)")
+def scan_marker_files(spark, d):
+    f = frames(spark, d).withColumn("clip_id", F.concat("label", F.lit(" clip")))
+    mm = lambda i: F.format_string("%.2f", at(i) * 1000)
+    gap = F.col("frame") % 5 == 0
+    body = f.select("clip_id", F.col("frame").alias("at"), F.concat_ws("\t", F.col("frame").cast("string"), F.format_string("%.3f", F.col("frame") / 300), mm(0), mm(1), mm(2), F.when(gap, "").otherwise(mm(3)), mm(4), mm(5)).alias("line"))
+    head = f.select("clip_id").distinct().select("clip_id", F.lit(-1).cast("long").alias("at"), F.lit("FREQUENCY\t300\nMARKER_NAMES\tA\tB C\nFrame\tTime\tA X\tA Y\tA Z\tB C X\tB C Y\tB C Z").alias("line"))
+    path = new_folder(spark, "markers")
+    sinks.write_documents(body.union(head), path)
+    points, _, _ = tables.markers(spark, path, axes="xzy")
+    return points.select("clip_id", "frame", "marker", *(F.round(c, 5).alias(c) for c in "xyz"))
+
+
+QUATS = ", ".join(f"e[{k}]" for k in range(1, 65))
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """clip_id, frame, root, quats (16) of embeddings."""
+    f = frames(spark, d).withColumn("clip_id", F.concat(F.lit("no "), F.col("label").cast("string")))
+    quats = F.array(*(vector.quat(*(at(4 * j + k) for k in range(4))) for j in range(16)))
+    return f.select("clip_id", "frame", vector.vec(at(0), at(1), at(2)).alias("root"), quats.alias("quats"))
+
+
+@query(f"WITH {V} SELECT 'no ' || label AS clip_id, frame, CAST(j AS INTEGER) AS joint, 'joint ' || j AS name, round(e[4*j+1], 6) AS qx, round(e[4*j+2], 6) AS qy, round(e[4*j+3], 6) AS qz, round(e[4*j+4], 6) AS qw FROM v, range(16) AS r(j)")
+def scan_animation_documents(spark, d):
+    path = new_folder(spark, "animations")
+    sinks.write_documents(sinks.animation_lines(_documents(spark, d), [f"joint {j}" for j in range(16)]), path)
+    good, _ = animations.animations(spark, path)
+    q = animations.rotations(good)
+    return q.select("clip_id", F.col("frame").cast("long").alias("frame"), "joint", "name", *(r6(F.element_at("q", k + 1)).alias(f"q{a}") for k, a in enumerate("xyzw")))
+
+
+@query(f"WITH {V} SELECT 'no ' || label AS clip_id, frame, 51 AS channels, round(e[1], 6) AS x, round(e[2], 6) AS y, round(e[3], 6) AS z FROM v")
+def scan_bvh_documents(spark, d):
+    names, parents = [f"j{j}" for j in range(16)], [-1, *range(15)]
+    path = new_folder(spark, "bvh")
+    sinks.write_documents(sinks.bvh_lines(_documents(spark, d), sinks.bvh_hierarchy(names, parents, [(0.0, 0.0, 0.0)] * 16), parents), path)
+    m = tables.bvh_motion(spark, path)
+    return m.select(F.col("file_name").alias("clip_id"), F.col("frame").cast("long").alias("frame"), F.size("channels").alias("channels"), *(r6(F.element_at("channels", k + 1)).alias(a) for k, a in enumerate("xyz")))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS row_idx, o_orderpriority AS penalty_id, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderstatus END AS home_team, 'a;b' AS away_team, 'late \"' || o_orderpriority || '\"' AS issue FROM orders WHERE o_totalprice > 100000")
+def written_issues(spark, d):
+    o = table(spark, d, "orders").where("o_totalprice > 100000")
+    rows = o.select(F.concat(F.lit('late "'), "o_orderpriority", F.lit('"')).alias("issue"), F.col("o_orderkey").cast("string").alias("row_idx"), F.col("o_orderpriority").alias("penalty_id"), F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderstatus")).alias("home_team"), F.lit("a;b").alias("away_team"))
+    path = sinks.run_folder(spark, new_folder(spark, "runs")) + "/issues"
+    sinks.write_issues(rows, path)
+    ((_, back),) = text_files.delimited(spark, text_files.by_header(spark, path))
+    return back.select("row.*")

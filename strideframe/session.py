@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +26,20 @@ def materialised(df: DataFrame) -> DataFrame:
     where that is unset, a cached table, which is computed again where an executor is lost.
     """
     return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
+
+
+_own: list[str] = []
+
+
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A path for a table or files that doesn't exist yet, in the shared folder of ``spark.checkpoint.dir``; where that is
+    unset, in a temporary one, on a single machine only.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="strideframe-"))
+        base = _own[0]
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.points import frame_rotation, parse_animation
+from .text_files import document
 
 
 def animations(spark: SparkSession, path: str, default_rate: float = 30.0) -> tuple[DataFrame, DataFrame]:
     """(documents, rejects): one row a file; every frame needs rotations of all joints, flat or nested."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("clip_id"), parse_animation("value").alias("d"))
+    raw = spark.read.text(path, wholetext=True).select(document().alias("clip_id"), parse_animation("value").alias("d"))
     n = F.size("d.joint_names")
     whole = F.forall("d.frames", lambda f: (F.coalesce(F.size(f["rotations_flat"]), F.lit(-1)) >= 4 * n) | (F.coalesce(F.size(f["rotations"]), F.lit(-1)) >= n))
     issue = F.when(F.col("d").isNull() | F.col("d.frames").isNull() | (F.size("d.frames") < 1), "no_frames").when((n < 1) | n.isNull(), "no_joints").when(~F.coalesce(whole, F.lit(False)), "bad_frame")

@@ -16,7 +16,7 @@ from ..functions.numbers import millimetres, thousands_to_long, to_double, to_lo
 from ..functions.text import first_filled, marker_stems, strip
 from ..functions.times import track_time
 from ..operators.fixtures import missing
-from ..schemas import BALL_REQUIRED, EVENT_COLUMNS, KEEPER_NAMES, SHOTS
+from ..schemas import BALL_REQUIRED, EVENT_COLUMNS, KEEPER_NAMES, KEEPER_REQUIRED, SHOTS  # noqa: F401
 from . import text_files
 from .text_files import lines
 

@@ -17,7 +17,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialised
@@ -57,8 +57,14 @@ def by_header(spark: SparkSession, path: str | list[str], sep: str = ";", glob:
     return found
 
 
+def document() -> Column:
+    """Name of a row's document: its folder's where that is ``clip_id=...`` as the sinks write it, else its file's."""
+    folder = F.url_decode(F.regexp_extract("_metadata.file_path", "/clip_id=([^/]*)/[^/]*$", 1))
+    return F.coalesce(F.nullif(folder, F.lit("")), "_metadata.file_name")
+
+
 def _place() -> list:
-    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("_block")]
+    return [F.col("_metadata.file_path").alias("_file"), document().alias("file_name"), F.col("_metadata.file_block_start").alias("_block")]
 
 
 def text_lines(spark: SparkSession, path: str | list[str], glob: str | None = None, blanks: bool = True) -> DataFrame:

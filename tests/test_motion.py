@@ -99,23 +99,23 @@ def test_retargeting(spark):
 def test_documents(spark, tmp_path):
     ready = motion.animate(frames(spark, {"a": clip(6)})).cache()
     assert min(r.root.y for r in ready.collect()) >= 0 and (ready.orderBy("frame").first().root.x, ready.orderBy("frame").first().root.z) == (0, 0)
-    doc = sinks.animation_documents(ready, list(pose.JOINTS)).first().value
     from strideframe.sources.animations import animations, roots, rotations
 
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.json").write_text(doc)
-    (tmp_path / "in/bad.json").write_text('{"joint_names":["A","B"],"frames":[{"root_position":[0,0,0],"rotations":[[0,0,0,1]]}]}')
+    sinks.write_documents(sinks.animation_lines(ready, list(pose.JOINTS)), str(tmp_path / "in"))
+    (tmp_path / "in/clip_id=bad").mkdir()
+    (tmp_path / "in/clip_id=bad/bad.json").write_text('{"joint_names":["A","B"],"frames":[{"root_position":[0,0,0],"rotations":[[0,0,0,1]]}]}')
     good, bad = animations(spark, str(tmp_path / "in"))
-    assert [r.issue for r in bad.collect()] == ["bad_frame"] and rotations(good).count() == 6 * 19 and roots(good).count() == 6
+    assert [(r.clip_id, r.issue) for r in bad.collect()] == [("bad", "bad_frame")] and rotations(good).count() == 6 * 19 and roots(good).count() == 6
     off = [(0.0, 0.0, 0.0)] * 19
-    text = sinks.bvh_documents(ready, sinks.bvh_hierarchy(list(pose.JOINTS), list(pose.PARENTS), off), list(pose.PARENTS)).first().value
-    lines = text.split("\n")
+    sinks.write_documents(sinks.bvh_lines(ready, sinks.bvh_hierarchy(list(pose.JOINTS), list(pose.PARENTS), off), list(pose.PARENTS)), str(tmp_path / "bvh"))
+    (file,) = (tmp_path / "bvh/clip_id=a").glob("part-*")
+    text = file.read_text()
+    lines = text.rstrip("\n").split("\n")
     assert lines[0] == "HIERARCHY" and "MOTION" in lines and text.count("End Site") == 5 and "Frames: 6" in lines
     assert all(len(x.split()) == 3 + 3 * 19 for x in lines[-6:]) and sinks.depth_first([-1, 0, 0, 1]) == [0, 1, 3, 2]
-    (tmp_path / "m.bvh").write_text(text)
     from strideframe.sources.tables import bvh_motion
 
-    got = bvh_motion(spark, str(tmp_path / "m.bvh")).orderBy("frame").collect()
+    got = bvh_motion(spark, str(tmp_path / "bvh")).orderBy("frame").collect()
     assert [r.frame for r in got] == list(range(6)) and len(got[0].channels) == 60
 
 

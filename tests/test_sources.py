@@ -145,3 +145,28 @@ def test_the_chosen_events(spark):
     df = spark.createDataFrame([("1", "a", "b"), ("2", "b", "a"), ("3", "a", None)], "id string, home_team string, away_team string")
     ids = lambda **k: sorted(r.id for r in shots.chosen(df, **k).collect())
     assert ids(home="a", away="b") == ["1"] and ids(event_id="3", home="a", away="b") == ["3"] and ids(home="a") == ["1", "2", "3"]
+
+
+def test_two_runs_at_once_get_two_numbers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    base = str(tmp_path / "runs")
+    (tmp_path / "runs/run_4__01_01_2024_00_00").mkdir(parents=True)
+    with ThreadPoolExecutor(6) as pool:
+        found = list(pool.map(lambda _: sinks.run_folder(spark, base), range(6)))
+    assert sorted(int(f.rsplit("/run_", 1)[1].split("__")[0]) for f in found) == list(range(5, 11))
+
+
+def test_documents_are_whole_or_not_there(spark, tmp_path):
+    """Lines of many clips come in any order; a job that dies half way leaves no document."""
+    lines = spark.range(0, 4000, 1, 8).select(F.concat(F.lit("c "), F.col("id") % 7).alias("clip_id"), (-F.col("id")).alias("at"), F.col("id").cast("string").alias("line"))
+    sinks.write_documents(lines, str(tmp_path / "good"))
+    files = sorted((tmp_path / "good").glob("clip_id=*/part-*"))
+    assert len(files) == 7
+    for k, f in enumerate(files):
+        assert f.read_text().split() == [str(i) for i in range(3999, -1, -1) if i % 7 == k]
+    assert {r.file_name for r in tables.lines(spark, str(tmp_path / "good")).select("file_name").distinct().collect()} == {f"c {k}" for k in range(7)}
+    broken = lines.withColumn("line", F.when(F.col("at") == -3, F.raise_error(F.lit("dies")).cast("string")).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="dies"):
+        sinks.write_documents(broken, str(tmp_path / "bad"))
+    assert not list((tmp_path / "bad").glob("clip_id=*/part-*")) and not (tmp_path / "bad/_SUCCESS").exists()
