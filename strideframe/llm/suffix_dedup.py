@@ -41,7 +41,7 @@ U = np.uint64
 WINDOW, GRAM, DIGEST = 50, 16, 16
 REACH = WINDOW - GRAM + 1
 SLICE_BYTES = 2 << 20
-STEP = 1 << 18
+STEP = 1 << 16
 #: Anchors of more documents send their windows singly.
 HOT = 4096
 #: Bytes of contexts of one suffix array, and bytes for which one partition of keys stands.
@@ -93,7 +93,8 @@ def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
         first = np.ones(len(place), bool)
         first[1:] = (at[1:] != at[:-1]) | (place[1:] != place[:-1] + 1)
         begin = np.flatnonzero(first)
-        found.append((place[begin] + base, np.diff(np.append(begin, len(place))), g[at[begin]]))
+        # anchors have small hashes; mixed again they deal out evenly
+        found.append((place[begin] + base, np.diff(np.append(begin, len(place))), common.mix64(~g[at[begin]])))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64)
     start, windows, key = map(np.concatenate, zip(*found))
