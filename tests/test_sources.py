@@ -110,16 +110,6 @@ def test_streams(spark, tmp_path, sf_dir):
     q.stop()
     want = {(r.start, r.event_type): r.n for r in windows.tumbling(ev.withColumn("ts", F.col("ts").cast("timestamp"))).collect()}
     assert {(r.start, r.event_type): r.n for r in spark.table("hours").collect()} == want
-    q = windows.crossings(stream, "user_id", "ts", "value", line=400.0).writeStream.outputMode("append").format("memory").queryName("crossed").start()
-    q.processAllAvailable()
-    q.stop()
-    rows = ev.select("user_id", "ts", "value").orderBy("user_id", "ts").collect()
-    n, beyond, last = 0, False, None
-    for r in rows:
-        beyond = beyond if r.user_id == last else False
-        n += r.value > 400 and not beyond
-        beyond, last = r.value > 400, r.user_id
-    assert spark.table("crossed").count() == n
 
 
 def test_results_are_written_by_file_and_event(spark, tmp_path):
