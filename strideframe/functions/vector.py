@@ -228,3 +228,45 @@ def _rotate(q: Column, v: Column) -> Column:
     u = vec(q["x"], q["y"], q["z"])
     t = scale(cross(u, v), 2.0)
     return add(add(v, scale(t, q["w"])), cross(u, t))
+
+
+def best_rotation(rest: Column, pose: Column, squarings: int = 36) -> Column:
+    """Unit quaternion (w >= 0) of the rotation that takes the vectors ``rest`` to ``pose`` (arrays of x, y, z structs) with least
+    squared error; of several equally good ones, the one of the smallest angle.
+
+    The quaternion belongs to the largest eigenvalue of a symmetric 4 x 4 matrix. Squared again and again, that matrix (moved to be
+    positive) becomes the projection on its eigenvectors, also where there are several; the projection of the identity is
+    the quaternion sought, or that of another axis where the rotation is half a turn. Without vectors: the identity.
+    """
+    names = [a + b for a in "xyz" for b in "xyz"]
+
+    def products(r: Column, p: Column) -> Column:
+        return F.struct(*((r[n[0]] * p[n[1]]).alias(n) for n in names), F.sqrt(dot(r, r) * dot(p, p)).alias("n"))
+
+    nothing = F.struct(*(F.lit(0.0).alias(n) for n in [*names, "n"]))
+    held = F.aggregate(F.filter(F.zip_with(rest, pose, products), lambda s: s["n"].isNotNull()), nothing, lambda t, s: F.struct(*((t[n] + s[n]).alias(n) for n in [*names, "n"])))
+
+    def matrix(s: Column) -> Column:
+        # order w, x, y, z; entries on and above the diagonal
+        d = {(0, 0): s["xx"] + s["yy"] + s["zz"], (1, 1): s["xx"] - s["yy"] - s["zz"], (2, 2): s["yy"] - s["xx"] - s["zz"], (3, 3): s["zz"] - s["xx"] - s["yy"]}
+        d |= {(0, 1): s["yz"] - s["zy"], (0, 2): s["zx"] - s["xz"], (0, 3): s["xy"] - s["yx"], (1, 2): s["xy"] + s["yx"], (1, 3): s["zx"] + s["xz"], (2, 3): s["yz"] + s["zy"]}
+        return F.struct(*(((d[i, j] + s["n"]) if i == j else d[i, j]).alias(f"m{i}{j}") for i in range(4) for j in range(i, 4)))
+
+    def squared(m: Column) -> Column:
+        at = lambda i, j: m[f"m{min(i, j)}{max(i, j)}"]
+        trace = at(0, 0) + at(1, 1) + at(2, 2) + at(3, 3)
+        return let(trace * trace)(lambda t: F.struct(*((sum((at(i, k) * at(k, j) for k in range(1, 4)), at(i, 0) * at(0, j)) / t).alias(f"m{i}{j}") for i in range(4) for j in range(i, 4))))
+
+    def vector(m: Column) -> Column:
+        at = lambda i, j: m[f"m{min(i, j)}{max(i, j)}"]
+        column = lambda k: quat(at(1, k), at(2, k), at(3, k), at(0, k))
+        trace = at(0, 0) + at(1, 1) + at(2, 2) + at(3, 3)
+        # the identity's projection where it is long enough to be exact, else the longest of the others
+        others = F.when((at(1, 1) >= at(2, 2)) & (at(1, 1) >= at(3, 3)), column(1)).when(at(2, 2) >= at(3, 3), column(2)).otherwise(column(3))
+        return F.when(at(0, 0) > 1e-6 * trace, column(0)).otherwise(others)
+
+    def fit(s: Column) -> Column:
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(squarings)), matrix(s), lambda m, _: squared(m))
+        return F.when(s["n"] > EPS, let(end)(lambda m: q_unit(vector(m)))).otherwise(quat(*IDENTITY))
+
+    return let(held)(fit)

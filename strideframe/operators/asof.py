@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialised
+
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, payload: list[str], forward: bool, order: str | None = None, prefix: str = "hit_", span: int | None = None) -> DataFrame:
     """``left`` with ``prefix``-columns of the right row at or after (``forward``) or at or before its time.
@@ -56,17 +58,47 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_time: str,
     return found.withColumn("_pick", pick).select(*left.columns, *(F.col("_pick")[c].alias(f"{prefix}{c}") for c in payload))
 
 
-def within(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, before: int, after: int, bucket: int | None = None) -> DataFrame:
+#: Rows of one side of a bucket that one task should have.
+DENSE = 50_000
+#: Dense buckets that may go to all workers, about 100 bytes each; more are joined by an exchange.
+BUCKETS = 200_000
+
+
+def dealt(one: DataFrame, two: DataFrame, on: list[str], dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equi-join on ``on`` with two more columns to join on, ``_l`` and ``_r``, that part dense keys.
+
+    Keys with more than ``dense`` rows on a side are counted first. Such a key is a grid of tasks: each row of ``one`` belongs to
+    one line of it and is copied along the line, each row of ``two`` to one column. Other keys are one cell.
+    """
+    n = lambda df, name: df.groupBy(*on).agg(F.count(F.lit(1)).alias(name)).where(F.col(name) > dense)
+    cells = n(one, "_nl").join(n(two, "_nr"), on, "full").select(*on, F.ceil(F.coalesce("_nl", F.lit(1)) / dense).alias("_nl"), F.ceil(F.coalesce("_nr", F.lit(1)) / dense).alias("_nr"))
+    cells = materialised(cells)
+    small = F.broadcast(cells) if cells.count() <= BUCKETS else cells
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(c), F.lit(1)) - 1))
+    own = lambda df, c: F.pmod(F.xxhash64(*(x for x in df.columns if x not in ("_nl", "_nr"))), F.coalesce(F.col(c), F.lit(1)))
+    a, b = one.join(small, on, "left"), two.join(small, on, "left")
+    a = a.withColumn("_l", own(one, "_nl")).withColumn("_r", every("_nr"))
+    b = b.withColumn("_r", own(two, "_nr")).withColumn("_l", every("_nl"))
+    return a.drop("_nl", "_nr"), b.drop("_nl", "_nr")
+
+
+def within(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, before: int, after: int, bucket: int | None = None, dense: int | None = None) -> DataFrame:
     """Pairs whose right time is in [left - before, left + after] (whole numbers).
 
     Rows meet by key and bucket of time, so a long series isn't compared with every event: each left row
-    goes to the few buckets that its interval touches.
+    goes to the few buckets that its interval touches. dense: rows of a bucket beyond which it is parted (``dealt``); None
+    counts nothing, for series whose buckets are known to be even.
     """
     bucket = bucket or max(1, before + after)
     lo, hi = F.floor((F.col(left_time) - before) / bucket), F.floor((F.col(left_time) + after) / bucket)
-    one = left.withColumn("_bucket", F.explode(F.sequence(lo, hi))).alias("l")
-    two = right.withColumn("_bucket", F.floor(F.col(right_time) / bucket)).alias("r")
-    met = one.join(two, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys] + [F.col("l._bucket") == F.col("r._bucket"), F.col(f"r.{right_time}").between(F.col(f"l.{left_time}") - before, F.col(f"l.{left_time}") + after)])
+    one = left.withColumn("_bucket", F.explode(F.sequence(lo, hi)))
+    two = right.withColumn("_bucket", F.floor(F.col(right_time) / bucket))
+    on = [*keys, "_bucket"]
+    if dense:
+        one, two = dealt(one, two, on, dense)
+        on += ["_l", "_r"]
+    one, two = one.alias("l"), two.alias("r")
+    met = one.join(two, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in on] + [F.col(f"r.{right_time}").between(F.col(f"l.{left_time}") - before, F.col(f"l.{left_time}") + after)])
     return met.select(*(F.col(f"l.{c}") for c in left.columns), *(F.col(f"r.{c}") for c in right.columns if c not in keys))
 
 
@@ -75,14 +107,19 @@ def last_at_or_before(value: Column, offset: Column) -> Column:
     return F.coalesce(F.max_by(F.when(offset <= 0, value), F.when(offset <= 0, offset)), F.min_by(value, offset))
 
 
-def slices(events: DataFrame, points: DataFrame, keys: list[str], first: str, last: str, idx: str, columns: list[str], bucket: int = 256) -> DataFrame:
+def slices(events: DataFrame, points: DataFrame, keys: list[str], first: str, last: str, idx: str, columns: list[str], bucket: int = 256, dense: int | None = None) -> DataFrame:
     """Rows of ``events`` with ``points``: the ordered array of their series' points in [first, last].
 
     Events are told apart by their own columns, so a task that runs again can't split one. Equal events
-    meet in one group and are told out again; ``idx`` must be unique in a series.
+    meet in one group and are told out again; ``idx`` must be unique in a series. dense: events of a bucket beyond which
+    it is parted, as in ``within``.
     """
     one = events.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(first) / bucket), F.floor(F.greatest(F.col(first), F.col(last)) / bucket))))
     two = points.select(*keys, F.floor(F.col(idx) / bucket).alias("_bucket"), F.struct(F.col(idx).alias(idx), *(F.col(c).alias(c) for c in columns if c != idx)).alias("_p"))
-    met = one.join(two, [*keys, "_bucket"]).where(F.col(f"_p.{idx}").between(F.col(first), F.col(last)))
+    on = [*keys, "_bucket"]
+    if dense:
+        one, two = dealt(one, two, on, dense)
+        on += ["_l", "_r"]
+    met = one.join(two, on).where(F.col(f"_p.{idx}").between(F.col(first), F.col(last)))
     cut = met.groupBy(*events.columns).agg(F.array_sort(F.collect_set("_p")).alias("points"), F.count(F.lit(1)).alias("_n"))
     return cut.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.expr("_n div size(points)")))).drop("_n", "_copy")

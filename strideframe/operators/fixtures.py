@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_name, fixture_sides
+from .contained import containing
 
 #: Pairs of team keys, and the part of the file name to look for.
 EDGE_CASES = (
@@ -35,7 +36,7 @@ def resolve(events: DataFrame, index: DataFrame, edge_cases=EDGE_CASES) -> DataF
     edges = spark.createDataFrame(list(edge_cases), "home_key string, away_key string, fragment string")
     # the few edge cases look their file up once; names come in order of the index
     listed = index.select(F.explode("files").alias("file"))
-    named = edges.join(listed, F.contains(F.col("file"), F.col("fragment"))).groupBy("home_key", "away_key").agg(F.min("file").alias("edge_file"))
+    named = containing(listed, "file", edges, "fragment").groupBy("home_key", "away_key").agg(F.min("file").alias("edge_file"))
     out = keyed.join(index, ["home_key", "away_key"], "left").join(F.broadcast(named), ["home_key", "away_key"], "left")
     n = F.coalesce(F.size("files"), F.lit(0))
     issue = F.when(n > 1, F.concat(F.lit("fixture_not_unique:"), F.array_join("files", "|"))).when((n < 1) & F.col("edge_file").isNull(), F.lit("no_fixture_match"))

@@ -1,18 +1,15 @@
 """Pose mathematics: joint maps, normalisation, post-processing and retargeting (VEC01-VEC17, PRJ07-PRJ10, WIN10-WIN14).
 
 A frame is a row (clip_id, frame, joints: array of structs); long form is a row for each joint. Per-frame
-rules are column expressions; only the best fit of three directions at once needs an Arrow function.
+rules are column expressions.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import vector as v
 from . import series
@@ -152,21 +149,35 @@ def segments(long: DataFrame, parents: tuple[int, ...] = H36M_PARENTS) -> DataFr
     return met.select("clip_id", "frame", "joint", "parent", *(c.alias(f"d{a}") for c, a in zip(d, "xyz")), F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("length"))
 
 
+def skeletons(long: DataFrame, joints: int) -> DataFrame:
+    """clip_id, frame, p: array of the joints' positions by number, null where one is missing.
+
+    Rows are dealt out by clip, which serves all that follows: frames, medians and what is carried along the frames.
+    """
+    at = lambda j: F.max(F.when(F.col("joint") == j, v.vec(F.col("x"), F.col("y"), F.col("z"))))
+    return long.repartition("clip_id").groupBy("clip_id", "frame").agg(F.array(*(at(j) for j in range(joints))).alias("p"))
+
+
 def constant_lengths(long: DataFrame, parents: tuple[int, ...] = H36M_PARENTS) -> DataFrame:
     """Poses with every bone at its median length: directions stay; a segment without length takes the last
-    direction before it, else straight up. Joints are the root plus the sum of bones on their way from it.
+    direction before it, else straight up. Joints are the root plus the sum of bones on their way from it; a joint
+    whose way lacks a bone is left out. One exchange; a frame's skeleton is folded in its own row.
     """
-    spark = long.sparkSession
-    seg = segments(long, parents)
-    lengths = seg.groupBy("clip_id", "joint").agg(F.median("length").alias("bone"))
-    way = F.when(F.col("length") >= 1e-8, F.struct(*((F.col(f"d{a}") / F.col("length")).alias(a) for a in "xyz")))
-    seg = seg.withColumn("way", F.coalesce(series.carried_forward(way, ["clip_id", "joint"], "frame"), v.vec(0, 1, 0)))
-    bones = seg.join(lengths, ["clip_id", "joint"]).select("clip_id", "frame", F.col("joint").alias("bone_of"), *((F.col("way")[a] * F.col("bone")).alias(f"b{a}") for a in "xyz"))
-    closure = spark.createDataFrame(ancestors(parents), "joint int, bone_of int")
-    sums = bones.join(F.broadcast(closure), "bone_of").groupBy("clip_id", "frame", "joint").agg(*(F.sum(f"b{a}").alias(f"s{a}") for a in "xyz"))
-    root = long.where("joint = 0").select("clip_id", "frame", *(F.col(a).alias(f"r{a}") for a in "xyz"))
-    moved = sums.join(root, ["clip_id", "frame"]).select("clip_id", "frame", "joint", *((F.col(f"r{a}") + F.col(f"s{a}")).alias(a) for a in "xyz"))
-    return moved.union(long.where("joint = 0").select("clip_id", "frame", "joint", "x", "y", "z"))
+    bones = [j for j, p in enumerate(parents) if p >= 0]
+    at = lambda c, j: F.element_at(c, j + 1)
+    f = skeletons(long, len(parents))
+    f = f.withColumn("d", F.array(*(v.sub(at("p", j), at("p", parents[j])) for j in bones))).withColumn("n", F.transform("d", v.norm))
+    lengths = f.groupBy("clip_id").agg(F.array(*(F.median(F.get("n", F.lit(i))) for i in range(len(bones)))).alias("bone"))
+    there = lambda i: F.get("n", F.lit(i))
+    ways = [F.when(there(i) >= 1e-8, v.scale(F.get("d", F.lit(i)), 1 / there(i))) for i in range(len(bones))]
+    kept = F.array(*(F.coalesce(series.carried_forward(w, ["clip_id"], "frame"), v.vec(0, 1, 0)) for w in ways))
+    met = f.select("clip_id", "frame", "p", "n", kept.alias("way")).join(lengths, "clip_id")
+    # a bone that the frame lacks stays null, and so does what hangs on it
+    met = met.withColumn("b", F.array(*(F.when(there(i).isNotNull(), v.scale(F.get("way", F.lit(i)), F.get("bone", F.lit(i)))) for i in range(len(bones)))))
+    place = {j: i for i, j in enumerate(bones)}
+    chains = {j: [k for a, k in ancestors(parents) if a == j] for j in range(len(parents))}
+    whole = [F.struct(F.lit(j).alias("joint"), reduce(v.add, (F.get("b", F.lit(place[k])) for k in chains[j]), at("p", 0)).alias("p")) for j in range(len(parents))]
+    return met.select("clip_id", "frame", F.explode(F.array(*whole)).alias("j")).select("clip_id", "frame", "j.joint", "j.p.x", "j.p.y", "j.p.z").dropna(subset=["x", "y", "z"])
 
 
 def scaled(long: DataFrame, height: float = 1.75) -> DataFrame:
@@ -227,28 +238,6 @@ def rest_offsets(frames: DataFrame, parents: tuple[int, ...] = PARENTS, first: i
     return rest.select("clip_id", F.array(*(v.sub(at(i), at(p)) if p >= 0 else v.vec(0, 0, 0) for i, p in enumerate(parents))).alias("offsets"))
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def best_fit(rest: pd.Series, pose: pd.Series) -> pd.Series:
-    """Quaternion (xyzw, w >= 0) of the rotation that takes rest directions to pose directions best (by SVD)."""
-
-    def one(a, b):
-        if a is None or b is None or not len(a):
-            return [0.0, 0.0, 0.0, 1.0]
-        x, y = np.stack([np.asarray(r, float) for r in a]), np.stack([np.asarray(r, float) for r in b])
-        u, _, vt = np.linalg.svd(y.T @ x)
-        m = u @ np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ vt)) or 1.0]) @ vt
-        k = np.array([
-            [m[0, 0] - m[1, 1] - m[2, 2], m[0, 1] + m[1, 0], m[0, 2] + m[2, 0], m[2, 1] - m[1, 2]],
-            [m[0, 1] + m[1, 0], m[1, 1] - m[0, 0] - m[2, 2], m[1, 2] + m[2, 1], m[0, 2] - m[2, 0]],
-            [m[0, 2] + m[2, 0], m[1, 2] + m[2, 1], m[2, 2] - m[0, 0] - m[1, 1], m[1, 0] - m[0, 1]],
-            [m[2, 1] - m[1, 2], m[0, 2] - m[2, 0], m[1, 0] - m[0, 1], m[0, 0] + m[1, 1] + m[2, 2]],
-        ]) / 3
-        q = np.linalg.eigh(k)[1][:, -1]
-        return (q if q[3] >= 0 else -q).tolist()
-
-    return pd.Series([one(a, b) for a, b in zip(rest, pose)])
-
-
 def retargeted(frames: DataFrame, parents: tuple[int, ...] = PARENTS) -> DataFrame:
     """clip_id, frame, root, quats (local, xyzw structs), offsets of frames in the skeleton's joints.
 
@@ -259,7 +248,7 @@ def retargeted(frames: DataFrame, parents: tuple[int, ...] = PARENTS) -> DataFra
     kids = {i: [j for j, p in enumerate(parents) if p == i] for i in range(len(parents))}
     j = lambda i: F.element_at("joints", i + 1)
     rest = lambda i: F.element_at("offsets", i + 1)
-    world, fits = {}, {}
+    world = {}
     for i, own in kids.items():
         if not own:
             world[i] = v.quat(*v.IDENTITY)
@@ -269,15 +258,11 @@ def retargeted(frames: DataFrame, parents: tuple[int, ...] = PARENTS) -> DataFra
             world[i] = F.when(there, v.between(bone, pose)).otherwise(v.quat(*v.IDENTITY))
         else:
             usable = [(v.norm(rest(k)) >= v.EPS) & (v.norm(v.sub(j(k), j(i))) >= v.EPS) for k in own]
-            arr = lambda d: F.array(*(d[k] for k in "xyz"))
-            listed = lambda f: F.filter(F.array(*(F.when(u, arr(v.normalised(f(k)))) for u, k in zip(usable, own))), lambda x: x.isNotNull())  # noqa: E731, B023
-            fits[i] = best_fit(listed(rest), listed(lambda k, i=i: v.sub(j(k), j(i))))
-    for i, f in fits.items():
-        met = met.withColumn(f"_fit{i}", f)
-        world[i] = v.quat(*(F.element_at(F.col(f"_fit{i}"), k + 1) for k in range(4)))
-    met = met.withColumn("_world", F.array(*(world[i] for i in range(len(parents)))))
-    at = lambda i: F.element_at("_world", i + 1)
-    local = F.array(*(v.q_local(at(p), at(i)) if p >= 0 else at(i) for i, p in enumerate(parents)))
+            listed = lambda f: F.filter(F.array(*(F.when(u, v.normalised(f(k))) for u, k in zip(usable, own))), lambda x: x.isNotNull())  # noqa: E731, B023
+            world[i] = v.best_rotation(listed(rest), listed(lambda k, i=i: v.sub(j(k), j(i))))
+    # bound once: every joint's turn stands in its own and its children's local turns
+    at = lambda w, i: F.element_at(w, i + 1)
+    local = v.let(F.array(*(world[i] for i in range(len(parents)))))(lambda w: F.array(*(v.q_local(at(w, p), at(w, i)) if p >= 0 else at(w, i) for i, p in enumerate(parents))))
     return met.select("clip_id", "frame", j(0).alias("root"), local.alias("quats"), "offsets")
 
 

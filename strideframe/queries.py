@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numbers, points, text, times, vector
-from .operators import aggregates, asof, fixtures, markers, pose, resample, series, spans
+from .operators import aggregates, asof, contained, fixtures, markers, medians, pose, resample, series, spans
 from .plans import seven_metre, shots
 from .session import materialised, new_folder, table
 from .sources import animations, sinks, tables, text_files
@@ -186,6 +186,16 @@ def range_join_window(spark, d):
     return met.select("event_id", "other_id", (F.col("bt") - F.col("t")).alias("offset_us"))
 
 
+@query(f"WITH {P}, a AS (SELECT *, 1000 + event_id % 60 AS m FROM p WHERE event_id % 29 = 0), b AS (SELECT *, 1000 + event_id % 60 AS m FROM p WHERE event_id % 31 = 0) SELECT a.m, count(*) AS pairs, sum(b.event_id - a.event_id)::BIGINT AS gaps FROM a JOIN b ON b.m BETWEEN a.m - 5 AND a.m + 5 GROUP BY a.m")
+def range_join_dense(spark, d):
+    """All rows of one recording in one minute: dense buckets are grids of tasks."""
+    second = (1000 + F.col("event_id") % 60).cast("long")
+    e = events(spark, d).select("event_id", second.alias("m"), F.lit("all").alias("recording"))
+    left, right = e.where("event_id % 29 = 0"), e.where("event_id % 31 = 0").select("recording", F.col("event_id").alias("other_id"), F.col("m").alias("other_m"))
+    met = asof.within(left, right, ONE, "m", "other_m", 5, 5, dense=20)
+    return met.groupBy("m").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("other_id") - F.col("event_id")).alias("gaps"))
+
+
 TRACKS = f"""WITH {P}, m AS (SELECT a.event_id, b.t - a.t AS o, b.t AS bt, b.value AS v, b.a AS acc, b.idx AS dir FROM p a JOIN p b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type <> 'purchase' AND b.t BETWEEN a.t - 14400000000 AND a.t + 14400000000),
 g AS (SELECT event_id, count(*) AS num_points, max(v) AS max_speed, max(acc) AS max_acceleration, max(bt) - min(bt) AS flight_ms, CASE WHEN count(*) > 2 THEN round(stddev_samp(dir), 6) END AS angle_spread,
   coalesce(arg_max(v, o) FILTER (WHERE o <= 0), arg_min(v, o)) AS release_v FROM m GROUP BY event_id HAVING count(*) >= 2)"""
@@ -239,11 +249,17 @@ def fixture_resolve(spark, d):
 def edge_fallback(spark, d):
     n = table(spark, d, "nation")
     edges = n.select("n_nationkey", F.concat(F.lit("0"), F.col("n_nationkey").cast("string")).alias("fragment"))
-    c = table(spark, d, "customer").select("c_name")
-    found = c.join(F.broadcast(edges), F.contains("c_name", "fragment")).groupBy("n_nationkey").agg(F.min("c_name").alias("file"))  # nations are few
+    found = contained.containing(table(spark, d, "customer").select("c_name"), "c_name", edges, "fragment").groupBy("n_nationkey").agg(F.min("c_name").alias("file"))
     return n.select("n_nationkey").join(found, "n_nationkey", "left")
 
 
+@query("SELECT p_partkey, s_suppkey FROM part JOIN (SELECT s_suppkey, right(s_name, 2) AS f FROM supplier WHERE s_suppkey % 3 = 0) s ON contains(p_name || ' ' || p_partkey, f)")
+def substring_join(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_partkey").alias("name"))
+    s = table(spark, d, "supplier").where("s_suppkey % 3 = 0").select("s_suppkey", F.right("s_name", F.lit(2)).alias("f"))
+    return contained.containing(p, "name", s, "f").select("p_partkey", "s_suppkey")
+
+
 @query("SELECT issue, count(*) AS n FROM (SELECT 'no_lines' AS issue FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) UNION ALL SELECT 'large' FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT 'open' FROM orders WHERE o_orderstatus = 'O') GROUP BY issue")
 def issue_union(spark, d):
     o = table(spark, d, "orders")
@@ -712,6 +728,39 @@ def constant_bones(spark, d):
     return pose.segments(fixed).select("clip_id", "frame", "joint", F.round("length", 4).alias("length"))
 
 
+CLOSURE = "k(joint, bone_of) AS (VALUES " + ", ".join(f"({j}, {b})" for j, b in pose.ancestors(pose.H36M_PARENTS)) + ")"
+
+
+@query(SEGMENTS.replace(" AS len FROM", " AS len, c.x-q.x AS dx, c.y-q.y AS dy, c.z-q.z AS dz FROM") + f""", {CLOSURE}, m AS (SELECT clip_id, joint, median(len) AS bone FROM g GROUP BY 1, 2),
+b AS (SELECT g.clip_id, g.frame, g.joint, dx / len * bone AS b1, dy / len * bone AS b2, dz / len * bone AS b3 FROM g JOIN m ON m.clip_id = g.clip_id AND m.joint = g.joint),
+s AS (SELECT b.clip_id, b.frame, k.joint, sum(b1) AS sx, sum(b2) AS sy, sum(b3) AS sz FROM b JOIN k ON k.bone_of = b.joint GROUP BY 1, 2, 3)
+SELECT r.clip_id, r.frame, l.joint, round(r.x + coalesce(sx, 0), 6) AS x, round(r.y + coalesce(sy, 0), 6) AS y, round(r.z + coalesce(sz, 0), 6) AS z FROM l JOIN l r ON r.clip_id = l.clip_id AND r.frame = l.frame AND r.joint = 0 LEFT JOIN s ON s.clip_id = l.clip_id AND s.frame = l.frame AND s.joint = l.joint""")
+def constant_positions(spark, d):
+    return pose.constant_lengths(long17(spark, d)).select("clip_id", "frame", "joint", *(r6(F.col(c)).alias(c) for c in "xyz"))
+
+
+@query(f"""WITH {V}, q AS (SELECT label, frame, e[10] AS x, e[11] AS y, e[12] AS z, e[13] AS w, sqrt(e[10]*e[10]+e[11]*e[11]+e[12]*e[12]+e[13]*e[13]) * CASE WHEN e[13] < 0 THEN -1 ELSE 1 END AS n FROM v)
+SELECT label, frame, round(x / n, 5) AS x, round(y / n, 5) AS y, round(z / n, 5) AS z, round(w / n, 5) AS w FROM q""")
+def best_rotation(spark, d):
+    """Three vectors turned by a known rotation: the best fit finds it again."""
+    turn = vector.q_unit(vector.quat(*(at(k) for k in range(9, 13))))
+    f = frames(spark, d).select("label", "frame", F.array(*(vector.vec(*(at(3 * k + i) for i in range(3))) for k in range(3))).alias("rest"), turn.alias("q"))
+    f = f.withColumn("pose", F.transform("rest", lambda p: vector.rotate(F.col("q"), p)))
+    q = vector.best_rotation(F.col("rest"), F.col("pose"))
+    return f.select("label", "frame", q.alias("b")).select("label", "frame", *(F.round(F.col("b")[k], 5).alias(k) for k in "xyzw"))
+
+
+@query("SELECT l_returnflag, median(l_extendedprice) AS price FROM lineitem GROUP BY l_returnflag")
+def median_of_long_groups(spark, d):
+    return medians.medians(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", bins=64, enough=100, name="price")
+
+
+@query("SELECT median(l_extendedprice * l_discount) AS middle FROM lineitem")
+def median_of_all(spark, d):
+    li = table(spark, d, "lineitem").select((F.col("l_extendedprice") * F.col("l_discount")).alias("x"))
+    return medians.medians(li, [], "x", name="middle")
+
+
 @query(f"WITH {L17}, m AS (SELECT clip_id, min(y) AS low FROM l WHERE joint IN (3, 6) GROUP BY clip_id) SELECT l.clip_id, frame, joint, round(y - low, 6) AS y FROM l JOIN m ON m.clip_id = l.clip_id")
 def ground_shift(spark, d):
     return pose.grounded(long17(spark, d)).select("clip_id", "frame", "joint", r6(F.col("y")).alias("y"))
