@@ -100,6 +100,9 @@ def predictor(contents: dict[str, bytes], names: tuple[str, str, str]):
 def predicted(docs: DataFrame, contents: dict[str, bytes], *keep: str, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """The columns ``keep`` of ``docs`` with the language, its margin and whether it is rejected, under ``names`` (which replace columns named so)."""
     common.bounded_batches(docs.sparkSession, 128)
-    rows = docs.select(*(F.col(f"`{c}`") for c in (*keep, *([] if "text" in keep else ["text"]))))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in names)
-    return rows.mapInArrow(predictor(contents, names), schema + f", `{names[0]}` string, `{names[1]}` double, `{names[2]}` boolean")
+    # names may hold dots, which the exchange with Python doesn't take: plain ones stand for them
+    plain = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(keep)} | ({} if "text" in keep else {"text": "text"})
+    rows = docs.select(*(F.col(f"`{c}`").alias(p) for c, p in plain.items()))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    found = rows.mapInArrow(predictor(contents, ("found_lang", "found_score", "found_rejected")), schema + ", found_lang string, found_score double, found_rejected boolean")
+    return found.select(*(F.col(p).alias(c) for c, p in plain.items() if c not in names), *(F.col(f"found_{k}").alias(n) for k, n in zip(("lang", "score", "rejected"), names)))

@@ -651,4 +651,5 @@ def representatives(docs: DataFrame) -> DataFrame:
     kept = keyed.alias("d").join(chosen.alias("c"), F.col(f"d.{doc}").eqNullSafe(F.col("c._id")) & (F.col(f"d.{key}") == F.col("c._key")), "left_semi")
     # of equal rows only one leaves each task: the window's limit of one is taken before the exchange
     first = kept.withColumn(row, F.row_number().over(Window.partitionBy(doc, key).orderBy(key))).where(F.col(row) == 1)
-    return first.select(*docs.columns).union(docs.where(wordless).select(*docs.columns))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return first.select(*own).union(docs.where(wordless).select(*own))

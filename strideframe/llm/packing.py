@@ -81,20 +81,21 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) ->
 def ranked(found: DataFrame) -> DataFrame:
     """``rank`` of each piece among those of its length, gapless from 0.
 
-    A length may hold a third of all pieces: it's ranked in hash buckets and the buckets' counts are summed.
+    A length may hold a third of all pieces, and so may copies of one document: pieces are ranked in hash buckets,
+    parted by the number ``_n`` that each piece was written with, and the buckets' counts are summed.
     """
     spark = found.sparkSession
-    dealt = found.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(common.width(spark))))
+    dealt = found.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "_n"), F.lit(common.width(spark))))
     counts = dealt.groupBy("length", "_bucket").count()
     # one row for each length and bucket, whatever the number of pieces
     before = counts.select("length", "_bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("count")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", "ids_crc32"))
-    return dealt.withColumn("_row", within).join(before, ["length", "_bucket"]).withColumn("rank", F.col("_before") + F.col("_row") - 1).drop("_bucket", "_row", "_before")
+    within = F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "start", "ids_crc32", "_n"))
+    return dealt.withColumn("_row", within).join(before, ["length", "_bucket"]).withColumn("rank", F.col("_before") + F.col("_row") - 1).drop("_bucket", "_row", "_before", "_n")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with sequence_id and offset."""
-    found = common.written(pieces(docs, tokenizer, end_id, capacity), "pieces")  # encoded once, used for histogram and places
+    found = common.written(pieces(docs, tokenizer, end_id, capacity).withColumn("_n", F.monotonically_increasing_id()), "pieces")  # encoded once, used for histogram and places
     histogram = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}
     places, _ = shortest_pack_first(histogram, capacity)
     places.sort()

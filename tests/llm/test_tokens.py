@@ -173,3 +173,13 @@ def test_little_padding():
         h[n] = h.get(n, 0) + 1
     _, n = packing.shortest_pack_first(h)
     assert sum(k * c for k, c in h.items()) / (n * 4096) > 0.99
+
+
+def test_copies_of_one_document_are_dealt_out(spark):
+    """3,000 copies among 3,050 pieces: ranks stay gapless, and no bucket has more than twice the median's pieces."""
+    from pyspark.sql import functions as F
+
+    found = spark.range(3050).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(12).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"), F.lit(12).cast("long").alias("doc_tokens"), F.col("id").alias("_n"))
+    assert sorted(r["rank"] for r in packing.ranked(found).collect()) == list(range(3050))
+    dealt = [r["count"] for r in found.groupBy(F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "_n"), F.lit(8))).count().collect()]
+    assert len(dealt) == 8 and max(dealt) <= 2 * sorted(dealt)[4]
