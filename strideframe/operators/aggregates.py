@@ -54,6 +54,12 @@ def mean_difference(a: DataFrame, b: DataFrame, keys: list[str], value: str) ->
     return both.agg(F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("mad"), F.count(F.lit(1)).alias("n"))
 
 
+def mean_differences(a: DataFrame, b: DataFrame, runs: list[str], keys: list[str], value: str) -> DataFrame:
+    """``mean_difference`` of each pair of runs that both sides name alike (``runs``)."""
+    both = a.select(*runs, *keys, F.col(value).alias("_a")).join(b.select(*runs, *keys, F.col(value).alias("_b")), [*runs, *keys])
+    return both.groupBy(*runs).agg(F.avg(F.abs(F.col("_a") - F.col("_b"))).alias("mad"), F.count(F.lit(1)).alias("n"))
+
+
 def rest_pose(df: DataFrame, keys: list[str], frame: str, values: list[str], frames: int = 10) -> DataFrame:
     """Mean of the first ``frames`` frames."""
     return df.where(F.col(frame) < frames).groupBy(*keys).agg(*(F.avg(v).alias(v) for v in values))

@@ -19,6 +19,7 @@ from ..functions.times import event_time, iso_millis, micros
 from ..operators import asof, series
 from ..operators.fixtures import resolve, split_issues
 from ..schemas import ISSUE_COLUMNS, RESULT_COLUMNS
+from ..session import materialised
 
 PREPEND = 5
 MOST_POINTS = 60
@@ -191,10 +192,10 @@ def match_shots(events: DataFrame, points: DataFrame, keepers: DataFrame, includ
     points and keepers are the typed rows of the recordings. skipped: events with too many points, which
     are counted and neither results nor issues.
 
-    keep: materialises a table (``DataFrame.cache``, a checkpoint, a written table); used where several
-    results branch off, so that asking for all three doesn't compute the common part three times.
+    keep: materialises a table (``session.materialised`` by default, ``DataFrame.cache``, a written table); used where
+    several results branch off, so that asking for all three doesn't compute the common part three times.
     """
-    keep = keep or (lambda df: df)
+    keep = keep or materialised
     ev = events.withColumn("event_no", F.col("row_idx").cast("long")).withColumn("dist", to_double("distance")).withColumn("shot_t", micros(event_time("timestamp_local_timezone")))
     ev = ev.withColumn("is_success", strip(F.coalesce("success", F.lit(""))) == "1")
     # only recordings that events ask for are looked at

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions import numbers, points, text, times, vector
 from .operators import aggregates, asof, contained, fixtures, markers, medians, pose, resample, series, spans
 from .plans import seven_metre, shots
-from .session import materialised, new_folder, table
+from .session import new_folder, table
 from .sources import animations, sinks, tables, text_files
 from .streaming import windows as streams
 
@@ -99,15 +99,23 @@ def point_lookup(spark, d):
     return shots.wanted_events(e, event_id="17", include_unsuccessful=True).select("event_id", "value")
 
 
-@query("SELECT event_id, x, y FROM (SELECT event_id, value - 250 AS x, CAST(event_id % 400 AS DOUBLE) / 100 - 2 AS y FROM events) WHERE abs(x) BETWEEN 16 AND 200 AND abs(y) <= 1.5")
+@query("SELECT event_id, x, y FROM (SELECT event_id, event_type, round((value - 250) / 10, 3) AS x, round(CAST(event_id % 400 AS DOUBLE) / 100 - 2, 3) AS y FROM events) WHERE event_type <> 'view' AND abs(x) BETWEEN 16 AND 20 AND abs(y) <= 1.5")
 def goal_area_box(spark, d):
-    p = events(spark, d).select("event_id", (F.col("value") - 250).alias("x"), ((F.col("event_id") % 400).cast("double") / 100 - 2).alias("y"))
-    return p.where(F.abs("x").between(16, 200) & (F.abs("y") <= 1.5))
+    text_of = lambda c: F.round(c, 3).cast("string")
+    e = events(spark, d)
+    raw = e.select(
+        F.lit("f").alias("fixture_file"), F.lit(0).cast("long").alias("file_ord"), F.date_format("ts", "d.M.yyyy, HH:mm:ss.SSS").alias("formatted local time"), F.col("event_id").cast("string").alias("ts in ms"), F.when(F.col("event_type") == "view", "Ball").otherwise("Away").alias("group name"),
+        text_of((F.col("value") - 250) / 10).alias("x in m"), text_of((F.col("event_id") % 400).cast("double") / 100 - 2).alias("y in m"), F.lit("0").alias("z in m"), *(F.lit(None).cast("string").alias(c) for c in tables.KEEPER_NAMES),
+    )
+    return tables.keeper_candidates(raw).select(F.col("ts_ms").alias("event_id"), "x", "y")
 
 
-@query("SELECT event_type, count(*) AS n FROM events WHERE contains(lower(coalesce(event_type, '')), 'ic') GROUP BY event_type")
+@query("SELECT event_id * 1000 AS ts_ms, round(value, 3) AS speed FROM events WHERE event_type = 'click' OR event_id % 7 = 0")
 def contains_any_case(spark, d):
-    return events(spark, d).where(F.contains(F.lower(F.coalesce("event_type", F.lit(""))), F.lit("ic"))).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    e = events(spark, d)
+    name = F.when(F.col("event_type") == "click", "the BaLL 3").when(F.col("event_id") % 7 == 0, "Football").otherwise(F.nullif(F.col("event_type"), F.lit("view")))
+    raw = e.select(name.alias("full name"), F.format_number(F.col("event_id") * 1000, 0).alias("ts in ms"), F.round("value", 3).cast("string").alias("speed in m/s"), *(F.lit("1").alias(c) for c in ("x in m", "y in m", "z in m", "acceleration in m/s2", "direction of movement in deg")))
+    return tables.shot_ball_rows(raw).select("ts_ms", "speed")
 
 
 @query("SELECT c_custkey, coalesce(nullif(trim(CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE c_mktsegment END), ''), nullif(trim(CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_name END), ''), 'unknown') AS who FROM customer")
@@ -219,6 +227,19 @@ def detector_7m(spark, d):
     return seven_metre.detected(_tracks(spark, d)).select("event_id", "is_7m_distance", "is_high_speed", "is_7m_spot", "is_straight", "is_7m_penalty")
 
 
+@query("""WITH q AS (SELECT event_id, event_type, epoch_us(ts) // 1000000 AS s, value FROM events),
+sh AS (SELECT * FROM q WHERE event_type = 'purchase' AND event_id % 2 = 0 ORDER BY s, event_id LIMIT 300),
+g AS (SELECT sh.event_id, count(*) AS n, max(b.value) AS mx FROM sh JOIN q b ON b.event_type <> 'purchase' AND b.s BETWEEN sh.s - 3000 AND sh.s + 3000 GROUP BY 1 HAVING count(*) >= 2)
+SELECT sh.event_id AS id, g.n AS num_points, round(coalesce(g.mx, sh.value / 30), 6) AS max_speed, coalesce(sh.value / 50 BETWEEN 6.5 AND 7.5 AND g.mx > 12, false) AS is_7m_penalty FROM sh LEFT JOIN g ON g.event_id = sh.event_id""")
+def seven_metre_batch(spark, d):
+    """All penalties up to a number, whether or not they have a track."""
+    e = events(spark, d).withColumn("ts_ms", F.expr("unix_micros(cast(ts as timestamp)) div 1000000"))
+    penalty = F.when(F.col("event_id") % 2 == 0, "penalty").otherwise("field")
+    shot = e.where("event_type = 'purchase'").select(F.col("event_id").alias("id"), "ts_ms", penalty.alias("shot_category"), (F.col("value") / 50).alias("distance"), (F.col("value") / 40).alias("shot_position_x"), (F.col("value") / 30).alias("speed_ball"))
+    ball = e.where("event_type <> 'purchase'").select("ts_ms", *(F.lit(0.0).alias(c) for c in "xyz"), F.col("value").alias("speed"), F.lit(0.0).alias("accel"), F.lit(0.0).alias("direction"))
+    return seven_metre.analysed(shot, ball, 300).select("id", "num_points", r6(F.col("max_speed")).alias("max_speed"), "is_7m_penalty")
+
+
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def anti_incremental(spark, d):
     o = table(spark, d, "orders").select("o_orderkey")
@@ -311,15 +332,24 @@ def gradient(spark, d):
     return track(spark, d).select("event_id", r6(series.gradient("x", USER, 0.05)).alias("slope"))
 
 
-SG = (-36, 9, 44, 69, 84, 89, 84, 69, 44, 9, -36)
+def _hat(i: int, j: int, half: int = 5) -> float:
+    """Weight of row j in the value that a parabola fitted over rows -half to half has at row i: by orthogonal polynomials."""
+    at_ = range(-half, half + 1)
+    second = lambda t: t * t - sum(k * k for k in at_) / len(at_)
+    return 1 / len(at_) + i * j / sum(k * k for k in at_) + second(i) * second(j) / sum(second(k) ** 2 for k in at_)
+
+
+HAT = "[" + ", ".join("[" + ", ".join(repr(_hat(i, j)) for j in range(-5, 6)) + "]" for i in range(-5, 6)) + "]::DOUBLE[][]"
 
 
-@query(f"WITH {V}, q AS (SELECT label, frame, count(*) OVER (PARTITION BY label) AS n, ({' + '.join(f'{c} * e0' if k == 5 else f'{c} * {"lag" if k < 5 else "lead"}(e0, {abs(k - 5)}) OVER w' for k, c in enumerate(SG))}) / 429 AS s FROM (SELECT *, e[1] AS e0 FROM v) WINDOW w AS (PARTITION BY label ORDER BY frame)) SELECT label, frame, round(s, 6) AS smooth FROM q WHERE frame >= 5 AND frame < n - 5")
+@query(f"""WITH {V}, s AS (SELECT label, count(*) AS n, list(e[1] ORDER BY frame) AS xs FROM v GROUP BY label),
+b AS (SELECT v.label, v.frame, xs, greatest(0, least(v.frame - 5, n - 11)) AS first FROM v JOIN s ON s.label = v.label WHERE n >= 11)
+SELECT label, frame, round(list_dot_product(xs[first+1:first+11], ({HAT})[frame - first + 1]), 6) AS smooth FROM b""")
 def savgol(spark, d):
+    """Ends included: there the fit over the first or last window."""
     f = frames(spark, d).withColumn("e0", at(0))
     n = F.count(F.lit(1)).over(Window.partitionBy("label"))
-    out = f.select("label", "frame", n.alias("n"), r6(series.smoothed("e0", CLIP, idx="frame")).alias("smooth"))
-    return out.where("n >= 11 and frame >= 5 and frame < n - 5").select("label", "frame", "smooth")
+    return f.select("label", "frame", n.alias("n"), r6(series.smoothed("e0", CLIP, idx="frame")).alias("smooth")).where("n >= 11").select("label", "frame", "smooth")
 
 
 @query(f"WITH {P} SELECT event_id, last_value(CASE WHEN x > 300 THEN x END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM p")
@@ -522,7 +552,7 @@ kept AS (SELECT event_id, sum(x) AS kx FROM pair GROUP BY 1)"""
   concat_ws(';', flag1, flag2, flag3, CASE WHEN ns IS NOT NULL THEN 'release_point:dynamic_extended' END, CASE WHEN xs > 0 THEN 'ball_prepend_frames:' || least(xs, 5) END, 'goalkeeper_points:' || CASE WHEN sensor IS NULL THEN 0 ELSE n END, CASE WHEN sensor IS NOT NULL THEN 'goalkeeper_aligned_with_ball:1' END) AS flags
 FROM cut JOIN sums USING (event_id) LEFT JOIN best USING (event_id) LEFT JOIN kept USING (event_id) WHERE n < 60""")
 def matched_shots(spark, d):
-    results, _, _ = shots.match_shots(*shot_tables(spark, d), include_unsuccessful=True, keep=materialised)
+    results, _, _ = shots.match_shots(*shot_tables(spark, d), include_unsuccessful=True)
     whole = lambda c: F.round(F.aggregate(F.from_json(c, "array<struct<x:double>>"), F.lit(0.0), lambda s, q: s + q["x"]), 4)
     return results.select(
         "id", "start_time_local", "end_time_local", "release_time_local", *(F.col(c).try_cast("double").alias(c) for c in ("max_v", "max_a")), F.col("trajectory_point_count").cast("long").alias("points"),
@@ -533,7 +563,7 @@ def matched_shots(spark, d):
 @query(SHOTS + """ SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 89 = 0 THEN 'no_ball_points' ELSE 'invalid_shot_local_time' END AS issue FROM events WHERE event_type = 'purchase' AND (event_id % 89 = 0 OR event_id % 97 = 0)
 UNION ALL SELECT CAST(event_id AS VARCHAR), 'no_goalline_crossing_found' FROM b WHERE end_idx IS NULL UNION ALL SELECT CAST(event_id AS VARCHAR), 'points:' || n FROM sums WHERE n >= 60""")
 def shot_issues(spark, d):
-    _, issues, skipped = shots.match_shots(*shot_tables(spark, d), include_unsuccessful=True, keep=materialised)
+    _, issues, skipped = shots.match_shots(*shot_tables(spark, d), include_unsuccessful=True)
     return issues.select(F.col("penalty_id").alias("id"), "issue").union(skipped.select("id", F.concat(F.lit("points:"), F.col("points").cast("string"))))
 
 
@@ -601,10 +631,11 @@ def vector_stats(spark, d):
     return out.select("label", *(r6(F.col(c)).alias(c) for c in ("x_min", "x_max", "x_mean", "mean_norm")))
 
 
-@query(f"WITH {V} SELECT round(avg(abs(a.e[1] - b.e[1])), 6) AS mad, count(*) AS n FROM v a JOIN v b ON a.frame = b.frame WHERE a.label = 0 AND b.label = 1")
+@query(f"WITH {V} SELECT a.label, round(avg(abs(a.e[1] - b.e[1])), 6) AS mad, count(*) AS n FROM v a JOIN v b ON a.frame = b.frame AND b.label = a.label + 1 GROUP BY a.label")
 def run_mad(spark, d):
+    """Each run against the next one."""
     f = frames(spark, d).withColumn("x", at(0))
-    return aggregates.mean_difference(f.where("label = 0"), f.where("label = 1"), ["frame"], "x").select(r6(F.col("mad")).alias("mad"), "n")
+    return aggregates.mean_differences(f, f.withColumn("label", F.col("label") - 1), CLIP, ["frame"], "x").select("label", r6(F.col("mad")).alias("mad"), "n")
 
 
 @query(f"WITH {V}, c AS (SELECT label, frame, round(list_sum(list_transform(e[1:51], lambda q: q * q)) / 17, 9) AS calm FROM v) SELECT label, frame, round(calm, 6) AS calm FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY calm, frame) AS r FROM c) WHERE r = 1")
@@ -774,8 +805,8 @@ def scale_height(spark, d):
 @query(f"WITH {V} SELECT label, vec_id, CAST(k AS INTEGER) AS marker, e[3*k+1] AS x, e[3*k+2] AS y, e[3*k+3] AS z FROM v, range(21) AS r(k) WHERE e[3*k+1] > 0")
 def unpivot_markers(spark, d):
     f = frames(spark, d)
-    rows = f.select("label", "vec_id", F.posexplode(F.array(*(vector.vec(F.when(at(3 * k) > 0, at(3 * k)), at(3 * k + 1), at(3 * k + 2)) for k in range(21)))).alias("marker", "p"))
-    return rows.select("label", "vec_id", "marker", "p.x", "p.y", "p.z").dropna(subset=["x", "y", "z"])
+    wide = f.select("label", "vec_id", *(F.when(at(3 * k + i) > 0, at(3 * k + i)).otherwise(at(3 * k + i) if i else None).alias(f"{k} {a}") for k in range(21) for i, a in enumerate("XYZ")), at(63).alias("lone X"))
+    return tables.unpivoted(wide, ["label", "vec_id"]).select("label", "vec_id", F.col("marker").cast("int").alias("marker"), "x", "y", "z")
 
 
 def quats(spark: SparkSession, d: str) -> DataFrame:

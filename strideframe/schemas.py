@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Names and order of columns in files, names of fields in documents.
 EVENT_COLUMNS = ("id", "home_team", "away_team", "timestamp_local_timezone", "distance", "success", "game_clock", "player_id", "player_name", "name")
 
 BALL_REQUIRED = ("formatted local time", "group name", "x in m", "y in m", "z in m", "speed in m/s", "acceleration in m/s2", "direction of movement in deg", "ts in ms")

@@ -21,8 +21,6 @@ NAMES = ["TSV Hannover-Burgdorf", "Füchse Berlin", "Größe", "Frisch Auf! Göp
 def test_canonical_names(spark):
     got = one(spark, NAMES[:10], text.canonical_name)
     assert got == ["tsv_hannover_burgdorf", "fuechse_berlin", "groesse", "frisch_auf_goeppingen", "ol", "e_a", "a_b", "", "", ""]
-    assert [text.canonical_text(n) for n in NAMES[:10]] == got
-    assert one(spark, NAMES, text.canonical_name_exact) == [text.canonical_text(n) for n in NAMES]
 
 
 def test_fixture_names(spark):

@@ -52,3 +52,22 @@ def test_import_without_the_corpus_part():
     for p in (root / "strideframe").rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"^\s*(from|import)\s.*\bllm\b", p.read_text(), re.M), p
+
+
+def test_the_rest_stands_without_the_corpus_part(tmp_path):
+    """A copy without both folders of the corpus operators, with and without the pipeline's file, imports and registers all other queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "strideframe", tmp_path / "strideframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    for more in ((), ("corpus_pipeline.py",)):
+        for name in more:
+            shutil.copy(root / name, tmp_path)
+        code = "import __spark_entry__ as e; print(*sorted(e.queries())); assert set(e.oracle_sql()) <= set(e.queries())"
+        run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+        assert run.returncode == 0, run.stderr
+        assert run.stdout.split() == sorted(QUERIES)
