@@ -41,6 +41,28 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, rig
     return found.select("_left.*", *(F.col("_hit")[c].alias(f"{prefix}{c}") for c in payload))
 
 
+def lookups(left: DataFrame, right: DataFrame, keys: list[str], name: str, asked: dict[str, tuple[str, bool]], right_time: str, payload: list[str], order: str | None = None) -> DataFrame:
+    """``left`` with several as-of lookups in the same series: ``asked`` gives for each prefix the column of the time looked for and
+    whether it is looked for forward. ``name`` tells the rows of ``left`` apart.
+
+    The series is exchanged once for all of them, where ``asof`` would exchange it for each.
+    """
+    order = order or right_time
+    row = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.col(t).alias("t"), F.lit(f).alias("f")) for p, (t, f) in asked.items()))).alias("_ask")
+    one = left.select(name, *keys, row).select(name, *keys, F.col("_ask.t").alias("_t"), F.lit(None).cast(right.schema[order].dataType).alias("_o"), F.lit(1).alias("_side"), "_ask")
+    taken = F.struct(*(F.col(c).alias(c) for c in payload))
+    kind = right.select(taken.alias("p")).schema["p"].dataType
+    two = right.select(F.lit(None).cast(left.schema[name].dataType).alias(name), *keys, F.col(right_time).alias("_t"), F.col(order).alias("_o"), F.lit(0).alias("_side"), F.lit(None).cast(one.schema["_ask"].dataType).alias("_ask"), taken.alias("_p"))
+    both = one.withColumn("_p", F.lit(None).cast(kind)).unionByName(two)
+    w = Window.partitionBy(*keys)
+    last = lambda down: F.last("_p", ignorenulls=True).over(w.orderBy(down("_t"), "_side", down("_o")).rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_ahead", last(F.desc)).withColumn("_back", last(F.asc)).where("_side = 1")
+    hit = F.when(F.col("_ask.f"), F.col("_ahead")).otherwise(F.col("_back"))
+    hits = found.groupBy(F.col(name).alias("_name")).agg(*(F.max(F.when(F.col("_ask.p") == p, hit)).alias(f"_hit_{p}") for p in asked))
+    met = left.join(hits, F.col(name) == F.col("_name"), "left")
+    return met.select(*left.columns, *(F.col(f"_hit_{p}")[c].alias(f"{p}{c}") for p in asked for c in payload))
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, payload: list[str], order: str | None = None, prefix: str = "near_", span: int | None = None) -> DataFrame:
     """``left`` with the right row nearest in time: the earlier one of two equally near, the first before
     all rows, the last behind all. Times are whole numbers (or anything whose difference can be compared).

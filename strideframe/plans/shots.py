@@ -220,9 +220,7 @@ def match_shots(events: DataFrame, points: DataFrame, keepers: DataFrame, includ
     ev = _at(ev, pts, "end_idx", {"t": "end_t"})
     ev = ev.withColumn("is_plausible", plausible(F.col("dist"), F.col("_reversal"))).drop("_cross", "_reversal", "_last")
     ev = ev.withColumn("_from", F.col("start_t") - 1000 * extend_start_ms).withColumn("_wide", F.col("start_t") - 1000 * extend_start_ms - LEAD).withColumn("_to", F.col("end_t") + AFTER)
-    ev = asof.asof(ev, pts, KEY, "_from", "t", ["idx"], True, "idx", "f_")
-    ev = asof.asof(ev, pts, KEY, "_wide", "t", ["idx"], True, "idx", "w_")
-    ev = asof.asof(ev, pts, KEY, "_to", "t", ["idx"], False, "idx", "e_")
+    ev = asof.lookups(ev, pts, KEY, "event_no", {"f_": ("_from", True), "w_": ("_wide", True), "e_": ("_to", False)}, "t", ["idx"], "idx")
     ev = ev.withColumn("ext_start", F.col("f_idx")).withColumn("ext_end", F.col("e_idx")).withColumn("_lo", F.greatest(F.col("w_idx") - PREPEND, F.lit(0)))
     ev = ev.drop("_from", "_wide", "_to", "f_idx", "w_idx", "e_idx")
     cut = asof.slices(ev, pts, KEY, "_lo", "ext_end", "idx", ["t", "local_dt", "ts_ms", "x", "y", "z", "speed", "accel", "direction"]).withColumnRenamed("points", "wide")

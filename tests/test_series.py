@@ -159,3 +159,16 @@ def test_resampling(spark):
             assert (r.lo, r.hi) == (a, a + 1 if a + 1 < 4 else (0 if loop else 3)) and r.share == pytest.approx(p - a)
             assert r.near == min(3, round(p))
     assert math.isclose(spark.range(5).select(series.frame_seconds(F.col("id") * 0.1)).first()[0], 0.1)
+
+
+def test_several_lookups_equal_one_by_one(spark):
+    r = random.Random(8)
+    right = spark.createDataFrame([(r.randrange(3), i, r.randrange(60)) for i in range(200)], "k int, id long, t long")
+    left = spark.createDataFrame([(r.randrange(4), i, r.randrange(-5, 70), r.randrange(70)) for i in range(60)], "k int, no long, a long, b long")
+    got = asof.lookups(left, right, KEYS, "no", {"f_": ("a", True), "w_": ("b", True), "e_": ("b", False)}, "t", ["id", "t"], "id")
+    want = left
+    for p, t, forward in (("f_", "a", True), ("w_", "b", True), ("e_", "b", False)):
+        want = asof.asof(want, right, KEYS, t, "t", ["id", "t"], forward, "id", p)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") <= 3
