@@ -16,7 +16,7 @@ from .functions import numbers, points, text, times, vector
 from .operators import aggregates, asof, contained, fixtures, markers, medians, pose, resample, series, spans
 from .plans import seven_metre, shots
 from .session import new_folder, table
-from .sources import animations, sinks, tables, text_files
+from .sources import animations, arrays, sinks, tables, text_files
 from .streaming import windows as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1035,3 +1035,13 @@ def written_issues(spark, d):
     sinks.write_issues(rows, path)
     ((_, back),) = text_files.delimited(spark, text_files.by_header(spark, path))
     return back.select("row.*")
+
+
+@query(f"WITH {V} SELECT 'no ' || label || '.npy' AS clip_id, frame, CAST(j AS INTEGER) AS joint, CAST(a AS INTEGER) AS axis, CASE WHEN (j + frame) % 9 > 0 THEN round(e[3*j+a+1], 9) END AS value FROM v, range(17) AS r(j), range(3) AS s(a)")
+def scan_array_files(spark, d):
+    f = frames(spark, d).select(F.concat(F.lit("no "), F.col("label")).alias("clip_id"), "frame", F.posexplode(F.slice("e", 1, 51)).alias("k", "value"))
+    long = f.select("clip_id", "frame", F.expr("k div 3").cast("int").alias("joint"), (F.col("k") % 3).alias("axis"), "value").where("(joint + frame) % 9 > 0")
+    path = new_folder(spark, "arrays")
+    arrays.write_arrays(long, path, 17)
+    back = arrays.array_points(spark, path)
+    return back.select("clip_id", "frame", "joint", "axis", F.round(F.nanvl("value", F.lit(None).cast("double")), 9).alias("value"))

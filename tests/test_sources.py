@@ -160,3 +160,20 @@ def test_documents_are_whole_or_not_there(spark, tmp_path):
     with pytest.raises(Exception, match="dies"):
         sinks.write_documents(broken, str(tmp_path / "bad"))
     assert not list((tmp_path / "bad").glob("clip_id=*/part-*")) and not (tmp_path / "bad/_SUCCESS").exists()
+
+
+def test_array_files_are_written_whole_or_not_at_all(spark, tmp_path):
+    import numpy as np
+
+    from strideframe.sources import arrays
+
+    rows = [(c, f, j, a, float(1000 * f + 10 * j + a)) for c, n in (("x y", 5), ("z", 1)) for f in range(n) for j in range(2) for a in range(3) if (f, j, a) != (3, 1, 2)]
+    df = spark.createDataFrame(rows, "clip_id string, frame long, joint int, axis int, value double").repartition(4)
+    arrays.write_arrays(df, str(tmp_path / "good"), 2)
+    assert sorted(f.name for f in (tmp_path / "good").iterdir()) == ["x y.npy", "z.npy"]
+    got = np.load(tmp_path / "good/x y.npy")
+    assert got.shape == (5, 2, 3) and np.isnan(got[3, 1, 2]) and got[4, 1, 0] == 4010.0
+    dies = df.withColumn("value", F.when(F.col("frame") == 3, F.raise_error(F.lit("dies")).cast("double")).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="dies"):
+        arrays.write_arrays(dies, str(tmp_path / "bad"), 2)
+    assert not (tmp_path / "bad").exists() or not list((tmp_path / "bad").iterdir())
