@@ -781,15 +781,15 @@ def best_rotation(spark, d):
     return f.select("label", "frame", q.alias("b")).select("label", "frame", *(F.round(F.col("b")[k], 5).alias(k) for k in "xyzw"))
 
 
-@query("SELECT l_returnflag, median(l_extendedprice) AS price FROM lineitem GROUP BY l_returnflag")
+@query("SELECT l_returnflag, round(median(l_extendedprice), 6) AS price FROM lineitem GROUP BY l_returnflag")
 def median_of_long_groups(spark, d):
-    return medians.medians(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", bins=64, enough=100, name="price")
+    return medians.medians(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", bins=64, enough=100, name="price").withColumn("price", r6(F.col("price")))
 
 
-@query("SELECT median(l_extendedprice * l_discount) AS middle FROM lineitem")
+@query("SELECT round(median(l_extendedprice * l_discount), 6) AS middle FROM lineitem")
 def median_of_all(spark, d):
     li = table(spark, d, "lineitem").select((F.col("l_extendedprice") * F.col("l_discount")).alias("x"))
-    return medians.medians(li, [], "x", name="middle")
+    return medians.medians(li, [], "x", name="middle").select(r6(F.col("middle")).alias("middle"))
 
 
 @query(f"WITH {L17}, m AS (SELECT clip_id, min(y) AS low FROM l WHERE joint IN (3, 6) GROUP BY clip_id) SELECT l.clip_id, frame, joint, round(y - low, 6) AS y FROM l JOIN m ON m.clip_id = l.clip_id")
