@@ -181,7 +181,7 @@ def frequent(texts: DataFrame, maps: list, parts: int, least: int, map_bits: int
 
     counted = texts.mapInArrow(sent, "part int, keys binary, counts binary").groupBy("part").applyInArrow(bits, "part int, bits binary")
     whole = np.zeros((parts, segment), np.uint8)
-    for row in counted.toLocalIterator():  # map_bits in all
+    for row in counted.collect():  # map_bits in all; rows taken one by one would run the partitions one after the other
         whole[row["part"]] = np.frombuffer(row["bits"], np.uint8)
     return Map(parts, whole.ravel())
 
