@@ -567,6 +567,18 @@ def shot_issues(spark, d):
     return issues.select(F.col("penalty_id").alias("id"), "issue").union(skipped.select("id", F.concat(F.lit("points:"), F.col("points").cast("string"))))
 
 
+@query(SHOTS + """ SELECT (SELECT count(*) FROM events WHERE event_type = 'purchase') AS events, (SELECT count(*) FROM sums WHERE n < 60) AS resolved, (SELECT count(*) FROM sums WHERE n >= 60) AS skipped,
+  (SELECT count(*) FROM events WHERE event_type = 'purchase' AND (event_id % 89 = 0 OR event_id % 97 = 0)) + (SELECT count(*) FROM b WHERE end_idx IS NULL) AS unresolved""")
+def penalty_run(spark, d):
+    """Events to recordings by team names, matching and the summary, as one run."""
+    asked, points, keepers = shot_tables(spark, d)
+    name = F.concat(F.lit("Team_"), "fixture_file", F.lit("_vs_Gaeste_2_phases_positions.csv"))
+    index, bad = fixtures.fixture_index(points.select(name.alias("file_name")).distinct())
+    teams = asked.withColumn("home_team", F.concat_ws(" ", F.lit("Team"), "fixture_file")).withColumn("away_team", F.lit(" Gäste")).drop("fixture_file")
+    _, _, summary = shots.run(teams, index, bad, points.withColumn("fixture_file", name), keepers.withColumn("fixture_file", name), include_unsuccessful=True)
+    return summary
+
+
 @query(f"WITH {P} SELECT a.event_id, count(*) AS n, max(b.x) AS max_v, max(b.a) AS max_a, round(avg(b.x), 6) AS mean_x FROM p a JOIN p b ON a.user_id = b.user_id AND b.idx BETWEEN greatest(a.idx - 3, 0) AND a.idx + 3 WHERE a.event_type = 'purchase' GROUP BY a.event_id")
 def window_slice_agg(spark, d):
     p = track(spark, d)
