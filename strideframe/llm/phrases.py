@@ -373,7 +373,13 @@ def without_parts(every: DataFrame, within: int) -> DataFrame:
     return every.join(longer, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("_longer") < within * F.col("a"), F.lit(True))).drop("_longer")
 
 
-def ranked(phrases: DataFrame, top: int = TOP) -> DataFrame:
-    """The first of each language by score, then occurrences, then phrase."""
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    return phrases.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+def ranked(phrases: DataFrame, top: int = TOP, buckets: int = 64) -> DataFrame:
+    """The first of each language by score, then occurrences, then phrase.
+
+    A language may hold most phrases: the first of each bucket of them are found before the buckets meet.
+    """
+    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    dealt = phrases.withColumn("_bucket", F.pmod(F.xxhash64("phrase"), F.lit(buckets)))
+    first = dealt.withColumn("_first", F.row_number().over(Window.partitionBy("lang", "_bucket").orderBy(*order))).where(F.col("_first") <= top)
+    whole = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    return whole.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
