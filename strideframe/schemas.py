@@ -12,7 +12,8 @@ KEEPER_NAMES = ("sensor id", "mapped id", "full name")
 SHOTS = "id string, player_id string, shot_type string, shot_category string, timestamp_ms string, success string, distance string, speed_ball string, shot_position_x string, shot_position_y string"
 
 POINT = "struct<t_local:string,ts_ms:bigint,x:double,y:double,z:double,v:double,a:double,dir:double>"
-ANIMATION = "struct<frame_rate:double,coordinate_system:string,quaternion_format:string,root_joint:string,joint_names:array<string>,frames:array<struct<root_position:array<double>,rotations:array<array<double>>,rotations_flat:array<double>>>>"
+FRAME = "struct<root_position:array<double>,rotations:array<array<double>>,rotations_flat:array<double>>"
+ANIMATION = f"struct<frame_rate:double,coordinate_system:string,quaternion_format:string,root_joint:string,joint_names:array<string>,frames:array<{FRAME}>>"
 
 RESULT_COLUMNS = (
     "id", "home_team", "away_team", "fixture_file", "player_id", "player_name", "success", "distance", "timestamp_local_timezone", "start_time_local", "end_time_local",

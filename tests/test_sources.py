@@ -177,3 +177,33 @@ def test_array_files_are_written_whole_or_not_at_all(spark, tmp_path):
     with pytest.raises(Exception, match="dies"):
         arrays.write_arrays(dies, str(tmp_path / "bad"), 2)
     assert not (tmp_path / "bad").exists() or not list((tmp_path / "bad").iterdir())
+
+
+def test_animation_documents_in_lines_and_whole(spark, tmp_path):
+    """Documents of lines and others give the same frames and issues; the check of a frame doesn't parse the document again."""
+    import json
+
+    from strideframe.sources import animations
+
+    frame = lambda k, n=2: {"root_position": [k, 0.5, 0], "rotations_flat": [float(k + i) for i in range(4 * n)], "rotations": []}
+    head = {"frame_rate": 25.0, "joint_names": ["A", "B"]}
+    lined = lambda h, own: json.dumps(h)[:-1] + ', "frames": [\n' + "\n,".join(map(json.dumps, own)) + "\n]}\n"
+    good = lined(head, [frame(k) for k in range(40)])
+    texts = {
+        "lined": good, "plain": json.dumps({**head, "frames": [frame(k) for k in range(3)]}), "pretty": json.dumps({**head, "frames": [frame(7)]}, indent=1), "two a line": good.replace("\n,", ",", 1),
+        "no rate": lined({"joint_names": ["A"]}, [frame(1)]), "short": lined(head, [frame(0), frame(1, 1)]), "no joints": lined({"joint_names": []}, [frame(0)]), "none": lined(head, []), "cut": good[:-4], "broken": good.replace("[7.0,", "[7.0,,"),
+        "no comma": good.replace("\n,", "\n", 1), "blank": good.replace("\n,", "\n\n,", 1), "odd": good.replace("[7.0,", '["x",'), "string": lined(head, [{**frame(0), "note": "}, {"}]), "empty": "",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"in/clip_id={name}").mkdir(parents=True)
+        (tmp_path / f"in/clip_id={name}/part-0.txt").write_text(text)
+    documents, rejects = animations.animations(spark, str(tmp_path / "in"))
+    got = animations.clips(spark, str(tmp_path / "in"))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    bad = rows(got.rejects)
+    assert bad == rows(rejects) and all(any(f"'{c}'" in r for r in bad) for c in ("short", "no joints", "none", "cut", "broken"))
+    assert rows(got.documents) == rows(documents.drop("frames")) and rows(animations.frame_rotations(got.frames)) == rows(animations.rotations(documents))
+    lines = animations.text_lines(spark, str(tmp_path / "in"))
+    assert {r.clip_id for r in animations._lined(animations.Blocks.of(lines).numbered(lines), 30.0).collect()} == {"lined", "no rate", "short", "no joints"}
+    plan = documents._jdf.queryExecution().optimizedPlan().toString()
+    assert all("from_json" not in part.split(" Project ")[0] for part in plan.split("lambdafunction(")[1:] if "rotations_flat" in part.split(",")[0])
