@@ -120,10 +120,21 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def trailing_peaks(df: DataFrame, value: Column, keys: list[str], time: str, back: int, width: int | None = None, name: str = "peak") -> DataFrame:
-    """Largest value in the last ``back`` units of ``time`` (a whole number), this row's time included."""
-    rows = lent(df, F.col(time), back, 0, max(width or 0, back, 1))
-    window = Window.partitionBy(*keys, SPAN).orderBy(time).rangeBetween(-back, 0)
-    return kept(rows.withColumn(name, F.max(value).over(window)))
+    """Largest value in the last ``back`` units of ``time`` (a whole number), this row's time included.
+
+    Spans are as wide as ``back``, whatever ``width`` allows: all that a row looks at is then the begin of its own span up to the row,
+    and the end of the span before. Rows are lent to the next span at their time and ``back``, so that both are frames that
+    only grow; a frame that slides would be evaluated anew for each row, which takes rows times rows of a frame.
+    """
+    del width
+    span = max(back, 1)
+    t = F.col(time).cast("long")
+    rows = df.withColumn("_lent", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn(SPAN, t - F.pmod(t, F.lit(span)) + F.when(F.col("_lent"), span).otherwise(0))
+    rows = rows.withColumn("_at", t + F.when(F.col("_lent"), back).otherwise(0))
+    own, far = F.when(~F.col("_lent"), value), F.when(F.col("_lent"), value)
+    grown = lambda down: Window.partitionBy(*keys, SPAN).orderBy(down("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    peak = F.greatest(F.max(own).over(grown(F.asc)), F.max(far).over(grown(F.desc)))
+    return kept(rows.withColumn(name, peak).drop("_at"))
 
 
 def moving_averages(df: DataFrame, x: str, keys: list[str], window: int, idx: str, span: int, name: str) -> DataFrame:

@@ -83,3 +83,16 @@ def test_no_task_holds_the_series(spark):
     assert "_span" in plan and got.count() == 4000
     summed = got.groupBy().agg(F.count("v"))
     assert summed.first()[0] > 0
+
+
+def test_trailing_peaks_have_no_sliding_frame(spark):
+    """All rows in one frame: what slides would be evaluated rows times rows."""
+    df = spark.range(0, 3000, 1, 4).select(F.lit(1).alias("k"), F.col("id"), (F.col("id") * 7 % 1000 - 300).alias("t"), (F.col("id") * 37 % 1009).alias("x"))
+    rows = df.collect()
+    for back in (0, 1, 13, 5000):
+        got = spans.trailing_peaks(df, F.col("x"), ["k"], "t", back, 100)
+        best = {t: max((r.x for r in rows if t - back <= r.t <= t)) for t in {r.t for r in rows[:200]}}
+        assert got.columns == [*df.columns, "peak"] and got.count() == 3000
+        assert all(r.peak == best[r.t] for r in got.collect() if r.t in best)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("specifiedwindowframe(RangeFrame, unboundedpreceding$(), currentrow$())") >= 2 and "specifiedwindowframe(RangeFrame, -" not in plan
