@@ -60,3 +60,16 @@ def test_dense_slices(spark):
     ev = spark.createDataFrame([("r", i, 10 + i % 3, 300 + i % 5) for i in range(200)] + [("r", 1, 11, 301)], "k string, id long, a long, b long")
     rows = lambda df: sorted((x.id, x.a, x.b, [tuple(p) for p in x.points]) for x in df.collect())
     assert rows(asof.slices(ev, points, ["k"], "a", "b", "idx", ["x"], dense=20)) == rows(asof.slices(ev, points, ["k"], "a", "b", "idx", ["x"]))
+
+
+def test_substring_join_of_equal_fragments(spark, monkeypatch):
+    """Pairs of one fragment with many rows are told by many tasks, whether its rows go to all of them or are dealt out."""
+    texts = spark.range(0, 400, 1, 1).select(F.col("id").alias("i"), F.concat(F.lit("part "), F.col("id")).alias("name"))
+    frags = spark.range(0, 300, 1, 1).select(F.col("id").alias("j"), F.element_at(F.array(F.lit("pa"), F.lit("rt 1"), F.lit("7")), (F.col("id") % 3 + 1).cast("int")).alias("f"))
+    want = sorted((i, j) for i in range(400) for j in range(300) if ("pa", "rt 1", "7")[j % 3] in f"part {i}")
+    for few in (contained.PIECES, 5):
+        monkeypatch.setattr(contained, "PIECES", few)
+        got = contained.containing(texts, "name", frags, "f", pairs=2000)
+        assert got.columns == ["i", "name", "j", "f"] and sorted((x.i, x.j) for x in got.collect()) == want
+        tasks = [x.n for x in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(tasks) == len(want) and max(tasks) <= (2 if few > 5 else 6) * 2000
