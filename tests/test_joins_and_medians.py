@@ -73,3 +73,17 @@ def test_substring_join_of_equal_fragments(spark, monkeypatch):
         assert got.columns == ["i", "name", "j", "f"] and sorted((x.i, x.j) for x in got.collect()) == want
         tasks = [x.n for x in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
         assert sum(tasks) == len(want) and max(tasks) <= (2 if few > 5 else 6) * 2000
+
+
+def test_interval_sums_make_no_pairs(spark):
+    """Sums over all pairs equal those of the pairs; 10^12 pairs of few times are summed at once."""
+    r = random.Random(4)
+    left = spark.createDataFrame([(r.choice("ab"), r.randrange(30), r.randrange(-9, 9)) for _ in range(300)] + [("c", 1, 1), (None, 1, 1), ("a", None, 1)], "k string, t long, v long")
+    right = spark.createDataFrame([(r.choice("ab"), r.randrange(30), r.choice([None, 5, 2**60])) for _ in range(200)] + [(None, 1, 1), ("b", None, 1)], "k string, u long, w long")
+    pairs = asof.within(left, right, ["k"], "t", "u", 2, 3)
+    want = pairs.groupBy("k", "t").agg(F.count(F.lit(1)), F.sum("v").cast("decimal(38,0)"), F.sum(F.col("w").cast("decimal(38,0)")).cast("decimal(38,0)"))
+    got = asof.within_sums(left, right, ["k"], "t", "u", 2, 3, {"v": F.col("v")}, {"w": F.col("w")}, dense=3)
+    assert got.columns == ["k", "t", "pairs", "v", "w"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    many = spark.range(1_000_000).select(F.lit("r").alias("k"), "id", (F.col("id") % 60).alias("t"))
+    got = asof.within_sums(many, many.withColumnRenamed("t", "u"), ["k"], "t", "u", 60, 60, {}, {"s": F.col("id")}, dense=20)
+    assert [int(x) for x in got.agg(F.sum("pairs"), F.sum("s")).first()] == [10**12, 10**6 * (10**6 - 1) // 2 * 10**6]
