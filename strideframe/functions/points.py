@@ -12,13 +12,13 @@ from .times import iso_millis
 BALL_KEYS = ("t_local", "ts_ms", "x", "y", "z", "v", "a", "dir")
 
 
-def ball_point(p: Column) -> Column:
-    """The JSON object of a point struct (local_dt, ts_ms, x, y, z, speed, accel, direction)."""
-    return F.struct(iso_millis(p["local_dt"]).alias("t_local"), p["ts_ms"].alias("ts_ms"), p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"), p["speed"].alias("v"), p["accel"].alias("a"), p["direction"].alias("dir"))
+def ball_point(p: Column, t_local: Column | None = None) -> Column:
+    """The JSON object of a point struct (local_dt, ts_ms, x, y, z, speed, accel, direction); t_local: its time as text, if at hand."""
+    return F.struct((iso_millis(p["local_dt"]) if t_local is None else t_local).alias("t_local"), p["ts_ms"].alias("ts_ms"), p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"), p["speed"].alias("v"), p["accel"].alias("a"), p["direction"].alias("dir"))
 
 
-def keeper_point(p: Column) -> Column:
-    return F.struct(iso_millis(p["local_dt"]).alias("t_local"), p["ts_ms"].alias("ts_ms"), p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))
+def keeper_point(p: Column, t_local: Column | None = None) -> Column:
+    return F.struct((iso_millis(p["local_dt"]) if t_local is None else t_local).alias("t_local"), p["ts_ms"].alias("ts_ms"), p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))
 
 
 def json_text(x: Column) -> Column:

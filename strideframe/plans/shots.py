@@ -16,6 +16,7 @@ from ..functions.numbers import goal_distance, six_decimals, to_double
 from ..functions.points import ball_point, json_text, keeper_point
 from ..functions.text import blank_to_null, joined_flags, strip
 from ..functions.times import event_time, iso_millis, micros
+from ..functions.vector import let
 from ..operators import asof, series
 from ..operators.fixtures import resolve, split_issues
 from ..schemas import ISSUE_COLUMNS, RESULT_COLUMNS
@@ -139,14 +140,18 @@ def _released(df: DataFrame) -> DataFrame:
     inside = lambda lo: F.filter("wide", lambda p: p["idx"].between(F.col(lo), F.col("ext_end")))
     own = F.get(F.filter("wide", lambda p: p["idx"] == F.col("start_idx")), F.lit(0))
     df = df.withColumn("_sel", select_release(inside("ext_start"))).withColumn("_own", own)
-    p = F.col("_sel.p")
-    d = goal_distance(p["x"], p["y"], p["x"])
-    need = F.try_divide(7.5 - d, p["speed"])
-    target = p["t"] - F.round((need + 0.1) * 1e6).cast("long")
-    wants = ~F.col("is_plausible") & (d < 6.5) & (p["speed"] > 0) & (need > 0) & (need < 5.0)
-    first = F.get(F.filter("wide", lambda q: q["t"] >= target), F.lit(0))["idx"]
     begin = F.get(F.filter("wide", lambda q: q["idx"] == F.col("ext_start")), F.lit(0))["t"]
-    df = df.withColumn("_new", F.when(F.coalesce(wants & (target < begin) & (first < F.col("ext_start")), F.lit(False)), first))
+
+    def moved(p: Column, d: Column, need: Column) -> Column:
+        target = p["t"] - F.round((need + 0.1) * 1e6).cast("long")
+        wants = ~F.col("is_plausible") & (d < 6.5) & (p["speed"] > 0) & (need > 0) & (need < 5.0) & (target < begin)
+        # bound, or it would be computed for each point
+        first = let(target)(lambda t: F.get(F.filter("wide", lambda q: q["t"] >= t), F.lit(0))["idx"])
+        return F.when(F.coalesce(wants, F.lit(False)), let(first)(lambda i: F.when(i < F.col("ext_start"), i)))
+
+    p = F.col("_sel.p")
+    new = let(goal_distance(p["x"], p["y"], p["x"]))(lambda d: let(F.try_divide(7.5 - d, p["speed"]))(lambda need: moved(p, d, need)))
+    df = df.withColumn("_new", new)
     df = df.withColumn("ext_start", F.coalesce("_new", "ext_start")).withColumn("_again", F.when(F.col("_new").isNotNull(), select_release(inside("ext_start"))))
     release = F.when(F.col("is_plausible"), F.col("_own")).otherwise(F.coalesce(F.col("_again.p"), F.col("_sel.p")))
     flag = F.when(F.col("is_plausible"), F.lit("release_point:start_timestamp_plausible")).otherwise(F.col("_sel.flag"))
@@ -158,9 +163,10 @@ def align_keeper(segment: Column, traj: Column) -> Column:
     """The keeper's nearest sample for each ball point, on the ball's times; the earlier of two equally near."""
 
     def pick(b: Column) -> Column:
-        nearer = lambda best, s: F.when((s["t"] <= b["t"]) | (F.abs(s["t"] - b["t"]) < F.abs(best["t"] - b["t"])), s).otherwise(best)
-        s = F.aggregate(segment, F.get(segment, F.lit(0)), nearer)
-        return F.struct(b["local_dt"].alias("local_dt"), b["ts_ms"].alias("ts_ms"), s["x"].alias("x"), s["y"].alias("y"), s["z"].alias("z"))
+        # samples are in order of time: the last one up to the ball's, and the next
+        n = F.size(F.filter(segment, lambda s: s["t"] <= b["t"]))
+        near = let(n, b["t"])(lambda n, t: let(F.get(segment, n - 1), F.get(segment, n))(lambda last, next_: F.when(last.isNull() | (next_["t"] - t < t - last["t"]), next_).otherwise(last)))
+        return let(near)(lambda s: F.struct(b["local_dt"].alias("local_dt"), b["ts_ms"].alias("ts_ms"), s["x"].alias("x"), s["y"].alias("y"), s["z"].alias("z")))
 
     return F.transform(traj, pick)
 
@@ -223,7 +229,8 @@ def match_shots(events: DataFrame, points: DataFrame, keepers: DataFrame, includ
     ev = asof.lookups(ev, pts, KEY, "event_no", {"f_": ("_from", True), "w_": ("_wide", True), "e_": ("_to", False)}, "t", ["idx"], "idx")
     ev = ev.withColumn("ext_start", F.col("f_idx")).withColumn("ext_end", F.col("e_idx")).withColumn("_lo", F.greatest(F.col("w_idx") - PREPEND, F.lit(0)))
     ev = ev.drop("_from", "_wide", "_to", "f_idx", "w_idx", "e_idx")
-    cut = asof.slices(ev, pts, KEY, "_lo", "ext_end", "idx", ["t", "local_dt", "ts_ms", "x", "y", "z", "speed", "accel", "direction"]).withColumnRenamed("points", "wide")
+    said = pts.withColumn("t_local", iso_millis("local_dt"))  # once a point, not for each shot that has it
+    cut = asof.slices(ev, said, KEY, "_lo", "ext_end", "idx", ["t", "local_dt", "t_local", "ts_ms", "x", "y", "z", "speed", "accel", "direction"]).withColumnRenamed("points", "wide")
     cut = _released(cut)
     before = F.least(F.col("ext_start"), F.lit(PREPEND))
     cut = cut.withColumn("traj", F.filter("wide", lambda p: p["idx"].between(F.col("ext_start") - before, F.col("ext_end")))).withColumn("_n", F.size("traj")).withColumn("_before", before).drop("wide")
@@ -238,7 +245,7 @@ def match_shots(events: DataFrame, points: DataFrame, keepers: DataFrame, includ
         F.concat(F.lit("goalkeeper_points:"), size.cast("string")), F.when(size > 0, F.lit("goalkeeper_aligned_with_ball:1")),
     )
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    best = lambda k: six_decimals(F.array_max(F.transform("traj", lambda p: p[k])))
+    best = lambda k: let(F.array_max(F.transform("traj", lambda p: p[k])))(six_decimals)
     values = {
         **{c: text(c) for c in ("id", "home_team", "away_team", "fixture_file", "player_id", "success", "distance", "timestamp_local_timezone", "goalkeeper_sensor_id")},
         "player_name": F.coalesce(blank_to_null("player_name"), text("name")),
@@ -250,8 +257,8 @@ def match_shots(events: DataFrame, points: DataFrame, keepers: DataFrame, includ
         "max_a": best("accel"),
         "release_angle": six_decimals(F.col("release")["direction"]),
         "trajectory_point_count": n.cast("string"),
-        "trajectory_json": json_text(F.transform("traj", ball_point)),
-        "goalkeeper_trajectory_json": F.coalesce(json_text(F.transform("keeper", keeper_point)), F.lit("[]")),
+        "trajectory_json": json_text(F.transform("traj", lambda p: ball_point(p, p["t_local"]))),
+        "goalkeeper_trajectory_json": F.coalesce(json_text(F.zip_with("keeper", "traj", lambda k, p: keeper_point(k, p["t_local"]))), F.lit("[]")),
         "flags": flags,
     }
     results = out.select("event_no", *(values[c].alias(c) for c in RESULT_COLUMNS))

@@ -87,3 +87,12 @@ def test_interval_sums_make_no_pairs(spark):
     many = spark.range(1_000_000).select(F.lit("r").alias("k"), "id", (F.col("id") % 60).alias("t"))
     got = asof.within_sums(many, many.withColumnRenamed("t", "u"), ["k"], "t", "u", 60, 60, {}, {"s": F.col("id")}, dense=20)
     assert [int(x) for x in got.agg(F.sum("pairs"), F.sum("s")).first()] == [10**12, 10**6 * (10**6 - 1) // 2 * 10**6]
+
+
+def test_slices_carry_places_only(spark):
+    """Columns of events don't go through the join with the points; equal places are cut once."""
+    points = spark.range(50).select(F.lit("r").alias("k"), F.col("id").alias("idx"), (F.col("id") * 2).alias("x"))
+    ev = spark.createDataFrame([("r", i, "text", 3, 5) for i in range(40)] + [("r", 1, "text", 3, 5), ("s", 1, "text", 3, 5)], "k string, id long, said string, a long, b long")
+    got = asof.slices(ev, points, ["k"], "a", "b", "idx", ["x"])
+    assert got.columns == [*ev.columns, "points"] and sorted(r.id for r in got.collect()) == sorted([*range(40), 1]) and all([p.x for p in r.points] == [6, 8, 10] for r in got.collect())
+    assert all("said" not in line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in line)
