@@ -62,11 +62,11 @@ def free(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: cuts lineage, survives lost executors."""
+def written(df: DataFrame, what: str, rows_a_file: int = 0) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: cuts lineage, survives lost executors. 0: no limit of rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_a_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

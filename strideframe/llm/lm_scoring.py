@@ -3,7 +3,7 @@
 Training documents' tokens (words and one end each) are counted as hashed unigrams and bigrams, merged by
 key in hash partitions. A count is stored as its level, the number of ``STEPS`` (1, 2, 3, 4, 6, 8, 12, ...)
 that it reaches: the items (n-gram, 1) to (n-gram, level) go into the filter segment of the key's
-partition. A reader probes level after level until one is missing and takes the level's least count; a
+partition and range. A reader probes level after level until one is missing and takes the level's least count; a
 false answer is as unlikely for each further level as the filter's error rate. All levels of all unigrams
 and bigrams are held, however many there are.
 
@@ -14,6 +14,10 @@ sends its distinct n-grams to the partitions of their keys, once; there they are
 built and probed for them, and levels and word counts come back to the slice. Both ways give the same
 results (the tests hold them against each other and against exact counts).
 
+Memory of a task doesn't depend on the corpus or on the session's partitions: a slice has ``SLICE_BYTES`` of
+texts, a partition of keys what ``PART_BYTES`` of texts send, and that is merged range by range of keys
+(``RANGE_BYTES`` each). Only a single text that is longer than a slice takes more.
+
 Probabilities: P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), P(w | v) = (c(v, w) + M P(w)) / (C(v) + M) where
 C(v) is the most that v's level allows, so the masses never add up to more than 1 (false answers aside).
 The base score takes the exact word counts.
@@ -42,8 +46,12 @@ TABLE_WORDS = 8_000_000
 PRIOR = 16.0
 ADD = 0.1
 END, BEGIN = U(0x6C7967D3A5F10E47), U(0xB1A0C93E5D27F681)
-SLICE_BYTES = 8 << 20  # of texts that send their n-grams together
-PART_BYTES = 128 << 20  # of texts for each partition of keys, if the session has fewer partitions
+SLICE_BYTES = 4 << 20  # of texts that send their n-grams together
+FILE_SLICES = 16  # in a file, as Spark's reader decodes up to 4096 rows of a file at once
+PART_BYTES = 32 << 20  # of texts for each partition of keys, if the session has fewer partitions
+RANGE_BYTES = 2 << 20  # of texts for each range of a partition's keys; a range is merged at a time
+DOC_BYTES = 32  # that a document counts besides its text, so that empty ones are bounded too
+HASH_BYTES = 1 << 20  # of texts whose words are Python objects at a time
 DROPPED = U(24)  # bits of a key that a partition's number stands for
 STEPS = np.array(sorted({1, *(1 << k for k in range(1, 62)), *(3 << k for k in range(61))}), np.int64)
 
@@ -58,7 +66,8 @@ def bigram_keys(tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts end to end, the end token behind each; where each text begins, and the end of all."""
-    words, counts = common.word_hashes(texts)
+    hashed = [common.word_hashes(texts[a:z]) for a, z in common.slices(texts, HASH_BYTES)]
+    words, counts = (np.concatenate(x) for x in zip((np.zeros(0, U), np.zeros(0, np.int64)), *hashed))
     edges = np.concatenate([[0], np.cumsum(counts + 1)])
     out = np.full(int(edges[-1]), END, U)
     keep = np.ones(len(out), bool)
@@ -91,6 +100,11 @@ def probe(begin: np.ndarray, step: np.ndarray, i: int, bits: np.ndarray | np.uin
     return (begin + U(i) * step & U(0xFFFFFFFF)) * bits >> U(32)
 
 
+def range_of(keys: np.ndarray, ranges: int, dropped: np.uint64 = U(0)) -> np.ndarray:
+    """Which of so many equal ranges each key is in; ``dropped`` bits of the keys are gone (32 at most)."""
+    return ((keys >> U(32) - dropped) * U(ranges) >> U(32)).astype(np.int64)
+
+
 def segment(keys: np.ndarray, levels: np.ndarray, per_item: int = BITS_PER_ITEM) -> tuple[int, np.ndarray]:
     """Number of bits, and the packed bits of a filter segment that holds the items of ``keys``."""
     size = max(64, per_item * int(levels.sum()))
@@ -103,10 +117,10 @@ def segment(keys: np.ndarray, levels: np.ndarray, per_item: int = BITS_PER_ITEM)
 
 
 class Filter:
-    """A filter in memory: segments by key modulo their number; ``sizes`` in bits."""
+    """A filter in memory: a segment for each partition (key modulo their number) and range; ``sizes`` in bits."""
 
-    def __init__(self, sizes: np.ndarray, raw: bytes):
-        self.sizes = np.asarray(sizes, np.int64)
+    def __init__(self, sizes: np.ndarray, raw: bytes, ranges: int = 1):
+        self.sizes, self.ranges = np.asarray(sizes, np.int64), ranges
         self.offsets = np.concatenate([[0], np.cumsum((self.sizes + 7) // 8 * 8)])[:-1]
         self.bits = np.frombuffer(raw, np.uint8)
 
@@ -115,7 +129,7 @@ class Filter:
         out, open_ = np.zeros(len(keys), np.int64), np.arange(len(keys))
         if not len(self.sizes):
             return out
-        part = (keys % U(len(self.sizes))).astype(np.int64)
+        part = (keys % U(len(self.sizes) // self.ranges)).astype(np.int64) * self.ranges + range_of(keys, self.ranges)
         keys, sizes, offsets = keys >> DROPPED, self.sizes.astype(U)[part], self.offsets[part]
         j = 1
         while len(open_):
@@ -169,27 +183,60 @@ def unpacked(raw: bytes, n: int) -> np.ndarray:
     return out
 
 
+class Smalls:
+    """Many ``small`` counts end to end, kept as one byte each and the few that don't fit apart."""
+
+    def __init__(self, raws: list[bytes], lengths: list[int]):
+        self.bytes = np.frombuffer(b"".join(memoryview(x)[:n] for x, n in zip(raws, lengths)), np.uint8)
+        self.at, self.wide, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for x, n in zip(raws, lengths):
+            if len(x) > n:
+                at, wide = np.frombuffer(x[n:], np.int64).reshape(2, -1)
+                self.at.append(first + at)
+                self.wide.append(wide)
+            first += n
+        self.at, self.wide = np.concatenate(self.at), np.concatenate(self.wide)
+
+    def __getitem__(self, places: np.ndarray) -> np.ndarray:
+        out = self.bytes[places].astype(np.int64)
+        wide = np.flatnonzero(out == 255)
+        out[wide] = self.wide[np.searchsorted(self.at, places[wide])]
+        return out
+
+
 def sliced(rows: DataFrame, most: int = SLICE_BYTES) -> DataFrame:
-    """slice, and arrays doc_id, text and held_out: about ``most`` bytes of whole texts in a row."""
+    """slice, arrays doc_id and held_out, and lengths and texts (end to end, zstd): about ``most`` bytes of whole texts in a row."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, size = TaskContext.get().partitionId() << 32, [], 0
+        import zstandard
+
+        at, held, size, pack = TaskContext.get().partitionId() << 32, [], 0, zstandard.ZstdCompressor(level=3)
 
         def closed() -> pa.RecordBatch:
-            lists = [pa.array([list(x)], pa.list_(t)) for x, t in zip(zip(*held), (pa.int64(), pa.binary(), pa.bool_()))]
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *lists], names=["slice", "doc_id", "text", "held_out"])
+            doc_ids, texts, flags = zip(*held)
+            lengths = np.fromiter(map(len, texts), np.int64, len(texts)).tobytes()
+            columns = ((at, pa.int64()), (list(doc_ids), pa.list_(pa.int64())), (list(flags), pa.list_(pa.bool_())), (lengths, pa.binary()), (pack.compress(b"".join(texts)), pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in columns], names=["slice", "doc_id", "held_out", "lengths", "texts"])
 
         for batch in batches:
             for row in zip(*common.columns_of(batch, "doc_id", "text", "held_out")):
-                if held and size + len(row[1]) > most:
+                own = len(row[1]) + DOC_BYTES
+                if held and size + own > most:
                     yield closed()
                     at, held, size = at + 1, [], 0
                 held.append(row)
-                size += len(row[1])
+                size += own
         if held:
             yield closed()
 
-    return rows.mapInArrow(made, "slice long, doc_id array<long>, text array<binary>, held_out array<boolean>")
+    return rows.mapInArrow(made, "slice long, doc_id array<long>, held_out array<boolean>, lengths binary, texts binary")
+
+
+def texts_of(lengths: bytes, packed: bytes) -> list[bytes]:
+    import zstandard
+
+    raw, edges = zstandard.ZstdDecompressor().decompress(packed), np.cumsum(np.frombuffer(lengths, np.int64)).tolist()
+    return [raw[a:z] for a, z in zip([0, *edges], edges)]
 
 
 KEYED = "pid int, slice long, n_words int, n_pairs int, words binary, pairs binary, word_counts binary, pair_counts binary"
@@ -200,8 +247,8 @@ def keyed(slices: DataFrame, parts: int) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, texts, flags in zip(*common.columns_of(batch, "slice", "text", "held_out")):
-                grams = Grams(texts, parts)
+            for number, flags, *texts in zip(*common.columns_of(batch, "slice", "held_out", "lengths", "texts")):
+                grams = Grams(texts_of(*texts), parts)
                 counts = [grams.counts(k, ~np.array(flags, bool)) for k in (0, 1)]
                 short = np.ascontiguousarray((grams.keys[1] >> DROPPED).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
                 rows = []
@@ -212,56 +259,66 @@ def keyed(slices: DataFrame, parts: int) -> DataFrame:
                 kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["pid", "slice", "n_words", "n_pairs", "words", "pairs", "word_counts", "pair_counts"])
 
-    return slices.select("slice", "text", "held_out").mapInArrow(made, KEYED)
+    return slices.select("slice", "held_out", "lengths", "texts").mapInArrow(made, KEYED).repartition(parts, "pid")
 
 
 COUNTED = "kind int, pid int, slice long, n long, total long, a binary, b binary"
 
 
-def counted(blobs: DataFrame, answers: bool, per_item: int = BITS_PER_ITEM) -> DataFrame:
+def counted(blobs: DataFrame, answers: bool, per_item: int = BITS_PER_ITEM, ranges: int = 1) -> DataFrame:
     """kind, pid, slice, n, total, a, b: of each partition of keys
 
-    kind 0: n distinct words, total tokens; a keys, b counts (unless ``answers``). kind 1: the filter
-    segment of n bits, a (unless ``answers``). kind 2, with ``answers``: what one slice asked for: a levels
-    of its words and pairs, one byte each, by probes of the segment; b counts of its words.
+    kind 0: n distinct words, total tokens; a keys, b counts (unless ``answers``), a row for each range. kind 1:
+    the filter segment of n bits, a (unless ``answers``), a row for each range, whose number is in ``slice``.
+    kind 2, with ``answers``: what one slice asked for: a levels of its words and pairs, one byte each, by
+    probes of the segments; b counts of its words.
     """
 
     def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         pid = key[0].as_py()
         n_words, n_pairs, slices = (table.column(c).to_pylist() for c in ("n_words", "n_pairs", "slice"))
-        words = [np.frombuffer(x.as_py(), U) for x in table.column("words")]
-        pairs = []
-        for x in table.column("pairs"):
-            wide = np.zeros((len(x.as_py()) // 5, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(x.as_py(), np.uint8).reshape(-1, 5)
-            pairs.append(wide.view("<u8").ravel())
-        sums, places = [], []
-        for found, n, column in ((words, n_words, "word_counts"), (pairs, n_pairs, "pair_counts")):
-            keys, place = np.unique(np.concatenate(found), return_inverse=True)
-            counts = np.concatenate([unpacked(x.as_py(), m) for x, m in zip(table.column(column), n)])
-            sums.append((keys, np.bincount(place, weights=counts, minlength=len(keys)).astype(np.int64)))
-            places.append(place)
-        (uni, uni_c), (bi, bi_c) = sums
-        every = np.concatenate([uni, bi << DROPPED])
-        size, bits = segment(every, np.concatenate([level(uni_c), level(bi_c)]), per_item)
-        known = uni_c > 0
-        rows = [(0, pid, -1, int(known.sum()), int(uni_c.sum()), b"" if answers else uni[known].tobytes(), b"" if answers else uni_c[known].tobytes())]
-        if not answers:
-            rows.append((1, pid, -1, size, 0, bits.tobytes(), b""))
-        else:
-            levels = Filter(np.array([size]), bits.tobytes()).levels(every).astype(np.uint8)
-            of_words, of_pairs = levels[: len(uni)][places[0]], levels[len(uni) :][places[1]]
-            asked = uni_c[places[0]]
-            i = j = 0
-            for number, m, n in zip(slices, n_words, n_pairs):
-                rows.append((2, pid, number, m, n, of_words[i : i + m].tobytes() + of_pairs[j : j + n].tobytes(), small(asked[i : i + m])))
-                i, j = i + m, j + n
+        uni_counts, bi_counts = (Smalls(table.column(c).to_pylist(), n) for c, n in (("word_counts", n_words), ("pair_counts", n_pairs)))
+        words, pairs = (b"".join(x.as_buffer() for x in table.column(c)) for c in ("words", "pairs"))
+        words, pairs = np.frombuffer(words, U), np.frombuffer(pairs, np.uint8).reshape(-1, 5)
+
+        def wide(places: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(places), 8), np.uint8)
+            out[:, :5] = pairs[places]
+            return out.view("<u8").ravel()
+
+        in_words = range_of(words, ranges).astype(np.uint16)
+        in_pairs = np.concatenate([np.zeros(0, np.uint16), *(range_of(wide(np.arange(i, min(i + 65536, len(pairs)))), ranges, DROPPED).astype(np.uint16) for i in range(0, len(pairs), 65536))])
+        of_words, of_pairs, asked = np.zeros(len(words), np.uint8), np.zeros(len(pairs), np.uint8), np.zeros(len(words) if answers else 0, np.int64)
+        rows = []
+        for r in range(ranges):
+            at_words, at_pairs = np.flatnonzero(in_words == r), np.flatnonzero(in_pairs == r)
+            (uni, uni_at, uni_c), (bi, bi_at, bi_c) = (summed(*x) for x in ((words[at_words], uni_counts[at_words]), (wide(at_pairs), bi_counts[at_pairs])))
+            every = np.concatenate([uni, bi << DROPPED])
+            size, bits = segment(every, np.concatenate([level(uni_c), level(bi_c)]), per_item)
+            known = uni_c > 0
+            rows.append((0, pid, -1, int(known.sum()), int(uni_c.sum()), b"" if answers else uni[known].tobytes(), b"" if answers else uni_c[known].tobytes()))
+            if not answers:
+                rows.append((1, pid, r, size, 0, bits.tobytes(), b""))
+            else:
+                levels = Filter(np.array([size]), bits.tobytes()).levels(every).astype(np.uint8)
+                of_words[at_words], of_pairs[at_pairs] = levels[: len(uni)][uni_at], levels[len(uni) :][bi_at]
+                asked[at_words] = uni_c[uni_at]
+        i = j = 0
+        for number, m, n in zip(slices, n_words, n_pairs) if answers else ():
+            rows.append((2, pid, number, m, n, of_words[i : i + m].tobytes() + of_pairs[j : j + n].tobytes(), small(asked[i : i + m])))
+            i, j = i + m, j + n
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.table({n: pa.array(x, t) for n, x, t in zip(("kind", "pid", "slice", "n", "total", "a", "b"), zip(*rows), kinds)})
 
     return blobs.groupBy("pid").applyInArrow(merged, COUNTED)
 
 
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, which of them each key is, and the sum of each one's counts."""
+    found, place = np.unique(keys, return_inverse=True)
+    return found, place, np.bincount(place, weights=counts, minlength=len(found)).astype(np.int64)
+
+
 class WordTable:
     """Exact counts by word hash: sorted keys, 2 bytes a count and the few larger ones apart."""
 
@@ -307,22 +364,23 @@ def _scored(doc_ids: list, flags: list, grams: Grams, counts: np.ndarray, words:
     )
 
 
-def score(docs: DataFrame, held_out: str = "held_out", filter_bytes: int = FILTER_BYTES, table_words: int = TABLE_WORDS, per_item: int = BITS_PER_ITEM) -> DataFrame:
+def score(docs: DataFrame, held_out: str = "held_out", filter_bytes: int = FILTER_BYTES, table_words: int = TABLE_WORDS, per_item: int = BITS_PER_ITEM, part_bytes: int = PART_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Scores of ``docs`` (doc_id, text and the boolean column ``held_out``), learnt from the rows where that is false."""
     spark = docs.sparkSession
     common.bounded_batches(spark, 128)
     rows = _rows(docs, held_out)
     size = F.octet_length("text").cast("long")
-    sums = rows.agg(F.sum(size).alias("bytes"), F.sum(F.when(~F.col("held_out"), (size + 1) / 2 + 1)).alias("tokens"), F.count(F.when(~F.col("held_out"), 1)).alias("texts")).first()
-    parts = max(common.width(spark), common.scalar(sums["bytes"]) // PART_BYTES)
+    sums = rows.agg(F.sum(size + DOC_BYTES).alias("bytes"), F.sum(F.when(~F.col("held_out"), (size + 1) / 2 + 1)).alias("tokens"), F.count(F.when(~F.col("held_out"), 1)).alias("texts")).first()
+    parts = max(common.width(spark), common.scalar(sums["bytes"]) // part_bytes)
+    ranges = min(1 + common.scalar(sums["bytes"]) // (parts * range_bytes), 1 << 16)
     texts = common.scalar(sums["texts"])
     if 2 * per_item * common.scalar(sums["tokens"]) <= 8 * filter_bytes:
-        counts = common.written(counted(keyed(sliced(rows.where("not held_out")), parts), False, per_item), "lm-counts")
+        counts = common.written(counted(keyed(sliced(rows.where("not held_out")), parts), False, per_item, ranges), "lm-counts")
         n, v = _totals(counts)
         if v <= table_words:
-            return _scored_by_broadcast(rows, counts, parts, n, v, texts)
-    slices = common.written(sliced(rows), "lm-slices")
-    answers = common.written(counted(keyed(slices, parts), True, per_item), "lm-answers")
+            return _scored_by_broadcast(rows, counts, parts, ranges, n, v, texts)
+    slices = common.written(sliced(rows), "lm-slices", FILE_SLICES)
+    answers = common.written(counted(keyed(slices, parts), True, per_item, ranges), "lm-answers")
     return _scored_by_segments(slices, answers, parts, *_totals(answers), texts)
 
 
@@ -332,12 +390,13 @@ def _totals(counts: DataFrame) -> tuple[int, int]:
     return common.scalar(sums["n"]), common.scalar(sums["v"])
 
 
-def _scored_by_broadcast(rows: DataFrame, counts: DataFrame, parts: int, n: int, v: int, texts: int) -> DataFrame:
+def _scored_by_broadcast(rows: DataFrame, counts: DataFrame, parts: int, ranges: int, n: int, v: int, texts: int) -> DataFrame:
     """Filter (its size is proven by the caller) and word counts go to all workers."""
     spark = rows.sparkSession
-    found = counts.where("kind = 1").select("pid", "n", "a").toArrow()
-    raw = {p: (bits, a) for p, bits, a in zip(*(found.column(c).to_pylist() for c in ("pid", "n", "a")))}
-    whole = Filter(np.array([raw[p][0] if p in raw else 64 for p in range(parts)]), b"".join(raw[p][1] if p in raw else bytes(8) for p in range(parts)))
+    found = counts.where("kind = 1").select("pid", "slice", "n", "a").toArrow()
+    raw = {p * ranges + r: (bits, a) for p, r, bits, a in zip(*(found.column(c).to_pylist() for c in ("pid", "slice", "n", "a")))}
+    segments = [raw.get(p, (64, bytes(8))) for p in range(parts * ranges)]
+    whole = Filter(np.array([bits for bits, _ in segments]), b"".join(a for _, a in segments), ranges)
     exact = counts.where("kind = 0").select("a", "b").toArrow()  # at most 16 * table_words bytes
     join = lambda c, kind: np.frombuffer(b"".join(exact.column(c).to_pylist()), kind)
     shared = spark.sparkContext.broadcast((whole, WordTable(join("a", U), join("b", np.int64))))
@@ -358,8 +417,8 @@ def _scored_by_segments(slices: DataFrame, answers: DataFrame, parts: int, n: in
     """Each slice meets the answers to its n-grams; sorted, so that a task holds one slice at a time."""
 
     def finished(own: tuple, found: list[tuple]) -> pa.RecordBatch:
-        doc_ids, all_texts, flags = own
-        grams = Grams(all_texts, parts)
+        doc_ids, flags, *texts_packed = own
+        grams = Grams(texts_of(*texts_packed), parts)
         levels = [np.zeros(len(k), np.int64) for k in grams.keys]
         counts = np.zeros(len(grams.keys[0]), np.int64)
         for p, a, b in found:
@@ -373,7 +432,7 @@ def _scored_by_segments(slices: DataFrame, answers: DataFrame, parts: int, n: in
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, found = None, []
         for batch in batches:
-            for pid, a, b, *mine in zip(*common.columns_of(batch, "pid", "a", "b", "doc_id", "text", "held_out")):
+            for pid, a, b, *mine in zip(*common.columns_of(batch, "pid", "a", "b", "doc_id", "held_out", "lengths", "texts")):
                 if pid < 0:
                     if own is not None:
                         yield finished(own, found)
@@ -384,4 +443,4 @@ def _scored_by_segments(slices: DataFrame, answers: DataFrame, parts: int, n: in
             yield finished(own, found)
 
     both = slices.withColumn("pid", F.lit(-1)).unionByName(answers.where("kind = 2").select("slice", "pid", "a", "b"), allowMissingColumns=True)
-    return both.repartition(common.width(slices.sparkSession), "slice").sortWithinPartitions("slice", "pid").mapInArrow(gathered, SCORED)
+    return both.repartition(parts, "slice").sortWithinPartitions("slice", "pid").mapInArrow(gathered, SCORED)
