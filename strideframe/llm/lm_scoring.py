@@ -48,7 +48,7 @@ ADD = 0.1
 END, BEGIN = U(0x6C7967D3A5F10E47), U(0xB1A0C93E5D27F681)
 SLICE_BYTES = 4 << 20  # of texts that send their n-grams together
 FILE_SLICES = 16  # in a file, as Spark's reader decodes up to 4096 rows of a file at once
-PART_BYTES = 32 << 20  # of texts for each partition of keys, if the session has fewer partitions
+PART_BYTES = 16 << 20  # of texts for each partition of keys, if the session has fewer partitions
 RANGE_BYTES = 2 << 20  # of texts for each range of a partition's keys; a range is merged at a time
 DOC_BYTES = 32  # that a document counts besides its text, so that empty ones are bounded too
 HASH_BYTES = 1 << 20  # of texts whose words are Python objects at a time
@@ -275,6 +275,7 @@ def counted(blobs: DataFrame, answers: bool, per_item: int = BITS_PER_ITEM, rang
     """
 
     def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        common.kept("merging", dict)  # a worker that has split words before forgets them
         pid = key[0].as_py()
         n_words, n_pairs, slices = (table.column(c).to_pylist() for c in ("n_words", "n_pairs", "slice"))
         uni_counts, bi_counts = (Smalls(table.column(c).to_pylist(), n) for c, n in (("word_counts", n_words), ("pair_counts", n_pairs)))
